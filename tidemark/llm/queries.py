@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, mixing, quality, sharding
+from tidemark.llm import decontamination, jaccard_join, mixing, quality, sharding, suffix_dedup
 from tidemark.llm.base import read
 
 
@@ -35,6 +35,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": op4_sharding,
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_jaccard_join": op6_jaccard_join,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

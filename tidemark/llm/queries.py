@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, mixing, quality, sharding, suffix_dedup
+from tidemark.llm import decontamination, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    filters = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.identify(docs, filters).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,17 +41,25 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    classifier = toxicity.fit(docs, labels.where(~language_id.held_out()))
+    return toxicity.score(docs, classifier).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
         "op6_jaccard_join": op6_jaccard_join,
         "op7_decontamination": op7_decontamination,
         "op8_quality": op8_quality,
+        "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 

@@ -48,17 +48,26 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(low, high - low), texts.slice(low, high - low).to_pylist()
 
 
+def byte_set(members) -> np.ndarray:
+    table = np.zeros(256, dtype=bool)
+    table[list(members)] = True
+    return table
+
+
+#: Bytes that part words: white space alone, or all of ASCII but digits and letters.
+WHITE = byte_set([0x20, 9, 10, 11, 12, 13])
+NOT_ALNUM = byte_set(b for b in range(128) if not chr(b).isalnum())
+
+
 class Words:
     """Words of a batch: ``hash`` of each, ``doc`` (index of its text), and ``first`` (index of a text's first word)."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], parts: np.ndarray = WHITE):
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.concatenate([[0], np.cumsum(lengths + 1)])
         data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
-        parts = np.zeros(256, dtype=bool)
-        parts[[0x20, 9, 10, 11, 12, 13]] = True
         inside = ~parts[data]
         edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -69,7 +78,16 @@ class Words:
         self.hash = splitmix(np.add.reduceat(value, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64))
         self.doc = np.searchsorted(self.offset, starts, side="right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.start, self.end = starts, ends
+        self.size, self.at = size, np.cumsum(size) - size
+        self.value = value
+
+    def prefixes(self, length: int) -> np.ndarray:
+        """Hashes of the words' first ``length`` bytes; 0 for shorter words."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value)])
+        long = self.size >= length
+        out = np.zeros(len(self.size), np.uint64)
+        out[long] = splitmix(total[self.at[long] + length] - total[self.at[long]] + np.uint64(length))
+        return out
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:

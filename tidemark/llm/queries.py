@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
 
@@ -17,6 +17,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, filters).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -54,6 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_html_extraction": op3_html_extraction,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
         "op6_jaccard_join": op6_jaccard_join,

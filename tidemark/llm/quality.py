@@ -42,13 +42,13 @@ def repeated_words(words: Column) -> Column:
     return grams
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words to (doc_id, text)."""
+def base_measures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words) of ``docs(key, text)``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WS_WORD))
-    split = docs.select("doc_id", text.alias("text"), ws_words(F.col("text")).alias("words"))
+    split = docs.select(key, text.alias("text"), ws_words(F.col("text")).alias("words"))
     told = split.select(
-        "doc_id",
+        key,
         "words",
         F.size("words").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
@@ -57,7 +57,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
     told = told.select("*", F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), repeated_words(F.col("words")).alias("grams"))
     again = F.when(F.col("grams").isNotNull() & (F.size(F.array_distinct("grams")) < F.size("grams")), F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i")))))
-    told = told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", again.alias("pairs"))
+    told = told.select(key, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", again.alias("pairs"))
     last = F.size("pairs")
     places = F.sort_array(F.filter(F.transform("pairs", lambda p, k: F.when(((k > 0) & (F.try_element_at("pairs", k)["g"] == p["g"])) | ((k + 1 < last) & (F.try_element_at("pairs", k + 2)["g"] == p["g"])), p["i"])), lambda x: x.isNotNull()))
     covered = F.aggregate(
@@ -67,7 +67,7 @@ def base_measures(docs: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     told = told.withColumn("places", F.when(F.col("pairs").isNotNull(), places))
-    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
+    return told.select(key, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"))
 
 
 def with_rates(measures: DataFrame) -> DataFrame:
@@ -110,16 +110,21 @@ def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delt
     return chosen
 
 
+def verdict(cutoffs: dict[tuple[int, str], float]) -> Column:
+    rejected = F.lit(False)
+    for (stratum, rate), cut in sorted(cutoffs.items()):
+        rejected = rejected | ((F.col("stratum") == stratum) & (F.col(rate) > cut))
+    return ~F.col("base_failed") & ~rejected
+
+
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Measures, rates, ``base_failed`` and ``kept`` for every row of ``docs(doc_id, text)``."""
     rated = materialise(with_rates(base_measures(docs)), "quality")
-    rejected = F.lit(False)
-    for (stratum, rate), cut in sorted(choose_cutoffs(rated, labels, risk, delta).items()):
-        rejected = rejected | ((F.col("stratum") == stratum) & (F.col(rate) > cut))
-    return rated.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return rated.withColumn("kept", verdict(choose_cutoffs(rated, labels, risk, delta)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that are kept, every column as it was; rows of one doc_id are judged by text."""
-    verdicts = judge(docs, labels).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["_id"]), "left_semi")
+def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of documents that are kept, every column as it was; the verdict is reached in the row."""
+    cutoffs = choose_cutoffs(materialise(with_rates(base_measures(docs)), "quality"), labels, risk, delta)
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
+    return with_rates(base_measures(whole, "row")).where(verdict(cutoffs)).select("row.*")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
@@ -66,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

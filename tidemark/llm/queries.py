@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, mixing, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     filters = language_id.fit(docs.where(~language_id.held_out()))
@@ -58,6 +62,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
         "op3_html_extraction": op3_html_extraction,
         "op4_sharding": op4_sharding,

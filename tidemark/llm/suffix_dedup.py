@@ -32,7 +32,7 @@ from tidemark.llm.suffix_blocks import repeated_windows
 LENGTH, GRAM = 200, 32
 #: Windows that are hashed at once; bytes of stretches that are sorted at once.
 PIECE, BLOCK = 1 << 18, 4 << 20
-#: Bytes of a table of positions that is sent to every executor; a larger one is joined by a shuffle.
+#: Bytes of a table of copies that is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = 20
@@ -178,7 +178,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     met = find_anchors(single).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("m > 1")
     spots = materialise(met.groupBy("tid", "n_bytes").agg(F.collect_list("place").alias("places")), "spots")
-    found = sort_stretches(cut_stretches(single.select("tid", "n_bytes", "text").join(small(spots, 8 * F.size("places") + 16), ["tid", "n_bytes"])))
+    found = sort_stretches(cut_stretches(single.select("tid", "n_bytes", "text").join(spots, ["tid", "n_bytes"])))
     whole = counted.where("copies > 1").select("tid", "n_bytes", F.lit(0).cast("bigint").alias("low"), F.col("n_bytes").alias("high"))
     cuts = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("cuts")
     return materialise(found.unionByName(whole).groupBy("tid", "n_bytes").agg(cuts), "cuts")
@@ -197,7 +197,7 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
 def apply_cuts(docs: DataFrame, digest: bool) -> DataFrame:
     cuts = repeated_runs(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = text_ids(docs.select("doc_id", "text")).join(small(cuts, 16 * F.size("cuts") + 16), ["tid", "n_bytes"], "left").select("doc_id", "text", "cuts")
+    joined = text_ids(docs.select("doc_id", "text")).join(cuts, ["tid", "n_bytes"], "left").select("doc_id", "text", "cuts")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data in chunks(batches):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL

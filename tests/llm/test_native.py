@@ -100,7 +100,7 @@ def test_thresholds_keep_their_promise(spark):
     rated = spark.createDataFrame(rows, "doc_id long, n_words long, symbol_rate double").selectExpr("*", "1 as stratum", "false as base_failed", "0d as dup_line_rate", "0d as repeat_rate", "5d as mean_chars")
     labels = spark.createDataFrame([(i, int(i < 8000), 0) for i in range(9000)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     chosen = quality.choose_cutoffs(rated, labels)
-    assert chosen[(1, "symbol_rate")] == 0.02
+    assert chosen[(1, "symbol_rate")] == 0.05
     assert quality.choose_cutoffs(rated, labels.limit(0)) == {}
     assert quality.choose_cutoffs(rated, labels.where("doc_id < 40")) == {}
 

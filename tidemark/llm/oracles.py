@@ -41,7 +41,7 @@ SUFFIX = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM
 
 def _quality() -> str:
     bands = " ".join(f"WHEN n_words >= {low} THEN {k}" for k, low in reversed(list(enumerate(quality.BANDS))))
-    tests = len(quality.BANDS) * sum(map(len, quality.GRID.values()))
+    tests = len(quality.BANDS) * len(quality.GRID)
     risk = quality.RISK / len(quality.GRID)
     grid = ", ".join(f"('{rate}', {cut}::DOUBLE)" for rate, cuts in quality.GRID.items() for cut in cuts)
     rate = "CASE name " + " ".join(f"WHEN '{r}' THEN {r}" for r in quality.GRID) + " END"
@@ -54,7 +54,7 @@ def _quality() -> str:
  m AS (SELECT *, CASE {bands} ELSE 0 END AS stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_rate, n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS mean_chars FROM b),
  h AS (SELECT m.* FROM m JOIN labels ON labels.doc_id = m.doc_id WHERE quality = 1 AND NOT base_failed), f AS (SELECT stratum, name, cut, count(*) AS n, count(*) FILTER ({rate} > cut) AS k FROM h, (VALUES {grid}) g(name, cut) GROUP BY 1, 2, 3),
  p AS (SELECT stratum, name, cut, sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r}))) AS tail FROM f, unnest(range(0, k + 1)) u(i) GROUP BY 1, 2, 3),
- z AS (SELECT stratum, name, min(cut) AS cut FROM p WHERE tail <= {quality.DELTA / tests!r} GROUP BY 1, 2), x AS (SELECT DISTINCT doc_id FROM m JOIN z ON z.stratum = m.stratum WHERE {rate} > cut)
+ y AS (SELECT stratum, name, cut, max(tail) OVER (PARTITION BY stratum, name ORDER BY cut DESC) AS worst FROM p), z AS (SELECT stratum, name, min(cut) AS cut FROM y WHERE worst <= {quality.DELTA / tests!r} GROUP BY 1, 2), x AS (SELECT DISTINCT doc_id FROM m JOIN z ON z.stratum = m.stratum WHERE {rate} > cut)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM m"""
 
 

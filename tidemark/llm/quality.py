@@ -3,9 +3,10 @@
 Base measures are counted in the row, on whole texts, by array functions.  Four rates follow from
 them (symbols, repeated lines, repeated words, mean word length).  For each stratum (a band of text
 length), labelled good documents are rejected at a rate of at most ``RISK``, which the rates share
-equally: a rate's cutoff is the lowest of a fixed grid for which the exact binomial test of "its false
-rejections exceed its share" is rejected at ``DELTA`` divided by all tests made (strata x rates x
-cutoffs, Bonferroni).  Where no cutoff passes, the rate rejects nothing in that stratum.
+equally: the exact binomial test of "its false rejections exceed its share" must be rejected at
+``DELTA`` divided by the number of strata and rates (Bonferroni).  A rate's cutoffs are tested from the
+highest down and the last before the first failure is taken (fixed-sequence testing, which needs no
+further division).  Where none passes, the rate rejects nothing in that stratum.
 
 Cases: a null or empty text has no words and fails the base rule; documents without label or with a
 null label take no part in the choice but are judged; labels without document are ignored; several
@@ -25,13 +26,13 @@ from tidemark.llm.base import WS_WORD, materialise, ws_words
 MIN_WORDS = 50
 #: Lower ends of the strata, in words.
 BANDS = (0, 200, 600)
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA = 0.03, 0.05
 #: rate -> cutoffs; a document is rejected above the cutoff.
 GRID = {
-    "symbol_rate": (0.02, 0.05, 0.1, 0.2, 0.5, 1.0),
-    "dup_line_rate": (0.1, 0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_rate": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4),
-    "mean_chars": (6.0, 6.5, 7.0, 7.5, 8.0, 10.0),
+    "symbol_rate": (0.05, 0.1, 0.2, 0.5, 1.0),
+    "dup_line_rate": (0.2, 0.3, 0.4, 0.5, 0.7),
+    "repeat_rate": (0.1, 0.15, 0.2, 0.3, 0.4),
+    "mean_chars": (6.5, 7.0, 7.5, 8.0, 10.0),
 }
 
 
@@ -100,13 +101,14 @@ def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delt
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"))
     held = rated.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_id"))
     falls = [F.sum((F.col(rate) > cut).cast("bigint")).alias(f"{rate}_{i}") for rate, cuts in GRID.items() for i, cut in enumerate(cuts)]
-    tests = len(BANDS) * sum(map(len, GRID.values()))
+    tests = len(BANDS) * len(GRID)
     chosen = {}
     for r in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *falls).collect():
         for rate, cuts in GRID.items():
-            passing = [cut for i, cut in enumerate(cuts) if binomial_tail(r[f"{rate}_{i}"], r["n"], risk / len(GRID)) <= delta / tests]
-            if passing:
-                chosen[(r["stratum"], rate)] = min(passing)
+            for i in reversed(range(len(cuts))):
+                if binomial_tail(r[f"{rate}_{i}"], r["n"], risk / len(GRID)) > delta / tests:
+                    break
+                chosen[(r["stratum"], rate)] = cuts[i]
     return chosen
 
 

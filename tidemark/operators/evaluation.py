@@ -133,3 +133,22 @@ def max_drawdown(df: DataFrame, x: str, time: str) -> DataFrame:
     w = order_by(time).rowsBetween(Window.unboundedPreceding, 0)
     run = df.withColumn("cum", F.sum(x).over(w)).withColumn("peak", F.max("cum").over(w))
     return run.agg((F.min(F.col("cum") - F.col("peak")) / 100).alias("max_drawdown_pct"), F.count(F.lit(1)).alias("n"))
+
+
+def long_forecasts(wide: DataFrame, time: str, models: list[str], benchmark: str) -> DataFrame:
+    """(time, actual, benchmark, name, model): a row for each model."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("name"), F.col(m).alias("model")) for m in models)))
+    return wide.select(time, "actual", F.col(benchmark).alias("benchmark"), each.alias("p")).select(time, "actual", "benchmark", "p.*")
+
+
+def evaluate(wide: DataFrame, time: str, models: list[str], benchmark: str, lags: int, returns: bool) -> DataFrame:
+    """Out-of-sample R2, RMSE, correlation and the test against the benchmark, by model.
+
+    Liquidity is tested by Diebold-Mariano, returns by Clark-West; both with Newey-West errors.
+    """
+    f = long_forecasts(wide, time, models, benchmark)
+    e0, e1 = F.pow(F.col("actual") - F.col("benchmark"), 2), F.pow(F.col("actual") - F.col("model"), 2)
+    d = e0 - (e1 - F.pow(F.col("benchmark") - F.col("model"), 2)) if returns else e0 - e1
+    tests = _statistic(newey_west(f.withColumn("d", d), "d", time, lags, ("name",))).select("name", "stat")
+    scores = f.groupBy("name").agg((1 - safe_div(F.sum(e1), F.sum(e0))).alias("r2"), F.sqrt(F.avg(e1)).alias("rmse"), F.corr("actual", "model").alias("corr"), F.count(F.lit(1)).alias("n"))
+    return scores.join(tests, "name")

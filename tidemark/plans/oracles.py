@@ -91,7 +91,17 @@ ASOF = f"WITH {TRADES}, {BUYS}, {QUOTES}, looks AS (SELECT event_id, h AS horizo
 OFI = f"{QUOTES}, o AS (SELECT update_id, event_time, mid, CAST(bid >= lag(bid) OVER w AS INT) * bid_qty - CAST(bid <= lag(bid) OVER w AS INT) * lag(bid_qty) OVER w - CAST(ask <= lag(ask) OVER w AS INT) * ask_qty + CAST(ask >= lag(ask) OVER w AS INT) * lag(ask_qty) OVER w AS ofi FROM q WINDOW w AS (ORDER BY event_time, update_id))"
 SPEARMAN = ["usd_volume", "realized_vol", "kyle_lambda", "amihud", "roll_spread_bps"]
 
+def evaluated() -> str:
+    lag = ", ".join(f"lag(e, {k}) OVER (PARTITION BY name ORDER BY bar) AS l{k}" for k in range(1, 6))
+    total = "sum(e * e)" + "".join(f" + 2 * {1 - k / 6!r} * coalesce(sum(e * l{k}), 0)" for k in range(1, 6))
+    return f"""WITH {FORECASTS}, f AS (SELECT bar, actual, benchmark, 'reversal' AS name, model FROM fc UNION ALL SELECT bar, actual, benchmark, 'momentum', 0.1 * last_ret FROM fc), d0 AS (SELECT *, (actual - benchmark) ** 2 - (actual - model) ** 2 AS d FROM f), d1 AS (SELECT *, d - avg(d) OVER (PARTITION BY name) AS e FROM d0), d2 AS (SELECT *, {lag} FROM d1)
+ SELECT name, round(1 - sum((actual - model) ** 2) / sum((actual - benchmark) ** 2), 6) AS r2, round(sqrt(avg((actual - model) ** 2)), 6) AS rmse, round(corr(actual, model), 6) AS corr, count(*) AS n, round(avg(d) / sqrt(({total}) / count(*) / count(*)), 6) AS stat FROM d2 GROUP BY 1"""
+
+
 SQL: dict[str, str] = {
+    "data_description": f"WITH {panel()} SELECT CAST(min(minute) AS VARCHAR) AS first_minute, CAST(max(minute) AS VARCHAR) AS last_minute, count(*) AS bars, round(1 - count(*) / (datediff('minute', min(minute), max(minute)) + 1), 6) AS empty_share, CAST(sum(n_trades) AS BIGINT) AS trades, round(arg_min(close, minute), 6) AS first_close, round(arg_max(close, minute), 6) AS last_close FROM mb",
+    "rolling_median_30d": "WITH days AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, CASE WHEN count(close) OVER w >= 10 THEN round(median(close) OVER w, 6) END AS median_close FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
+    "evaluate_forecasts": evaluated(),
     "minute_bars_from_trades": f"WITH {panel()} SELECT CAST(minute AS VARCHAR) AS minute, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume')} FROM mb",
     "bars_nmin_drop_empty": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume', 'ret_bp', 'imbalance', 'activity_dev', 'next_ret')} FROM panel",
     "bars_nmin_full_grid": f"""WITH {KLINES}, b AS (SELECT time_bucket(INTERVAL 5 MINUTE, time, TIMESTAMP '1970-01-01') AS bar, arg_min(open, time) AS open, arg_max(close, time) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume, sum(buy) AS buy, coalesce(sum(abs(ret)), 0) AS path_bp, sqrt(coalesce(sum(ret * ret), 0)) AS vol_bp, count(*) AS k FROM minutes GROUP BY 1),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from tidemark.operators import bars, book, evaluation, feeds, liquidity, models, regimes
+from tidemark.operators import bars, book, evaluation, feeds, liquidity, models, regimes, reports
 from tidemark.plans import oracles
 from tidemark.sources import roles
 
@@ -82,6 +82,18 @@ def _regime_rows(spark: SparkSession, sf: str) -> DataFrame:
     return joined
 
 
+def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    wide = _forecasts(spark, sf).select("bar", "actual", "benchmark", F.col("model").alias("reversal"), (0.1 * F.col("last_ret")).alias("momentum"))
+    return evaluation.evaluate(wide, "bar", ["reversal", "momentum"], "benchmark", 5, False)
+
+
+def _liquidity_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Walk-forward M0 to M2 for the next four hours' volatility, with the abnormal part under M2."""
+    t = bars.har_factors(bars.factor_panel(roles.minute_klines(spark, sf), 240, 0.05), 240)
+    out = models.walk_forward(t, "bar", "target_rv", lambda: models.make_models("rv"), _folds(t), models.columns_used("rv"), 40)
+    return models.abnormal(out, "m2")
+
+
 FEATURES = ["ret_5", "ret_20", "ret_60", "vol_10", "vol_30", "ma_ratio_20", "ma_ratio_60", "drawdown_60", "rsi_14"]
 MEDIANS = ["close", "usd_volume", "n_trades", "buy_share", "realized_vol", "kyle_lambda", "roll_spread_bps", "abdi_ranaldo_bps"]
 
@@ -141,6 +153,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "coverage_hard_gaps": lambda s, d: feeds.hard_gaps(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type")),
     "coverage_soft_gaps": lambda s, d: feeds.soft_gaps(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type"), 0.5),
     "coverage_report": lambda s, d: feeds.coverage(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type"), 0.5),
+    "data_description": lambda s, d: reports.describe_bars(bars.minute_bars(roles.trades(s, d))),
+    "rolling_median_30d": lambda s, d: roles.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close")).select("date", reports.rolling_median(F.col("close"), 30, "date").alias("median_close")),
+    "evaluate_forecasts": _evaluated,
+    "liquidity_forecasts": _liquidity_forecasts,
     "confusion_macro_f1": lambda s, d: evaluation.macro_f1(evaluation.confusion(regimes.labels(roles.daily_close(s, d), 30, 0.4).where("regime IS NOT NULL").withColumn("guess", F.dayofmonth("date") % 3), "regime", "guess")),
     "pin_quarterly": lambda s, d: models.pin_quarterly(_daily_minutes(s, d).select("date", F.rint(F.col("buy_volume") / 25).alias("buys"), F.rint(F.col("sell_volume") / 25).alias("sells"))),
     "placebo_sharpe": lambda s, d: models.placebo(_held(s, d), 500),

@@ -24,7 +24,7 @@ def docs(spark):
     odd = spark.createDataFrame(ODD, small.schema)
     from pyspark.sql import functions as F
 
-    return small.unionByName(odd).withColumns({"key": F.lit("k"), "size": F.lit(1), "words": F.lit("w"), "n": F.lit(0), "_id": F.lit(3)}).localCheckpoint()
+    return small.unionByName(odd).withColumns({"key": F.lit("k"), "size": F.lit(1), "words": F.lit("w"), "n": F.lit(0), "_id": F.lit(3)}).cache()
 
 
 @pytest.fixture(scope="session")

@@ -10,12 +10,13 @@ the points by size and coordinates; a node keeps its largest coordinates and sma
 pair of nodes is left out when even these cannot reach the similarity.  Cells beyond ``CELL`` points
 are dealt into pairs of parts, each a task of its own.
 
-Surviving pairs are verified on the whole sets, in two passes.  First each point proposes its best
+Surviving pairs meet finer points (as many groups as the set has members) and then the whole sets, in
+two passes.  First each point proposes its best
 partner of every cell; verified links make components.  Then every surviving pair across components
 is verified.  Pairs inside a component need no check, so large groups of copies stay linear.
 
 Cases: a null text or one without words has the empty set, links with nothing and is its own
-component; fewer than ``N`` words make one shingle; rows that repeat a doc_id come back as often; an
+component; fewer than ``N`` words make one shingle; rows that repeat a doc_id must repeat its text and come back as often; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,9 +34,11 @@ from tidemark.llm.base import materialise
 from tidemark.llm.components import components
 from tidemark.llm.shingling import chunks, shingle_sets
 
-N, PERCENT, GROUPS = 4, 85, 64
+N, PERCENT, GROUPS = 4, 85, 256
+#: Coordinates of the tree's nodes and of a pair's first test: sums of GROUPS / NODE groups.
+NODE = 32
 #: Points of a cell before it is dealt into parts; points of a leaf; cells up to SMALL are joined without a tree.
-CELL, LEAF, SMALL = 4096, 64, 24
+CELL, LEAF, SMALL = 1 << 16, 64, 24
 #: Ids that are sent to every executor (8 bytes each) before the texts are shuffled instead.
 BROADCAST_IDS = 1_000_000
 
@@ -76,23 +79,32 @@ class Points:
         else:
             self.vec = np.frombuffer(b"".join(vectors), np.uint8).reshape(-1, GROUPS)
 
+        self.low = self.vec.reshape(len(self.vec), -1, NODE).sum(axis=1, dtype=np.int64)
+        self.full = (self.vec == 65535).any(axis=1) if wide else np.zeros(len(self.vec), bool)
+
     def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The summed coordinate minima; a full coordinate counts as unbounded."""
-        low = np.minimum(self.vec[a], self.vec[b])
-        out = low.sum(axis=1, dtype=np.int64)
-        return out + np.where((low == 65535).any(axis=1), 1 << 40, 0) if low.dtype == np.uint16 else out
+        return np.minimum(self.vec[a], self.vec[b]).sum(axis=1, dtype=np.int64) + ((self.full[a] & self.full[b]).astype(np.int64) << 40)
 
     def survive(self, a: np.ndarray, b: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The pairs that sizes, components and count vectors leave, and their bounds as a share of both sizes."""
         keep = (100 * np.minimum(self.n[a], self.n[b]) >= PERCENT * np.maximum(self.n[a], self.n[b])) & (self.ids[a] != self.ids[b])
         if across:
             keep &= self.comps[a] != self.comps[b]
-        a, b, rate = a[keep], b[keep], []
-        for i in range(0, len(a), 1 << 17):
-            rate.append(self.overlap(a[i : i + (1 << 17)], b[i : i + (1 << 17)]) / (self.n[a[i : i + (1 << 17)]] + self.n[b[i : i + (1 << 17)]]))
-        rate = np.concatenate(rate) if rate else np.zeros(0)
-        good = rate * (100 + PERCENT) >= PERCENT - 1e-9
-        return a[good], b[good], rate[good]
+        a, b = a[keep], b[keep]
+        first, rates = [], []
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            need = PERCENT * (self.n[x] + self.n[y])
+            near = (np.minimum(self.low[x], self.low[y]).sum(axis=1) * (100 + PERCENT) >= need) | self.full[x] & self.full[y]
+            x, y, need = x[near], y[near], need[near]
+            bound = self.overlap(x, y)
+            good = bound * (100 + PERCENT) >= need
+            first.append((x[good], y[good]))
+            rates.append(bound[good] / (self.n[x[good]] + self.n[y[good]]))
+        if not first:
+            return a, b, np.zeros(0)
+        return np.concatenate([x for x, _ in first]), np.concatenate([y for _, y in first]), np.concatenate(rates)
 
 
 def tree_pairs(p: Points, rows: np.ndarray, sides: np.ndarray, across: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,16 +113,16 @@ def tree_pairs(p: Points, rows: np.ndarray, sides: np.ndarray, across: bool) ->
     ``sides``: 0 or 1 when the cell is a pair of parts (only pairs between them), 2 when it is whole.
     """
     band = np.floor(np.log(np.maximum(p.n[rows], 1)) / 0.04).astype(np.int64)
-    near = np.packbits(p.vec[rows][:, :8] > p.n[rows][:, None] / GROUPS, axis=1)[:, 0]
+    near = np.packbits(p.low[rows][:, :8] > p.n[rows][:, None] / NODE, axis=1)[:, 0]
     order = rows[np.lexsort((near, band, sides))]
     side = np.sort(sides)
     cuts = np.unique(np.concatenate([np.arange(0, len(order), LEAF), [np.searchsorted(side, 1)]]))
     cuts = cuts[cuts < len(order)]
     ends = np.append(cuts[1:], len(order))
-    top = np.maximum.reduceat(p.vec[order], cuts, axis=0).astype(np.int64)
+    top = np.maximum.reduceat(p.low[order], cuts, axis=0)
     low, high = np.minimum.reduceat(p.n[order], cuts), np.maximum.reduceat(p.n[order], cuts)
     one = np.where(np.minimum.reduceat(p.comps[order], cuts) == np.maximum.reduceat(p.comps[order], cuts), p.comps[order][cuts], -1) if across else None
-    full = (top == 65535).any(axis=1)
+    full = np.logical_or.reduceat(p.full[order], cuts)
     for i in range(len(cuts)):
         js = np.arange(i, len(cuts)) if side[0] == 2 else np.flatnonzero(side[cuts] == 1) if side[cuts[i]] == 0 else np.zeros(0, np.int64)
         js = js[(100 * np.minimum(high[js], high[i]) >= PERCENT * np.maximum(low[js], low[i]))]
@@ -187,31 +199,64 @@ def cell_join(cells: DataFrame, across: bool) -> DataFrame:
     return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of linked documents, by their whole sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def fine_vector(hashes: np.ndarray) -> bytes:
+    """Counts by as many groups as the set has members, to a power of two; a full coordinate is 255."""
+    groups = max(256, 1 << int(len(hashes) - 1).bit_length()) if len(hashes) else 256
+    return np.minimum(np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def fine_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed minima of two fine vectors, the longer folded to the shorter's groups."""
+    x, y = sorted((x, y), key=len)
+    full = (x == 255).any() or (y == 255).any()
+    low = np.minimum(x.astype(np.int64), y.reshape(-1, len(x)).sum(axis=0, dtype=np.int64)).sum()
+    return 1 << 40 if full else int(low)
+
+
+def described(ids: DataFrame, docs: DataFrame, how, name: str) -> DataFrame:
+    """(id, name): what ``how`` makes of the shingles of the documents in ``ids``."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingle_sets(texts, N)], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([how(s) for s in shingle_sets(texts, N)], pa.binary())], ["id", name])
+
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    return materialise(texts.mapInArrow(take, f"id bigint, {name} binary").dropDuplicates(["id"]), name)
+
+
+def filtered(pairs: DataFrame, table: DataFrame, name: str, passes) -> DataFrame:
+    """The pairs whose two descriptions pass."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(linked)), batch.column("b").filter(pa.array(linked))], ["a", "b"])
+            good = pa.array([passes(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], ["a", "b"])
 
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = materialise(texts.mapInArrow(take, "id bigint, shingles binary").dropDuplicates(["id"]), "sets")
-    one = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    return pairs.join(one, "b").join(two, "a").mapInArrow(compare, "a bigint, b bigint")
+    one = table.select(F.col("id").alias("b"), F.col(name).alias("y"))
+    two = table.select(F.col("id").alias("a"), F.col(name).alias("x"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of linked documents: first by finer count vectors, then by their whole sets."""
+
+    def near(x: pa.Buffer, y: pa.Buffer) -> bool:
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        return fine_overlap(x, y) * (100 + PERCENT) >= PERCENT * (int(x.sum(dtype=np.int64)) + int(y.sum(dtype=np.int64)))
+
+    def linked(x: pa.Buffer, y: pa.Buffer) -> bool:
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        both = np.concatenate([x, y])
+        both.sort()
+        same = int((both[1:] == both[:-1]).sum())
+        return 100 * same >= PERCENT * (len(x) + len(y) - same)
+
+    def ends(of: DataFrame) -> DataFrame:
+        return materialise(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+
+    close = materialise(filtered(pairs, described(ends(pairs), docs, fine_vector, "fine"), "fine", near), "close")
+    return filtered(close, described(ends(close), docs, lambda s: s.tobytes(), "shingles"), "shingles", linked)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -219,7 +264,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = materialise(signatures(docs.select("doc_id", "text")), "signatures")
     classes = signed.where("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"))
     members = materialise(signed.select("doc_id", "n", "key1", "key2").join(classes, ["key1", "key2"], "left").select("doc_id", "n", "rep"), "members")
-    reps = materialise(signed.join(members.where("doc_id = rep").select(F.col("rep")).distinct(), F.col("doc_id") == F.col("rep"), "left_semi").where("n > 0").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n", "vec", "prefix"), "reps")
+    standing = materialise(members.where("doc_id = rep").select(F.col("rep")).distinct(), "standing")
+    chosen = signed.where("n > 0").join(F.broadcast(standing) if standing.count() <= BROADCAST_IDS else standing, F.col("doc_id") == F.col("rep"), "left_semi")
+    reps = chosen.select(F.col("doc_id").alias("rep"), "n", "vec", "prefix")
 
     # cells: shingles that stand in the prefix of two sets at least; large ones in pairs of parts
     owned = reps.select("rep", F.explode("prefix").alias("token"))
@@ -236,15 +283,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         )
     )
     dealt = materialise(met.select("token", "rep", parts.alias("parts"), mine.alias("mine")), "cells")
-    cells = dealt.select("token", "rep", F.explode(unit).alias("u")).select("token", "rep", "u.unit", "u.side").join(reps.select("rep", "n", "vec"), "rep")
+    thin = dealt.select("token", "rep", F.explode(unit).alias("u")).select("token", "rep", "u.unit", "u.side")
+
+    def with_points(cells: DataFrame) -> DataFrame:
+        """The points come last, so that no other join moves their vectors."""
+        return cells.join(reps.select("rep", "n", "vec"), "rep")
 
-    proposed = materialise(cell_join(cells.withColumn("comp", F.col("rep")), across=False), "proposed")
+    proposed = materialise(cell_join(with_points(thin.withColumn("comp", F.col("rep"))), across=False), "proposed")
     links = materialise(verify(proposed, docs), "links")
     parts1 = components(links)
 
-    labelled = cells.join(parts1.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep"))
+    labelled = thin.join(parts1.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     mixed = labelled.groupBy("token", "unit").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token", "unit")
-    rest = materialise(cell_join(labelled.join(mixed, ["token", "unit"], "left_semi"), across=True).join(proposed, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(cell_join(with_points(labelled.join(mixed, ["token", "unit"], "left_semi")), across=True).join(proposed, ["a", "b"], "left_anti"), "rest")
     whole = components(links.unionByName(verify(rest, docs)))
     return members.join(whole, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.base import materialise
 from tidemark.llm.shingling import NOT_ALNUM, Words, chunks
 
 #: Names of groups that are swapped for one another, by language.
@@ -37,7 +38,8 @@ PREFIXES = (4, 5, 6, 7)
 FEATURE_BITS = 20
 KEPT, SAMPLE = 6000, 20_000
 PENALTY, DECAY, STEPS, RATE = 1.0, 2e-4, 300, 0.3
-SMALL = 1 << 20
+#: Labels (12 bytes each) that are sent to every executor; more are joined by a shuffle of the texts.
+BROADCAST_LABELS = 2_000_000
 
 
 def lower(texts: list[bytes]) -> list[bytes]:
@@ -128,6 +130,7 @@ def learn(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
     """A classifier from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    told = F.broadcast(told) if labels.count() <= BROADCAST_LABELS else told
     labelled = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(told, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([size[0], *seen[0][at]], pa.int64()), pa.array([size[1], *seen[1][at]], pa.int64())], ["feature", "clean", "toxic"])
 
     counts = labelled.select("text", "toxic").mapInArrow(spread, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = materialise(counts, "feature-counts")
     whole = counts.where("feature = -1").first()
     wanted = np.zeros(1 << FEATURE_BITS, bool)
     if whole is None or not whole["toxic"] or not whole["clean"]:

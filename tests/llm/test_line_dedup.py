@@ -55,3 +55,19 @@ def test_odd_rows(spark, docs, empty):
     assert len(got) == sum(len((r["text"] or "").split("\n")) for r in odd.collect())
     assert all(r["kept"] for r in got if r["component"] is None)
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_pairs_of_crowded_cells(spark, monkeypatch):
+    """Near copies among many lines of one template, whose cells hold more lines than the neighbours reach."""
+    rng = random.Random(7)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    frame = some(280)
+    lines = []
+    for _ in range(50):
+        line = frame + some(45)
+        lines += [line, line[:-6] + some(6)]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[i::10])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "CELL", 16, raising=False)
+    check(line_dedup.dedup_lines(docs).collect(), rows)

@@ -29,6 +29,8 @@ SHINGLE, SIMILARITY = 16, 0.8
 BANDS, ROWS = 8, 3
 #: Members before a line in its cell that it is paired with, beside the cell's smallest.
 NEIGHBOURS = 6
+#: Lines of a cell before it is dealt into parts.
+CELL = 1024
 #: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle of the lines.
 BROADCAST_IDS = 2_000_000
 
@@ -79,6 +81,31 @@ def cells(found: DataFrame) -> DataFrame:
     return minima.select("id", F.explode(bands).alias("cell"))
 
 
+def across(crowd: DataFrame, part: DataFrame, found: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: lines of one cell of ``crowd(cell, id, m)`` in different components whose sizes allow the similarity."""
+    labelled = crowd.join(part, F.col("id") == F.col("node"), "left").select("cell", "id", "m", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy(F.col("cell").alias("_cell")).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("_cell")
+    labelled = materialise(labelled.join(mixed, F.col("cell") == F.col("_cell"), "left_semi"), "line-mixed")
+    ids = materialise(labelled.select(F.col("id").alias("_id")).distinct(), "line-mixed-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    own = found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    # a generator of one row: the wide form is made once for each line
+    coded = own.select("id", F.explode(F.array(wide(F.col("line")))).alias("code"))
+    sizes = materialise(coded.select(F.col("id").alias("_id"), F.size(shingle_set(F.col("code"))).alias("n")), "line-sizes")
+    dealt = labelled.join(sizes, F.col("id") == F.col("_id")).withColumn("parts", F.ceil(F.col("m") / CELL)).withColumn("mine", F.pmod(F.xxhash64("id"), "parts"))
+    unit = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
+        lambda k: F.struct(
+            (F.least(k, F.col("mine")) * F.col("parts") + F.greatest(k, F.col("mine"))).alias("unit"),
+            F.when(k == F.col("mine"), F.lit(2)).when(F.col("mine") < k, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+        ),
+    )
+    dealt = dealt.select("cell", "id", "c", "n", F.explode(unit).alias("u")).select("cell", "u.unit", "u.side", "id", "c", "n")
+    one, two = (dealt.where(F.col("side") != other).select("cell", "unit", *(F.col(c).alias(c + end) for c in ("side", "id", "c", "n"))) for other, end in ((1, "x"), (0, "y")))
+    met = one.join(two, ["cell", "unit"]).where("cx <> cy AND (sidex = 0 OR idx < idy)").where((F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")))
+    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -95,19 +122,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     found = lines(docs.select("doc_id", "text"))
     spots = materialise(found.select("doc_id", "line_no", "id"), "lines")
     w = Window.partitionBy("cell").orderBy("id")
-    met = cells(found).select("id", F.min("id").over(w).alias("first"), *(F.lag("id", k).over(w).alias(f"before{k}") for k in range(1, NEIGHBOURS + 1)))
+    met = cells(found).select("cell", "id", F.count(F.lit(1)).over(Window.partitionBy("cell")).alias("m"), F.min("id").over(w).alias("first"), *(F.lag("id", k).over(w).alias(f"before{k}") for k in range(1, NEIGHBOURS + 1)))
     def paired(others: list[str]) -> DataFrame:
         return met.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array(*others))).alias("a")).where("a IS NOT NULL AND a <> b").select("a", "b").distinct()
 
     # most lines of a cell are united by two pairs each; of the other pairs only those across components are left to verify
-    met = materialise(met, "line-cells")
+    met = materialise(met.where("m > 1").withColumn("cell", F.when(F.col("m") > NEIGHBOURS + 2, F.col("cell"))), "line-cells")
     near = materialise(paired(["first", "before1"]), "line-pairs")
     links = materialise(verified(near, found), "line-links")
     part = components(links)
     ends = [part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
     rest = paired([f"before{k}" for k in range(2, NEIGHBOURS + 1)]).join(near, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "line-rest")
-    united = components(links.unionByName(verified(rest, found)))
+    links = materialise(links.unionByName(verified(rest, found)), "line-links")
+    united = components(links)
+    # the pairs of larger cells that the neighbours leave out
+    more = across(met.where("cell IS NOT NULL").select("cell", "id", "m"), united, found)
+    more = materialise(more.join(near, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "line-more")
+    if not more.isEmpty():
+        united = components(links.unionByName(verified(more, found)))
     placed = spots.join(united, F.col("id") == F.col("node"), "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component"))
     first = placed.where("component IS NOT NULL").groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     kept = F.col("component").isNull() | ((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no")))

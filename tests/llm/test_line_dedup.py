@@ -71,3 +71,13 @@ def test_pairs_of_crowded_cells(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(line_dedup, "CELL", 16, raising=False)
     check(line_dedup.dedup_lines(docs).collect(), rows)
+
+
+def test_small_edits_of_ordinary_lines(spark):
+    """One changed character or word leaves a line of ordinary length linked, whatever shingles the module takes."""
+    line = "The committee will meet again on Thursday to vote on the revised budget for the new library."
+    pairs = [(line, line.replace("Thursday", "Thursdax")), (line[:60].upper(), line[:60].upper().replace("MEET", "MEEX")), ("Contact us for more information about our services and prices today.", "Contact us for more information about our services and prices todax.")]
+    rows = [(k, "\n".join(p[k] for p in pairs)) for k in (0, 1)]
+    got = {(r["doc_id"], r["line_no"]): r["component"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[(0, k)] == got[(1, k)] for k in range(len(pairs)))
+    assert len(set(got.values())) == len(pairs)

@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.base import WS_WORD, materialise
 from tidemark.llm.components import components
 
-SHINGLE, SIMILARITY = 16, 0.8
+SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Members before a line in its cell that it is paired with, beside the cell's smallest.
 NEIGHBOURS = 6

@@ -76,3 +76,12 @@ def test_counterfactual_penalty_frees_identity_terms(spark, monkeypatch):
     assert gaps[0.0][0] > 0.3
     assert abs(gaps[20.0][0]) < 0.1 * gaps[0.0][0]
     assert gaps[20.0][1] < 0.7 * gaps[0.0][1]
+
+
+def test_feature_counts_do_not_depend_on_partitions(spark):
+    """A word as frequent in clean texts as in toxic ones is no feature, however the rows are dealt out."""
+    rows = [(i, f"{'vile ' if i % 20 == 0 else 'plain '}{'common' if i // 20 % 2 == i % 2 else 'rare'} word{i}") for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(160)], "doc_id long, toxic int")
+    few, many = (toxicity.fit(spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string"), labels).wanted for n in (1, 16))
+    assert few[toxicity.term_features("vile")].any() and not few[toxicity.term_features("common")].any()
+    assert (few == many).all()

@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
             for k in (0, 1):
                 seen[k] += np.bincount(feature[label[doc] == k], minlength=1 << FEATURE_BITS)
                 size[k] += int((label == k).sum())
-        at = np.flatnonzero(seen[1])
+        at = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int64()), pa.array([size[0], *seen[0][at]], pa.int64()), pa.array([size[1], *seen[1][at]], pa.int64())], ["feature", "clean", "toxic"])
 
     counts = labelled.select("text", "toxic").mapInArrow(spread, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))

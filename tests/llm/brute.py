@@ -94,8 +94,8 @@ def components(ids: list, pairs: list[tuple]) -> dict:
     return {i: root(i) for i in ids}
 
 
-def jaccard_components(docs: list[tuple], percent: int = 85) -> dict:
-    sets = [(d, shingles(t)) for d, t in docs]
+def jaccard_components(docs: list[tuple], n: int = 4, percent: int = 85) -> dict:
+    sets = [(d, shingles(t, n)) for d, t in docs]
     pairs = [
         (a, b)
         for i, (a, x) in enumerate(sets)

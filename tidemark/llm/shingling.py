@@ -90,15 +90,21 @@ class Words:
         return out
 
 
-def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
-    """Each text's distinct ``n``-word shingles as sorted 64-bit hashes; fewer words make one shingle."""
+def shingle_hashes(texts: list[bytes], n: int) -> tuple[np.ndarray, Words]:
+    """The hashes of all runs of ``n`` words in the batch, those across texts included, and its words."""
     words = Words(texts)
     factor = powers(n + 1, int(MIX1))[1:]
     whole = len(words.hash) - n + 1
     grams = np.zeros(max(whole, 0), dtype=np.uint64)
     for k in range(n if whole > 0 else 0):
         grams += words.hash[k : k + whole] * factor[k]
-    grams = splitmix(grams)
+    return splitmix(grams), words
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """Each text's distinct ``n``-word shingles as sorted 64-bit hashes; fewer words make one shingle."""
+    grams, words = shingle_hashes(texts, n)
+    factor = powers(n + 1, int(MIX1))[1:]
     out = []
     for i in range(len(texts)):
         a, b = words.first[i], words.first[i + 1]

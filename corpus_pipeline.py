@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by shingle sets, the one with the smallest doc_id stays."""
-    return jaccard_join.one_of_each(docs)
+    """Of each group of documents linked by their sets of five-word shingles (similarity 0.8), that with the smallest doc_id stays."""
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

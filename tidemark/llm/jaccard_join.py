@@ -12,10 +12,12 @@ and coordinates; a node keeps its largest coordinates and smallest size, and a p
 out when even these cannot reach the similarity.  Cells beyond ``CELL`` points are dealt into pairs
 of parts, each a task of its own.
 
-Pairs are found in two passes.  First each point goes to ``PICKS`` of its cells, where it proposes the
-first leader that its count vector can reach; verified links make components.  Then every pair of
-a cell that lies across components and survives the tree is verified, first by finer count vectors and
-then by the whole sets.  Pairs inside a component need no check, so large groups of copies stay linear.
+Pairs are found in three passes, each over the components of the links verified so far.  First each
+point goes to a few of its cells, where it proposes the first leader that its count vector can reach.
+Then it proposes, in a few cells again, the best partner of another component that the tree leaves.  Last,
+every pair of a cell that lies across components and survives the tree is verified, first by finer count
+vectors and then by the whole sets.  Pairs inside a component need no check, so large groups of copies
+stay linear; the first two passes only save work of the third.
 
 Cases: a null text or one without words has the empty set, links with nothing and is its own
 component; fewer than ``n`` words make one shingle.  Every row is a document: rows that repeat a
@@ -36,6 +38,7 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.base import materialise
 from tidemark.llm.components import components
+from tidemark.llm.counters import counter_of, frequent, hit_table
 from tidemark.llm.shingling import chunks, shingle_hashes, shingle_sets
 
 N, PERCENT, GROUPS = 4, 85, 256
@@ -43,42 +46,12 @@ N, PERCENT, GROUPS = 4, 85, 256
 NODE = 32
 #: Points of a cell before it is dealt into parts; points of a leaf; cells up to SMALL are joined without a tree.
 CELL, LEAF, SMALL = 1 << 13, 64, 24
-#: Cells of a point in the first pass, and leaders of a cell there.
-PICKS, LEADERS = 3, 16
-#: The frequency table has 2 ** COUNTERS counters, which travel in SLICES parts.
-COUNTERS, SLICES = 20, 64
-#: A counter with so many hits, and 16 times the mean, marks its shingles as frequent: their cells are counted by partial sums.
-FREQUENT = 1024
+#: Cells of a point in the first two passes, and leaders of a cell in the first.
+PICKS, LEADERS = (3, 6), 16
 #: Ids that are sent to every executor (some 40 bytes each there) before the texts are shuffled instead.
 BROADCAST_IDS = 500_000
 
 
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """Hits of each counter over all shingles of all texts (2 ** COUNTERS numbers, whatever the corpus)."""
-    width = (1 << COUNTERS) // SLICES
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNTERS, np.int64)
-        for _, texts in chunks(batches):
-            total += np.bincount((shingle_hashes(texts, n)[0] >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
-        if total.any():
-            parts = [total[k * width : (k + 1) * width].astype(np.uint32).tobytes() for k in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array(parts, pa.binary())], ["slice", "hits"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column("slice").to_pylist(), batch.column("hits").to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(part, np.uint32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["slice", "hits"])
-
-    shape = "slice bigint, hits binary"
-    out = np.zeros(1 << COUNTERS, np.int64)
-    for r in docs.select("text").mapInArrow(count, shape).repartition("slice").mapInArrow(add, shape).collect():
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["hits"], np.int64)
-    return out
-
-
 def vector(hashes: np.ndarray) -> bytes:
     counts = np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
     return (counts.astype(np.uint8) if counts.max(initial=0) < 255 else np.minimum(counts, 65535).astype(np.uint16)).tobytes()
@@ -93,9 +66,9 @@ def set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, n, key1, key2, vec, prefix) of every document; the lowest bit of a prefix shingle tells frequent ones."""
-    hits = frequencies(docs, n)
+    hits = hit_table(docs, lambda texts: shingle_hashes(texts, n)[0])
     level = np.frexp(hits.astype(float))[1].astype(np.uint8)
-    often = hits >= max(FREQUENT, 16 * hits.mean())
+    often = frequent(hits)
     sent = docs.sparkSession.sparkContext.broadcast((level, often))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +77,7 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = shingle_sets(texts, n)
             prefix = []
             for s in sets:
-                counter = (s >> np.uint64(64 - COUNTERS)).astype(np.int64)
+                counter = counter_of(s)
                 first = np.argsort(level[counter], kind="stable")[: len(s) - -(-percent * len(s) // 100) + 1]
                 prefix.append((s[first] & ~np.uint64(1) | often[counter[first]]).view(np.int64))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
@@ -219,6 +192,20 @@ def all_pairs(p: Points) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def best_pairs(p: Points) -> tuple[np.ndarray, np.ndarray]:
+    """Of the surviving pairs across components, each row's best by the share that its bound makes up; of equal ones the smallest id."""
+    a, b = all_pairs(p)
+    rate = np.zeros(len(a))
+    for i in range(0, len(a), 1 << 14):
+        x, y = a[i : i + (1 << 14)], b[i : i + (1 << 14)]
+        rate[i : i + (1 << 14)] = np.minimum(p.vec[x], p.vec[y]).sum(axis=1, dtype=np.int64) / (p.n[x] + p.n[y])
+    x, y, rate = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([rate, rate])
+    order = np.lexsort((p.ids[y], -rate, p.ids[x]))
+    own = p.ids[x[order]]
+    first = order[np.concatenate([[True], own[1:] != own[:-1]])[: len(own)]]
+    return x[first], y[first]
+
+
 def cell_join(cells: DataFrame, pairs_of, percent: int) -> DataFrame:
     """Distinct (a, b), a < b: what ``pairs_of`` finds in the cells (token, unit) of ``cells``."""
 
@@ -337,6 +324,22 @@ def shared_cells(reps: DataFrame) -> DataFrame:
     return materialise(rare.unionByName(owned.where(often).join(sized(counts), "token").select("rep", "token", "m")).select("token", "rep", "m"), "cells")
 
 
+def mixed_cells(cells: DataFrame, united: DataFrame) -> DataFrame:
+    """(token, rep, m, comp): the cells that hold points of several components."""
+    labelled = cells.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "m", F.coalesce("component", "rep").alias("comp"))
+    mixed = labelled.groupBy(F.col("token").alias("_t")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("_t")
+    return labelled.join(mixed, F.col("token") == F.col("_t"), "left_semi")
+
+
+def picked(cells: DataFrame, picks: int, salt: int) -> DataFrame:
+    """(token, unit, side, rep, comp): ``picks`` cells of each point, the same for points that share all; large cells in parts."""
+    least = [F.min(F.struct(F.xxhash64(F.lit(salt), F.lit(k), "token").alias("h"), "token", "m")) for k in range(picks)]
+    told = cells.groupBy("rep", "comp").agg(F.array(*least).alias("least"))
+    told = told.select("rep", "comp", F.explode(F.array_distinct(F.transform("least", lambda x: F.struct(x["token"].alias("token"), x["m"].alias("m"))))).alias("p"))
+    unit = F.pmod(F.xxhash64("rep", "p.token"), F.ceil(F.col("p.m") / CELL))
+    return told.select("rep", "p.token", unit.alias("unit"), F.lit(2).alias("side"), "comp")
+
+
 def unit_pairs(parts: Column, mine: Column) -> Column:
     """The pairs of parts that a row of part ``mine`` belongs to, and its side there."""
     return F.transform(
@@ -359,24 +362,23 @@ def class_components(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame,
     classes = materialise(classes, "classes")
     reps = signed.join(sized(classes.select(F.col("rep").alias("_rep"))), F.col("row") == F.col("_rep"), "left_semi").select(F.col("row").alias("rep"), "n", "vec", "prefix")
     cells = shared_cells(reps)
-    parts = F.ceil(F.col("m") / CELL).cast("int")
 
-    def with_points(rows: DataFrame) -> DataFrame:
+    def joined(rows: DataFrame, pairs_of, tag: str) -> DataFrame:
         """The points come last, so that no other join moves their vectors."""
-        return rows.join(reps.select("rep", "n", "vec"), "rep")
-
-    picked = cells.groupBy("rep").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "token").alias("h"), "token", "m")).alias(f"p{k}") for k in range(PICKS)))
-    picked = picked.select("rep", F.explode(F.array_distinct(F.array(*(F.struct(f"p{k}.token", f"p{k}.m") for k in range(PICKS))))).alias("p"))
-    picked = picked.select("rep", "p.token", F.pmod(F.xxhash64("rep", "p.token"), F.ceil(F.col("p.m") / CELL)).alias("unit"), F.lit(2).alias("side"), F.col("rep").alias("comp"))
-    proposed = materialise(cell_join(with_points(picked), leader_pairs, percent), "proposed")
-    links = linked(proposed, classes, docs, n, percent)
-    united = components(links)
+        return materialise(cell_join(rows.join(reps.select("rep", "n", "vec"), "rep"), pairs_of, percent), tag)
+
+    united = cells.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    tried, links = None, None
+    for round_, (picks, pairs_of) in enumerate(zip(PICKS, (leader_pairs, best_pairs), strict=True)):
+        proposed = joined(picked(mixed_cells(cells, united), picks, round_), pairs_of, "proposed")
+        proposed = proposed if tried is None else materialise(proposed.join(tried, ["a", "b"], "left_anti"), "proposed")
+        found = linked(proposed, classes, docs, n, percent)
+        tried, links = (proposed, found) if tried is None else (tried.unionByName(proposed), links.unionByName(found))
+        united = components(links)
 
-    labelled = cells.join(united.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "m", F.coalesce("component", "rep").alias("comp"))
-    mixed = labelled.groupBy(F.col("token").alias("_t")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("_t")
-    labelled = labelled.join(mixed, F.col("token") == F.col("_t"), "left_semi").withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    labelled = mixed_cells(cells, united).withColumn("parts", F.ceil(F.col("m") / CELL).cast("int")).withColumn("mine", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
     thin = labelled.select("token", "rep", "comp", F.explode(unit_pairs(F.col("parts"), F.col("mine"))).alias("u")).select("token", "rep", "comp", "u.unit", "u.side")
-    rest = materialise(cell_join(with_points(thin), all_pairs, percent).join(proposed, ["a", "b"], "left_anti"), "rest")
+    rest = materialise(joined(thin, all_pairs, "rest").join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         links = links.unionByName(linked(close(rest, classes, docs, n, percent), classes, docs, n, percent))
         united = components(links)

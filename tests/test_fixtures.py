@@ -129,19 +129,153 @@ def test_pin_recovers_parameters():
 
 def test_placebo_floor(spark):
     df = spark.createDataFrame([("s", i, float(1 if i % 2 else -1), float(1 if i % 2 else -1) + i / 1e4) for i in range(60)], "strategy string, bar int, pos double, ret double")
-    assert models.placebo(df, 2000).first()["p_value"] == pytest.approx(1 / 2001)
+    assert models.placebo(df, 15).first()["p_value"] == pytest.approx(1 / 2001)
+    flat = spark.createDataFrame([("f", i, 0.0, 1.0) for i in range(5)], df.schema)
+    assert tuple(models.placebo(flat, 15).first()) == ("f", None, None, 5)
 
 
-def test_router_gates_and_accuracy():
+def test_placebo_against_every_order(spark):
+    """The p-value comes near the share of all orders of the positions, costs paid."""
+    from itertools import permutations
+
+    import numpy as np
+
+    pos, ret, cost = [1.0, -1.0, 0.0, 1.0, -1.0, 1.0], [3.0, -2.0, 1.0, -1.0, 2.0, 0.5], 0.4
+
+    def ratio(p):
+        net = np.array(p) * ret - cost * np.abs(np.diff(p, prepend=0.0))
+        return net.mean() / net.std(ddof=1) * (525600 / 15) ** 0.5
+
+    every = [ratio(p) for p in permutations(pos)]
+    df = spark.createDataFrame([("s", i, p, r) for i, (p, r) in enumerate(zip(pos, ret, strict=True))], "strategy string, bar int, pos double, ret double")
+    got = models.placebo(df, 15, cost, draws=4000).first()
+    assert got["sharpe"] == pytest.approx(ratio(pos)) and got["n"] == 6
+    assert got["p_value"] == pytest.approx(np.mean(np.array(every) >= ratio(pos) - 1e-12), abs=0.03)
+
+
+def test_mixture_beats_chance(spark):
+    """Mean accuracy of the router over four invented series: above 0.42, where chance is a third."""
+    from tidemark.plans import regime_run
+
+    shares = []
+    for seed in range(4):
+        routing, metrics = regime_run.run(spark, regime_run.settings(seed=seed))
+        m = metrics.first()
+        shares.append(m["accuracy"])
+        assert m["n_test"] > 800 and m["share_bear"] + m["share_sideways"] + m["share_bull"] == pytest.approx(1)
+        assert -1 <= m["moe_ic"] <= 1 and -1 <= m["single_ic"] <= 1
+    assert sum(shares) / 4 > 0.42
+
+
+@pytest.mark.parametrize("hidden,top_k", [(0, 0), (4, 2)])
+def test_gates(spark, hidden, top_k):
     import numpy as np
 
+    from tidemark.operators import mixture
+
     rng = np.random.default_rng(0)
-    y = rng.integers(0, 3, 600)
-    x = rng.normal(size=(600, 4)) + np.eye(3)[y] @ rng.normal(0, 2, (3, 4))
-    moe = models.RegimeMoE(seed=1).fit(x, x[:, 0], y)
-    g, p = moe.predict(x)
-    assert np.allclose(g.sum(axis=1), 1) and ((g > 0).sum(axis=1) <= 2).all()
-    assert (g.argmax(axis=1) == y).mean() > 0.6 and np.isfinite(p).all()
+    y = rng.choice(3, 600, p=[0.7, 0.2, 0.1])
+    x = rng.normal(size=(600, 2)) + 2.5 * np.array([[0, 0], [1, 0], [0, 1]])[y]
+    df = spark.createDataFrame([(float(a), float(b), int(k)) for (a, b), k in zip(x, y, strict=True)], "a double, b double, regime int")
+    got = mixture.Gate(hidden=hidden, top_k=top_k, seed=3).fit(df, ["a", "b"], "regime").attach(df).collect()
+    g = np.array([r["gate"] for r in got])
+    assert np.allclose(g.sum(axis=1), 1) and ((g > 0).sum(axis=1) <= (top_k or 3)).all()
+    hits = [(g.argmax(axis=1) == [r["regime"] for r in got])[[r["regime"] == k for r in got]].mean() for k in range(3)]
+    assert min(hits) > 0.6  # the rarest class is found as well
+
+
+def test_experts_against_the_normal_equations(spark):
+    import numpy as np
+
+    from tidemark.operators import mixture
+
+    rng = np.random.default_rng(2)
+    k = rng.choice(3, 200, p=[0.5, 0.45, 0.05])
+    x = rng.normal(size=(200, 2))
+    y = (x * np.array([[1, 0], [0, 1], [2, 2]])[k]).sum(axis=1)
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(r)) for (a, b), c, r in zip(x, y, k, strict=True)], "a double, b double, y double, regime int")
+    own, single = mixture.experts(df, ["a", "b"], "regime", "y", alpha=10.0, least=30)
+    got = np.array([list(r) for r in df.select(*own, single).collect()])
+    z = np.column_stack([np.ones(200), (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9)])
+
+    def ridge(w):
+        return z @ np.linalg.solve((z.T * w) @ z + np.diag([0, 10.0, 10.0]), (z.T * w) @ y)
+
+    want = [ridge(np.where(k == c, 1, 0.05)) for c in (0, 1)] + [ridge(np.ones(200))] * 2  # the third regime has too few rows
+    assert np.allclose(got, np.array(want).T)
+
+
+def test_robust_errors_against_the_sum_over_lags(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    n, lags = 80, 5
+    x = rng.normal(size=(n, 2)).cumsum(axis=0) * 0.3
+    y = 1 + x @ np.array([0.5, -1.0]) + rng.normal(size=n).cumsum() * 0.2
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))], "t int, a double, b double, y double")
+    z = np.column_stack([np.ones(n), (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)])
+    inverse = np.linalg.inv(z.T @ z)
+    coef = inverse @ z.T @ y
+    u = z * (y - z @ coef)[:, None]
+    meat = u.T @ u
+    for h in range(1, lags + 1):
+        part = u[h:].T @ u[:-h]
+        meat += (1 - h / (lags + 1)) * (part + part.T)
+    got = models.hac_regression(df, ["a", "b"], "y", "t", lags).collect()
+    assert [r["coef"] for r in got] == pytest.approx(coef)
+    assert [r["se"] for r in got] == pytest.approx(np.sqrt(np.diag(inverse @ meat @ inverse)))
+
+
+def test_boosting_stops_early_and_learns(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1500, 2))
+    y = np.where(x[:, 0] > 0, 3.0, -1.0) + 0.1 * rng.normal(size=1500)
+    df = spark.createDataFrame([(float(a), float(b), float(c), 10.0) for (a, b), c in zip(x, y + 10, strict=True)], "a double, b double, y double, base double")
+    model = models.Boosting(["a", "b"], "base", rounds=60, step=0.3, least=20).fit(df, "y")
+    assert model.model.getNumTrees < 60
+    got = np.array([(r["y"], r["f"]) for r in model.attach(df, "f").collect()])
+    assert np.corrcoef(got.T)[0, 1] > 0.98 and abs((got[:, 0] - got[:, 1]).mean()) < 0.1
+
+
+def test_no_signal_is_no_position(spark):
+    df = spark.createDataFrame([(1, 5.0, 1.0, None, 2.0), (2, None, 1.0, 1.0, 2.0), (3, 1.0, 0.0, 0.0, None)], "bar int, actual double, model double, imbalance double, last_ret double")
+    got = {(r["strategy"], r["bar"]): r["pos"] for r in evaluation.positions(df).collect()}
+    assert got == {("forecast", 1): 1, ("forecast", 3): 0, ("follow_imbalance", 3): 0, ("fade_imbalance", 3): 0, ("buy_hold", 1): 1, ("buy_hold", 3): 1, ("momentum", 1): 1}
+
+
+def klines(spark, rows):
+    """(minute, open, high, low, close, volume, buys, trades) as kline columns."""
+    df = spark.createDataFrame(rows, "k int, open double, high double, low double, close double, volume double, taker_buy_base_volume double, num_trades long")
+    return df.withColumns({"time": F.expr("TIMESTAMP_NTZ'2024-01-01 23:58:00' + make_dt_interval(0, 0, k, 0)"), "quote_asset_volume": F.col("close") * F.col("volume")})
+
+
+def test_panel_measures(spark):
+    """Path length over volume, slope for 100 units, root of the squared returns, across midnight."""
+    closes = [100.0, 101.0, 100.0, 102.0, 101.0, 103.0]
+    rows = [(i, c, c + 1, c - 1, c, 2.0 + i, 1.0 + i % 3, 2) for i, c in enumerate(closes)]
+    got = bars.factor_panel(klines(spark, rows), 2, 0.5).orderBy("bar").collect()
+    r = [math.log(b / a) * 1e4 for a, b in zip(closes, closes[1:], strict=False)]
+    usd = 100 * 4 + 102 * 5
+    assert got[1]["path_bp"] == pytest.approx(abs(r[1]) + abs(r[2])) and got[1]["rv_bp"] == pytest.approx(math.hypot(r[1], r[2]))
+    assert got[1]["amihud"] == pytest.approx((abs(r[1]) + abs(r[2])) / (usd / 1e6))
+    signed = [2 * (1 + i % 3) - (2 + i) for i in range(6)]
+    assert got[1]["kyle"] == pytest.approx(100 * (r[2] - r[1]) / (signed[3] - signed[2]))
+    assert got[1]["range_bp"] == pytest.approx(math.log(103 / 99) * 1e4) and got[1]["avg_trade"] == pytest.approx(9 / 4)
+    assert got[0]["path_bp"] == pytest.approx(abs(r[0])) and got[0]["ret_bp"] is None
+
+
+def test_prices_of_zero(spark):
+    """A price of 0 has no return before or after it and breaks no measure."""
+    rows = [(i, c, c, c, c, v, v / 2, 1) for i, (c, v) in enumerate([(100.0, 1.0), (0.0, 1.0), (101.0, 0.0), (102.0, 2.0)])]
+    minutes = liquidity.prepare_minutes(klines(spark, rows))
+    assert [r["return_bps"] is None for r in minutes.orderBy("time").collect()] == [True, True, True, False]
+    for fn in (liquidity.kyle_daily, liquidity.amihud_daily, liquidity.roll_daily, liquidity.abdi_ranaldo_daily, liquidity.daily_basics, liquidity.vpin_daily, liquidity.trade_counts):
+        assert fn(minutes).count() >= 1
+    assert bars.har_factors(bars.factor_panel(klines(spark, rows), 1, 1.0), 1).count() == 4
+    zero = spark.createDataFrame([(1, [(0.0, 1.0)], [(0.0, 1.0)])], "snapshot long, bids array<struct<px:double,qty:double>>, asks array<struct<px:double,qty:double>>")
+    assert all(r["bps"] is None for r in book.slippage(zero, (1.0,)).collect())
 
 
 def test_tails(spark):

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import book
+from tidemark.operators import book, feeds
 from tidemark.sources import io as tio
 from tidemark.sources import roles
 from tidemark.streaming import capture
@@ -90,3 +90,24 @@ def test_streaming_order_flow(spark, tmp_path):
     got = {r["update_id"]: r["ofi"] for r in spark.table("flow").collect()}
     assert got.keys() == w.keys()
     assert all((a is None or a != a) if w[k] is None else a == pytest.approx(w[k]) for k, a in got.items())
+
+
+def test_tables_and_folders(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    for _ in range(2):
+        tio.append_csv(df, str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 4
+    for k in (1, 2):
+        tio.replace_parquet(df.where(f"k >= {k}"), str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    tio.write_small(df, str(tmp_path / "m"), "json")
+    assert spark.read.json(str(tmp_path / "m")).count() == 2
+    rows = df.selectExpr("k", "'h' AS host", "DATE'2024-01-01' AS date", "lpad(k, 2, '0') AS hour")
+    for _ in range(2):
+        rows.write.mode("append").partitionBy("host", "date", "hour").parquet(str(tmp_path / "cap" / "depth20"))
+    got = tio.partition_rows(spark, str(tmp_path / "cap"), host="h").collect()
+    assert sorted((r["stream"], int(r["hour"]), r["n"], r["files"]) for r in got) == [("depth20", 1, 2, 2), ("depth20", 2, 2, 2)]
+    spark.createDataFrame([("2017-08-17 05:00:00",), ("2017-08-18 00:00:00",)], "t string").selectExpr("cast(t as timestamp_ntz) AS time").write.parquet(str(tmp_path / "klines_2017"))
+    assert tio.read_year_klines(spark, str(tmp_path / "klines_*"), "2017-08-18").count() == 1
+    present = spark.createDataFrame([("depth20", 1, 17999), ("depth20", 2, 18000)], "stream string, hour int, n int")
+    assert [r["hour"] for r in feeds.low_cadence(present, 36_000).collect()] == [1]

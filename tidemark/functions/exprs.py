@@ -15,7 +15,12 @@ def nan_to_null(x: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     """NULL where the denominator is 0 or missing."""
-    return F.when(b != 0, a / b)
+    return F.try_divide(a, b)
+
+
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b); NULL where either is missing or not above 0 (a price of 0 has no return)."""
+    return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
 
 
 def pos_log(x: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import clip, order_by, rolling, safe_div
+from tidemark.functions.exprs import clip, log_ratio, order_by, pos_log, rolling, safe_div
+from tidemark.operators.liquidity import prepare_minutes
+
+DAY = 1440
 
 
 def minute_bars(trades: DataFrame) -> DataFrame:
@@ -23,12 +28,12 @@ def bar_panel(minutes: DataFrame, n: int) -> DataFrame:
         F.max_by("close", "minute").alias("close"), F.sum("buy_qty").alias("buy_qty"), F.sum("sell_qty").alias("sell_qty"), F.sum("n_trades").alias("n_trades"), F.sum("usd_volume").alias("usd_volume")
     ).where("n_trades > 0")
     w = order_by("bar")
-    day = max(1440 // n, 2)
+    day = max(DAY // n, 2)
     consecutive = F.lag("bar").over(w) == F.col("bar") - F.expr(f"INTERVAL {n} MINUTES")
     told = bars.withColumns({
-        "ret_bp": F.when(consecutive, F.ln(F.col("close") / F.lag("close").over(w)) * 1e4),
+        "ret_bp": F.when(consecutive, log_ratio(F.col("close"), F.lag("close").over(w)) * 1e4),
         "imbalance": safe_div(F.col("buy_qty") - F.col("sell_qty"), F.col("buy_qty") + F.col("sell_qty")),
-        "log_activity": F.ln("usd_volume"),
+        "log_activity": pos_log(F.col("usd_volume")),
     })
     told = told.withColumn("activity_dev", F.col("log_activity") - rolling(F.avg("log_activity"), F.col("log_activity"), w, day, day // 2, skip=1))
     return told.withColumn("next_ret", F.lead("ret_bp").over(w))
@@ -51,28 +56,46 @@ def full_grid(bars: DataFrame, time: str, step: str) -> DataFrame:
 
 
 def factor_panel(klines: DataFrame, n: int, share: float = 50 / 60) -> DataFrame:
-    """N-minute bars on the full grid: OHLC, sums, path length, realised variance and Kyle slope of the minutes.
+    """Bars of ``n`` minutes on the full grid, with the measures of the minutes inside them.
 
-    All but the count are NULL in bars with less than ``share`` of their minutes (50 of 60).
+    ``path_bp`` is the summed absolute minute return and ``amihud`` that path over a million of volume in
+    quote currency; ``kyle`` is the slope of minute returns on signed volume, for 100 units; ``rv_bp`` the
+    root of the summed squared minute returns.  All but the count of minutes are NULL in bars with less
+    than ``share`` of their minutes (50 of 60).
     """
-    w = order_by("time")
-    r = F.when(F.lag("time").over(w) == F.col("time") - F.expr("INTERVAL 1 MINUTE"), F.ln(F.col("close") / F.lag("close").over(w)) * 1e4)
-    minutes = klines.withColumns({"ret": r, "signed": 2 * F.col("taker_buy_base_volume") - F.col("volume")})
-    bars = minutes.groupBy(F.window("time", f"{n} minutes").start.alias("bar")).agg(
-        F.min_by("open", "time").alias("open"), F.max_by("close", "time").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.sum("quote_asset_volume").alias("usd_volume"),
-        F.sum("num_trades").alias("n_trades"), F.sum("taker_buy_base_volume").alias("buy_volume"), F.coalesce(F.sum(F.abs("ret")), F.lit(0.0)).alias("path_bp"), F.coalesce(F.sum(F.col("ret") * F.col("ret")), F.lit(0.0)).alias("rv"),
-        F.regr_slope("ret", "signed").alias("kyle"), F.count(F.lit(1)).alias("minutes_available"),
-    )
-    grid = full_grid(bars, "bar", f"{n} MINUTES")
-    grid = grid.withColumns({"minutes_available": F.coalesce("minutes_available", F.lit(0)), "ret_bp": F.ln(F.col("close") / F.lag("close").over(order_by("bar"))) * 1e4})
-    grid = grid.withColumn("amihud", safe_div(F.abs("ret_bp"), F.col("usd_volume") / 1e6)).withColumn("oib", safe_div(2 * F.col("buy_volume") - F.col("volume"), F.col("volume")))
+    bars = prepare_minutes(klines).groupBy(F.window("time", f"{n} minutes").start.alias("bar")).agg(
+        F.min_by("open", "time").alias("open"),
+        F.max_by("close", "time").alias("close"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.sum("volume").alias("volume"),
+        F.sum("buy_volume").alias("buy_volume"),
+        (F.sum("quote_asset_volume") / 1e6).alias("usd_volume_m"),
+        F.sum("num_trades").alias("n_trades"),
+        F.coalesce(F.sum(F.abs("return_bps")), F.lit(0.0)).alias("path_bp"),
+        F.sqrt(F.coalesce(F.sum(F.col("return_bps") * F.col("return_bps")), F.lit(0.0))).alias("rv_bp"),
+        (F.regr_slope("return_bps", "signed_volume") * 100).alias("kyle"),
+        F.count(F.lit(1)).alias("minutes_available"),
+    )
+    grid = full_grid(bars, "bar", f"{n} MINUTES").withColumns({
+        "minutes_available": F.coalesce("minutes_available", F.lit(0)),
+        "ret_bp": log_ratio(F.col("close"), F.lag("close").over(order_by("bar"))) * 1e4,
+        "range_bp": log_ratio(F.col("high"), F.col("low")) * 1e4,
+        "oib": safe_div(2 * F.col("buy_volume") - F.col("volume"), F.col("volume")),
+        "avg_trade": safe_div(F.col("volume"), F.col("n_trades")),
+        "amihud": safe_div(F.col("path_bp"), F.col("usd_volume_m")),
+    })
     whole = F.col("minutes_available") >= round(n * share)
     return grid.select("bar", "minutes_available", *(F.when(whole, F.col(c)).alias(c) for c in grid.columns if c not in ("bar", "minutes_available")))
 
 
+def hourly_panel(klines: DataFrame) -> DataFrame:
+    return factor_panel(klines, 60)
+
+
 def har_windows(n: int) -> tuple[tuple[int, int], tuple[int, int]]:
     """((day, least), (week, least)) in bars of ``n`` minutes."""
-    day, week = max(1440 // n, 5), max(10080 // n, 30)
+    day, week = max(DAY // n, 5), max(7 * DAY // n, 30)
     return (day, round(day * 18 / 24)), (week, round(week * 120 / 168))
 
 
@@ -89,21 +112,25 @@ def winsorized(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99
 
 
 def har_factors(panel: DataFrame, n: int) -> DataFrame:
-    """Factor table of the full-grid panel: last, day and week of each measure, seasonals, next-bar targets."""
+    """Factor table of the full-grid panel: last, day and week of each measure, seasonals, next-bar targets.
+
+    Seasonals belong to the bar that is forecast.  Bars of a day or more have no hour terms.
+    """
     w = order_by("bar")
-    base = panel.withColumns({
-        "log_amihud": F.when(F.col("amihud") > 0, F.ln("amihud")), "log_rv": F.when(F.col("rv") > 0, F.ln("rv")),
-        "log_volume": F.when(F.col("usd_volume") > 0, F.ln("usd_volume")), "log_size": F.when(F.col("n_trades") > 0, F.when(F.col("usd_volume") > 0, F.ln(F.col("usd_volume") / F.col("n_trades")))),
-    })
-    base = winsorized(base, "kyle")
+    logs = {"log_amihud": "amihud", "log_rv": "rv_bp", "log_volume": "usd_volume_m", "log_size": "avg_trade", "log_range": "range_bp"}
+    base = winsorized(panel.withColumns({k: pos_log(F.col(c)) for k, c in logs.items()}), "kyle")
     (day, day_least), (week, week_least) = har_windows(n)
+    recent = lambda agg, c: rolling(agg(c), F.col(c), w, day, day_least)
+    long_run = lambda agg, c: rolling(agg(c), F.col(c), w, week, week_least)
     out = {k: v for c in ("log_amihud", "log_rv", "kyle") for k, v in har_components(base, c, n).items()}
-    out |= {"ret_last": F.col("ret_bp"), "ret_day": rolling(F.sum("ret_bp"), F.col("ret_bp"), w, day, day_least), "ret_week": rolling(F.sum("ret_bp"), F.col("ret_bp"), w, week, week_least)}
-    out |= {"oib_last": F.col("oib"), "oib_day": rolling(F.avg("oib"), F.col("oib"), w, day, day_least)}
-    out |= {f"abn_{c}": F.col(c) - rolling(F.avg(c), F.col(c), w, week, week_least) for c in ("log_volume", "log_size")}
+    out |= {f"{c}_dev": F.col(c) - long_run(F.avg, c) for c in ("log_amihud", "log_rv", "kyle")}
+    out |= {"ret_last": F.col("ret_bp"), "ret_day": recent(F.sum, "ret_bp"), "ret_week": long_run(F.sum, "ret_bp")}
+    out |= {"oib_last": F.col("oib"), "oib_day": recent(F.avg, "oib"), "log_range": F.col("log_range")}
+    out |= {f"abn_{c}": F.col(c) - long_run(F.avg, c) for c in ("log_volume", "log_size", "log_range")}
     ahead = F.col("bar") + F.expr(f"INTERVAL {n} MINUTES")
-    angle = F.hour(ahead) * (2 * 3.141592653589793 / 24)
-    out |= {"hour_sin": F.sin(angle), "hour_cos": F.cos(angle), "hour_sin2": F.sin(2 * angle), "hour_cos2": F.cos(2 * angle), "weekend": (F.weekday(ahead) >= 5).cast("int")}
+    out |= {"weekend": (F.weekday(ahead) >= 5).cast("int")}
+    if n < DAY:
+        angle = F.hour(ahead) * (2 * math.pi / 24)
+        out |= {"hour_sin": F.sin(angle), "hour_cos": F.cos(angle), "hour_sin2": F.sin(2 * angle), "hour_cos2": F.cos(2 * angle), "hour_of_day": F.hour(ahead)}
     out |= {f"target_{k}": F.lead(c).over(w) for k, c in (("amihud", "log_amihud"), ("kyle", "kyle"), ("rv", "log_rv"), ("return", "ret_bp"))}
-    told = base.select("bar", *(v.alias(k) for k, v in out.items()))
-    return told.withColumns({f"{c}_dev": F.col(f"{c}_last") - F.col(f"{c}_week") for c in ("log_amihud", "log_rv", "kyle")})
+    return base.select("bar", *(v.alias(k) for k, v in out.items()))

@@ -34,12 +34,12 @@ def effective_spreads(trades: DataFrame, quotes: DataFrame, horizons: tuple[int,
     later = mids.where("horizon > 0").select("agg_trade_id", "horizon", F.col("mid").alias("m_after"))
     d = F.when(F.col("is_buyer_maker"), -1.0).otherwise(1.0)
     told = trades.select("agg_trade_id", "price", "quantity", d.alias("d")).join(now, "agg_trade_id").join(later, "agg_trade_id")
-    es, pi = 2 * F.col("d") * (F.col("price") - F.col("m")) / F.col("m") * 1e4, 2 * F.col("d") * (F.col("m_after") - F.col("m")) / F.col("m") * 1e4
-    return told.where("m IS NOT NULL AND m_after IS NOT NULL").select("agg_trade_id", "horizon", "quantity", es.alias("es"), pi.alias("pi"), (es - pi).alias("rs"))
+    es, pi = (safe_div(2 * F.col("d") * (x - F.col("m")), F.col("m")) * 1e4 for x in (F.col("price"), F.col("m_after")))
+    return told.where("m <> 0 AND m_after IS NOT NULL").select("agg_trade_id", "horizon", "quantity", es.alias("es"), pi.alias("pi"), (es - pi).alias("rs"))
 
 
 def spread_summary(spreads: DataFrame) -> DataFrame:
-    weighted = lambda c: (F.sum(F.col(c) * F.col("quantity")) / F.sum("quantity")).alias(f"{c}_vw")
+    weighted = lambda c: safe_div(F.sum(F.col(c) * F.col("quantity")), F.sum("quantity")).alias(f"{c}_vw")
     return spreads.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_trades"), weighted("es"), weighted("pi"), weighted("rs"), F.median("es").alias("es_median"), F.median("pi").alias("pi_median"), F.median("rs").alias("rs_median"))
 
 
@@ -86,7 +86,7 @@ def impact_bins(quotes: DataFrame, trades: DataFrame, seconds: int = 10) -> Data
     t = trades.groupBy(F.window("recv_time", width).start.alias("bin")).agg(F.sum(signed).alias("signed_volume"))
     ends = t.agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
     joined = q.join(t, "bin", "left").crossJoin(F.broadcast(ends)).where("bin BETWEEN _a AND _b")
-    return joined.select("bin", ((F.col("last") / F.col("first") - 1) * 1e4).alias("y"), "ofi", F.coalesce("signed_volume", F.lit(0.0)).alias("signed_volume"))
+    return joined.select("bin", ((safe_div(F.col("last"), F.col("first")) - 1) * 1e4).alias("y"), "ofi", F.coalesce("signed_volume", F.lit(0.0)).alias("signed_volume"))
 
 
 def impact_regressions(bins: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def slippage(depth: DataFrame, sizes: tuple[float, ...]) -> DataFrame:
     mid = (F.try_element_at("bids", F.lit(1))["px"] + F.try_element_at("asks", F.lit(1))["px"]) / 2
     told = depth.withColumn("mid", mid).where("mid IS NOT NULL").select("*", F.explode(F.array(*(F.lit(float(s)) for s in sizes))).alias("size"))
     both = told.select("snapshot", "mid", "size", F.explode(F.array(F.struct(F.lit("buy").alias("side"), F.lit(1.0).alias("sign"), walk(F.col("asks")).alias("w")), F.struct(F.lit("sell").alias("side"), F.lit(-1.0).alias("sign"), walk(F.col("bids")).alias("w")))).alias("p")).select("snapshot", "mid", "size", "p.*")
-    cost = F.col("sign") * (F.col("w.n") / F.col("size") - F.col("mid")) / F.col("mid") * 1e4
+    cost = safe_div(F.col("sign") * (F.col("w.n") / F.col("size") - F.col("mid")), F.col("mid")) * 1e4
     return both.select("snapshot", "side", "size", F.when(F.col("w.c") >= F.col("size"), cost).alias("bps"), (F.col("w.c") < F.col("size")).alias("thin"))
 
 

@@ -20,7 +20,7 @@ def newey_west(df: DataFrame, x: str, time: str, lags: int, by: tuple[str, ...]
     for k in range(1, lags + 1):
         total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(F.col("_e") * F.col(f"_l{k}")), F.lit(0.0))
     n = F.count(F.lit(1))
-    aggs = [n.alias("n"), F.avg(x).alias("mean"), (total / n / n).alias("var_mean")]
+    aggs = [n.alias("n"), F.avg(x).alias("mean"), safe_div(total, n * n).alias("var_mean")]
     return lagged.groupBy(*by).agg(*aggs) if by else lagged.agg(*aggs)
 
 
@@ -29,7 +29,7 @@ def newey_west_lags(bars_per_day: float) -> int:
 
 
 def _statistic(df: DataFrame) -> DataFrame:
-    return df.withColumn("se", F.sqrt("var_mean")).withColumn("stat", F.when(F.col("var_mean") > 0, F.col("mean") / F.col("se"))).drop("var_mean")
+    return df.withColumn("se", F.sqrt("var_mean")).withColumn("stat", F.when(F.col("var_mean") > 0, safe_div(F.col("mean"), F.col("se")))).drop("var_mean")
 
 
 def diebold_mariano(f: DataFrame, time: str, lags: int) -> DataFrame:
@@ -44,7 +44,7 @@ def clark_west(f: DataFrame, time: str, lags: int | None) -> DataFrame:
     told = f.withColumn("d", e0 - (e1 - gap))
     if lags is not None:
         return _statistic(newey_west(told, "d", time, lags))
-    return _statistic(told.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), (F.var_samp("d") / F.count("d")).alias("var_mean")))
+    return _statistic(told.agg(F.count("d").alias("n"), F.avg("d").alias("mean"), safe_div(F.var_samp("d"), F.count("d")).alias("var_mean")))
 
 
 def with_p_value(stats: DataFrame, two_sided: bool = False) -> DataFrame:
@@ -59,10 +59,10 @@ def pesaran_timmermann(f: DataFrame, zeros: bool) -> DataFrame:
     s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg((up == said).cast("double")).alias("hit_rate"), F.avg(up).alias("py"), F.avg(said).alias("forecast_up_share"))
     py, px, n = F.col("py"), F.col("forecast_up_share"), F.col("n")
     expected = py * px + (1 - py) * (1 - px)
-    v1 = expected * (1 - expected) / n
-    v2 = (F.pow(2 * py - 1, 2) * px * (1 - px) + F.pow(2 * px - 1, 2) * py * (1 - py)) / n + 4 * py * px * (1 - py) * (1 - px) / n / n
+    v1 = safe_div(expected * (1 - expected), n)
+    v2 = safe_div(F.pow(2 * py - 1, 2) * px * (1 - px) + F.pow(2 * px - 1, 2) * py * (1 - py), n) + safe_div(4 * py * px * (1 - py) * (1 - px), n * n)
     var = F.greatest(v1 - v2, F.lit(1e-18)) if zeros else v1 - v2
-    return s.select("n", "hit_rate", "forecast_up_share", F.when(var > 0, (F.col("hit_rate") - expected) / F.sqrt(F.when(var > 0, var))).alias("stat"))
+    return s.select("n", "hit_rate", "forecast_up_share", safe_div(F.col("hit_rate") - expected, F.sqrt(F.when(var > 0, var))).alias("stat"))
 
 
 def oos_r2(f: DataFrame, by: list, benchmark: bool = True) -> DataFrame:
@@ -71,12 +71,15 @@ def oos_r2(f: DataFrame, by: list, benchmark: bool = True) -> DataFrame:
 
 
 def positions(f: DataFrame) -> DataFrame:
-    """Long format (bar, strategy, pos, ret): forecast sign, follow and fade the imbalance, buy and hold, flat."""
+    """Long format (bar, strategy, pos, ret): forecast sign, follow and fade the imbalance, buy and hold, momentum.
+
+    A bar without a signal or without a next return is no bar of that strategy.
+    """
     rules: list[tuple[str, Column]] = [
         ("forecast", F.signum("model")), ("follow_imbalance", F.signum("imbalance")), ("fade_imbalance", -F.signum("imbalance")), ("buy_hold", F.lit(1.0)), ("momentum", F.signum("last_ret")),
     ]
-    p = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), F.coalesce(v, F.lit(0.0)).alias("pos")) for k, v in rules)))
-    return f.where("actual IS NOT NULL").select("bar", F.col("actual").alias("ret"), p.alias("p")).select("bar", "p.*", "ret")
+    p = F.explode(F.array(*(F.struct(F.lit(k).alias("strategy"), v.alias("pos")) for k, v in rules)))
+    return f.where("actual IS NOT NULL").select("bar", F.col("actual").alias("ret"), p.alias("p")).select("bar", "p.*", "ret").where("pos IS NOT NULL")
 
 
 def pnl(held: DataFrame, costs: tuple[float, ...] = (0.0, 1.0, 10.0)) -> DataFrame:
@@ -92,14 +95,14 @@ def strategy_summary(net: DataFrame, bar_minutes: int) -> DataFrame:
     run = run.withColumn("peak", F.max("cum").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     sd = F.stddev_samp("pnl")
     return run.groupBy("strategy", "cost_bp").agg(
-        F.avg("pnl").alias("mean_bp"), F.when(sd > 0, F.avg("pnl") / sd * (525600 / bar_minutes) ** 0.5).alias("sharpe"), (F.sum("pnl") / 100).alias("total_pct"),
-        (F.min(F.col("cum") - F.col("peak")) / 100).alias("max_drawdown_pct"), (F.sum((F.col("traded") > 0).cast("long")) / F.count(F.lit(1)) * (1440 / bar_minutes)).alias("trades_per_day"), F.count(F.lit(1)).alias("n"),
+        F.avg("pnl").alias("mean_bp"), F.when(sd > 0, safe_div(F.avg("pnl"), sd) * (525600 / bar_minutes) ** 0.5).alias("sharpe"), (F.sum("pnl") / 100).alias("total_pct"),
+        (F.min(F.col("cum") - F.col("peak")) / 100).alias("max_drawdown_pct"), (F.sum("traded") / F.count(F.lit(1)) * (1440 / bar_minutes)).alias("trades_per_day"), F.count(F.lit(1)).alias("n"),
     )
 
 
 def breakeven_fee(net: DataFrame) -> DataFrame:
     gross = net.where("cost_bp = 0").groupBy("strategy").agg(F.sum("pnl").alias("gross"), F.sum("traded").alias("traded"))
-    return gross.select("strategy", "gross", "traded", F.when((F.col("strategy") != "buy_hold") & (F.col("traded") > 0), F.col("gross") / F.col("traded")).alias("breakeven_bp"))
+    return gross.select("strategy", "gross", "traded", F.when(F.col("strategy") != "buy_hold", safe_div(F.col("gross"), F.col("traded"))).alias("breakeven_bp"))
 
 
 def yearly_pivot(net: DataFrame, years: list[int], unit: str = "year") -> DataFrame:
@@ -119,8 +122,8 @@ def macro_f1(counts: DataFrame) -> DataFrame:
     t = counts.select(F.explode(F.array(F.struct(F.col("label").alias("c"), F.col("n").alias("row"), F.lit(0).cast("long").alias("col")), F.struct(F.col("pred").alias("c"), F.lit(0).cast("long").alias("row"), F.col("n").alias("col")))).alias("e"), F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0).alias("d"))
     per = t.groupBy("e.c").agg(F.sum("e.row").alias("row"), F.sum("e.col").alias("col"), (F.sum("d") / 2).alias("hit"))
     precision, recall = F.col("hit") / F.greatest("col", F.lit(1)), F.col("hit") / F.greatest("row", F.lit(1))
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
-    return per.agg(F.avg(f1).alias("macro_f1"), (F.sum("hit") / F.sum("row")).alias("accuracy"))
+    f1 = F.coalesce(safe_div(2 * precision * recall, precision + recall), F.lit(0.0))
+    return per.agg(F.avg(f1).alias("macro_f1"), safe_div(F.sum("hit"), F.sum("row")).alias("accuracy"))
 
 
 def trading_stats(df: DataFrame, forecast: str, ret: str) -> DataFrame:

@@ -33,6 +33,11 @@ def news_rows(feed: DataFrame, name: str, id: str, body: str, keywords: tuple[st
     return told.where(mentions(F.lit(""), F.col("body"), keywords)).select("id", F.lit(f"rss:{name}").alias("source"), F.length("body").alias("n_chars"), F.md5("body").alias("body_md5"))
 
 
+def common(one: DataFrame, two: DataFrame, key: str) -> DataFrame:
+    """The keys that both tables have, each once."""
+    return one.select(key).intersect(two.select(key))
+
+
 def unseen(batch: DataFrame, seen: DataFrame, id: str, within_batch: bool) -> DataFrame:
     """Rows whose id is not stored; with ``within_batch`` each id once."""
     known = seen.select(F.col(id).alias("_seen")).distinct()
@@ -59,7 +64,12 @@ def soft_gaps(present: DataFrame, share: float = 0.2) -> DataFrame:
     w = Window.partitionBy("stream")
     ranked = present.withColumns({"_r": F.row_number().over(w.orderBy("n", "hour")), "_c": F.count(F.lit(1)).over(w)})
     median = ranked.where(F.col("_r") == F.floor(F.col("_c") / 2) + 1).select("stream", F.col("n").alias("median_n"))
-    return present.join(F.broadcast(median), "stream").where(F.col("n") < F.greatest(F.lit(1.0), share * F.col("median_n"))).select("stream", "hour", "n", "median_n")
+    return present.join(median, "stream").where(F.col("n") < F.greatest(F.lit(1.0), share * F.col("median_n"))).select("stream", "hour", "n", "median_n")
+
+
+def low_cadence(present: DataFrame, per_hour: float, share: float = 0.5) -> DataFrame:
+    """Hours with fewer rows than ``share`` of what a stream of fixed cadence sends."""
+    return present.where(F.col("n") < share * per_hour).select("stream", "hour", "n", F.lit(float(per_hour)).alias("expected_n"))
 
 
 def coverage(present: DataFrame, share: float = 0.2) -> DataFrame:

@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.exprs import order_by, rolling, safe_div
+from tidemark.functions.exprs import bucketed_last, log_ratio, order_by, pos_log, rolling, safe_div
 
 
 def prepare_minutes(klines: DataFrame) -> DataFrame:
-    """Side volumes, and the return in bp where the minute before is there."""
-    w = order_by("time")
-    near = F.lag("time").over(w) == F.col("time") - F.expr("INTERVAL 1 MINUTE")
-    return klines.withColumns({
-        "buy_volume": F.col("taker_buy_base_volume"), "sell_volume": F.col("volume") - F.col("taker_buy_base_volume"), "signed_volume": 2 * F.col("taker_buy_base_volume") - F.col("volume"),
-        "return_bps": F.when(near, F.ln(F.col("close") / F.lag("close").over(w)) * 1e4), "date": F.to_date("time"),
-    })
+    """Side volumes, and the return in bp where the minute before is there.
+
+    Days are worked on in parallel; the last minute of the day before comes from one row for each day.
+    A minute whose price, or the price before, is 0 or missing has no return.
+    """
+    dated = klines.withColumn("date", F.to_date("time"))
+    held = bucketed_last(dated, {"_before": F.struct("time", "close")}, ["time"], "date")
+    near = F.col("_before.time") == F.col("time") - F.expr("INTERVAL 1 MINUTE")
+    return held.withColumns({
+        "buy_volume": F.col("taker_buy_base_volume"),
+        "sell_volume": F.col("volume") - F.col("taker_buy_base_volume"),
+        "signed_volume": 2 * F.col("taker_buy_base_volume") - F.col("volume"),
+        "return_bps": F.when(near, log_ratio(F.col("close"), F.col("_before.close")) * 1e4),
+    }).drop("_before")
 
 
 def regression_by(df: DataFrame, by: list, y: str = "return_bps", x: str = "signed_volume") -> DataFrame:
@@ -41,7 +48,7 @@ def ols_hc0(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:
 
 def amihud_daily(minutes: DataFrame) -> DataFrame:
     days = minutes.groupBy("date").agg(F.max_by("close", "time").alias("close"), F.sum("quote_asset_volume").alias("usd"))
-    return days.select("date", safe_div(F.abs(F.ln(F.col("close") / F.lag("close").over(order_by("date")))) * 1e4, F.col("usd") / 1e6).alias("amihud"))
+    return days.select("date", safe_div(F.abs(log_ratio(F.col("close"), F.lag("close").over(order_by("date")))) * 1e4, F.col("usd") / 1e6).alias("amihud"))
 
 
 def roll_daily(minutes: DataFrame) -> DataFrame:
@@ -51,8 +58,8 @@ def roll_daily(minutes: DataFrame) -> DataFrame:
 
 
 def abdi_ranaldo_daily(minutes: DataFrame) -> DataFrame:
-    eta = (F.ln("high") + F.ln("low")) / 2
-    told = minutes.select("date", "time", F.ln("close").alias("c"), eta.alias("eta")).withColumn("next", F.lead("eta").over(Window.partitionBy("date").orderBy("time")))
+    eta = (pos_log(F.col("high")) + pos_log(F.col("low"))) / 2
+    told = minutes.select("date", "time", pos_log(F.col("close")).alias("c"), eta.alias("eta")).withColumn("next", F.lead("eta").over(Window.partitionBy("date").orderBy("time")))
     mean = F.avg((F.col("c") - F.col("eta")) * (F.col("c") - F.col("next")))
     return told.groupBy("date").agg(mean.alias("m")).select("date", F.when(F.col("m").isNotNull(), F.sqrt(F.greatest(4 * F.col("m"), F.lit(0.0))) * 1e4).alias("abdi_ranaldo_bps"))
 
@@ -73,10 +80,10 @@ def vpin_daily(minutes: DataFrame, per_day: int = 50, window: int = 50) -> DataF
     """
     days = minutes.groupBy("date").agg(F.sum("volume").alias("v"))
     size = F.avg("v").over(Window.partitionBy(F.trunc("date", "month"))) / per_day
-    sized = days.withColumn("size", size).withColumn("clock", F.col("v") / F.col("size"))
+    sized = days.withColumn("size", size).withColumn("clock", safe_div(F.col("v"), F.col("size")))
     start = F.coalesce(F.sum("clock").over(order_by("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     clocked = minutes.join(sized.select("date", "size", start.alias("start")), "date")
-    run = F.sum(F.col("volume") / F.col("size")).over(Window.partitionBy("date").orderBy("time").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(safe_div(F.col("volume"), F.col("size"))).over(Window.partitionBy("date").orderBy("time").rowsBetween(Window.unboundedPreceding, 0))
     buckets = clocked.withColumn("bucket", F.floor(F.round(F.col("start") + run, 9))).groupBy("bucket").agg(F.sum("buy_volume").alias("b"), F.sum("sell_volume").alias("s"), F.max("time").alias("end"))
     told = buckets.withColumn("imbalance", safe_div(F.abs(F.col("b") - F.col("s")), F.col("b") + F.col("s")))
     told = told.withColumn("vpin", rolling(F.avg("imbalance"), F.col("imbalance"), order_by("bucket"), window))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import order_by, rolling
+from tidemark.functions.exprs import log_ratio, order_by, rolling, safe_div
 
 
 def features(days: DataFrame) -> DataFrame:
@@ -14,28 +14,28 @@ def features(days: DataFrame) -> DataFrame:
         days = days.withColumn("sentiment", F.lit(0.0))
     w = order_by("date")
     c, s = F.col("close"), F.col("sentiment")
-    base = days.withColumns({"r": F.ln(c) - F.ln(F.lag(c).over(w)), "step": c - F.lag(c).over(w)})
+    base = days.withColumns({"r": log_ratio(c, F.lag(c).over(w)), "step": c - F.lag(c).over(w)})
     base = base.withColumns({"up": F.when(F.col("step").isNotNull(), F.greatest("step", F.lit(0.0))), "down": F.when(F.col("step").isNotNull(), -F.least("step", F.lit(0.0)))})
     mean = lambda x, n: rolling(F.avg(x), F.col(x), w, n)
     dev = lambda x, n: rolling(F.stddev_samp(x), F.col(x), w, n)
     rs = mean("up", 14) / (mean("down", 14) + 1e-12)
     return base.select(
-        "date", "close", *((F.ln(c) - F.ln(F.lag(c, k).over(w))).alias(f"ret_{k}") for k in (5, 20, 60)), dev("r", 10).alias("vol_10"), dev("r", 30).alias("vol_30"), (c / mean("close", 20) - 1).alias("ma_ratio_20"), (c / mean("close", 60) - 1).alias("ma_ratio_60"),
-        (c / rolling(F.max("close"), c, w, 60) - 1).alias("drawdown_60"), ((1 - 1 / (1 + rs)) - 0.5).alias("rsi_14"), s.alias("sent"), mean("sentiment", 10).alias("sent_ma_10"), (s - F.lag(s, 5).over(w)).alias("sent_chg_5"),
+        "date", "close", *(log_ratio(c, F.lag(c, k).over(w)).alias(f"ret_{k}") for k in (5, 20, 60)), dev("r", 10).alias("vol_10"), dev("r", 30).alias("vol_30"), (safe_div(c, mean("close", 20)) - 1).alias("ma_ratio_20"), (safe_div(c, mean("close", 60)) - 1).alias("ma_ratio_60"),
+        (safe_div(c, rolling(F.max("close"), c, w, 60)) - 1).alias("drawdown_60"), ((1 - 1 / (1 + rs)) - 0.5).alias("rsi_14"), s.alias("sent"), mean("sentiment", 10).alias("sent_ma_10"), (s - F.lag(s, 5).over(w)).alias("sent_chg_5"),
         ((s - mean("sentiment", 60)) / (dev("sentiment", 60) + 1e-9)).alias("sent_z_60"),
     )
 
 
 def next_return(days: DataFrame) -> DataFrame:
     w = order_by("date")
-    return days.withColumn("next_ret", F.ln(F.lead("close").over(w)) - F.ln("close"))
+    return days.withColumn("next_ret", log_ratio(F.lead("close").over(w), F.col("close")))
 
 
 def labels(days: DataFrame, horizon: int = 20, k: float = 0.5, vol_window: int = 30) -> DataFrame:
     """(date, z, regime): 2 above ``k``, 0 below ``-k``, else 1; NULL where z is."""
     w = order_by("date")
-    base = days.withColumn("r", F.ln("close") - F.ln(F.lag("close").over(w)))
+    base = days.withColumn("r", log_ratio(F.col("close"), F.lag("close").over(w)))
     sd = rolling(F.stddev_samp("r"), F.col("r"), w, vol_window)
-    z = (F.ln(F.lead("close", horizon).over(w)) - F.ln("close")) / (sd * horizon**0.5)
+    z = safe_div(log_ratio(F.lead("close", horizon).over(w), F.col("close")), sd * horizon**0.5)
     told = base.select("date", z.alias("z"))
     return told.select("date", "z", F.when(F.col("z") > k, 2).when(F.col("z") < -k, 0).when(F.col("z").isNotNull(), 1).alias("regime"))

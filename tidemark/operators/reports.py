@@ -13,7 +13,7 @@ def describe_bars(minutes: DataFrame) -> DataFrame:
     """First and last minute, bars, share of empty minutes, trades, first and last close."""
     span = F.timestamp_diff("MINUTE", F.min("minute"), F.max("minute")) + 1
     return minutes.agg(
-        F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count(F.lit(1)).alias("bars"), (1 - F.count(F.lit(1)) / span).alias("empty_share"), F.sum("n_trades").alias("trades"),
+        F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"), F.count(F.lit(1)).alias("bars"), (1 - F.try_divide(F.count(F.lit(1)), span)).alias("empty_share"), F.sum("n_trades").alias("trades"),
         F.min_by("close", "minute").alias("first_close"), F.max_by("close", "minute").alias("last_close"),
     )
 

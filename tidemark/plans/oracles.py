@@ -1,9 +1,20 @@
 """DuckDB SQL for the registered queries, written from the formulas."""
 
+
+def lnr(a: str, b: str) -> str:
+    """ln(a / b), NULL where one is not above 0."""
+    return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ln(({a}) / nullif({b}, 0)) END"
+
+
+def lnp(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN ln(nullif(greatest({x}, 0), 0)) END"
+
+
+
 TRADES = """trades AS (SELECT ts AS trade_time, value AS price, 1.0 + user_id % 10 AS quantity, event_id % 2 = 1 AS maker, event_id, event_type FROM events)"""
 KLINES = f"""{TRADES}, klines AS (SELECT date_trunc('minute', trade_time) AS time, arg_min(price, (trade_time, event_id)) AS open, max(price) AS high, min(price) AS low,
  arg_max(price, (trade_time, event_id)) AS close, sum(quantity) AS volume, sum(price * quantity) AS usd, count(*) AS num_trades, sum(CASE WHEN maker THEN 0.0 ELSE quantity END) AS buy FROM trades GROUP BY 1),
- minutes AS (SELECT *, volume - buy AS sell, 2 * buy - volume AS signed, CAST(time AS DATE) AS date, CASE WHEN lag(time) OVER w = time - INTERVAL 1 MINUTE THEN ln(close / lag(close) OVER w) * 1e4 END AS ret FROM klines WINDOW w AS (ORDER BY time))"""
+ minutes AS (SELECT *, volume - buy AS sell, 2 * buy - volume AS signed, CAST(time AS DATE) AS date, CASE WHEN lag(time) OVER w = time - INTERVAL 1 MINUTE THEN {lnr("close", "lag(close) OVER w")} * 1e4 END AS ret FROM klines WINDOW w AS (ORDER BY time))"""
 
 
 def panel(n: int = 15) -> str:
@@ -11,7 +22,7 @@ def panel(n: int = 15) -> str:
     return f"""{TRADES}, mb AS (SELECT date_trunc('minute', trade_time) AS minute, arg_max(price, (trade_time, event_id)) AS close, sum(CASE WHEN maker THEN 0.0 ELSE quantity END) AS buy_qty,
  sum(CASE WHEN maker THEN quantity ELSE 0.0 END) AS sell_qty, count(*) AS n_trades, sum(price * quantity) AS usd_volume FROM trades GROUP BY 1),
  pb AS (SELECT time_bucket(INTERVAL {n} MINUTE, minute, TIMESTAMP '1970-01-01') AS bar, arg_max(close, minute) AS close, sum(buy_qty) AS buy_qty, sum(sell_qty) AS sell_qty, CAST(sum(n_trades) AS BIGINT) AS n_trades, sum(usd_volume) AS usd_volume FROM mb GROUP BY 1),
- p1 AS (SELECT *, CASE WHEN lag(bar) OVER w = bar - INTERVAL {n} MINUTE THEN ln(close / lag(close) OVER w) * 1e4 END AS ret_bp, (buy_qty - sell_qty) / nullif(buy_qty + sell_qty, 0) AS imbalance, ln(usd_volume) AS la FROM pb WINDOW w AS (ORDER BY bar)),
+ p1 AS (SELECT *, CASE WHEN lag(bar) OVER w = bar - INTERVAL {n} MINUTE THEN {lnr("close", "lag(close) OVER w")} * 1e4 END AS ret_bp, (buy_qty - sell_qty) / nullif(buy_qty + sell_qty, 0) AS imbalance, {lnp("usd_volume")} AS la FROM pb WINDOW w AS (ORDER BY bar)),
  panel AS (SELECT *, la - CASE WHEN count(la) OVER f >= {day // 2} THEN avg(la) OVER f END AS activity_dev, lead(ret_bp) OVER w AS next_ret FROM p1 WINDOW w AS (ORDER BY bar), f AS (ORDER BY bar ROWS BETWEEN {day} PRECEDING AND 1 PRECEDING))"""
 
 
@@ -19,15 +30,15 @@ QUOTES = """quotes AS (SELECT ts AS event_time, value AS bid, value + 0.01 * (1
  q AS (SELECT *, (bid + ask) / 2 AS mid, ask - bid AS spread FROM quotes)"""
 BUYS = "buys AS (SELECT * FROM trades WHERE event_type = 'purchase')"
 FORECASTS = f"""{panel()}, fc AS (SELECT bar, next_ret AS actual, -0.1 * ret_bp AS model, 0.0 AS benchmark, imbalance, ret_bp AS last_ret FROM panel WHERE next_ret IS NOT NULL AND ret_bp IS NOT NULL)"""
-HELD = f"""{FORECASTS}, held AS (SELECT bar, 'forecast' AS strategy, CAST(sign(model) AS DOUBLE) AS pos, actual AS ret FROM fc UNION ALL SELECT bar, 'follow_imbalance', coalesce(sign(imbalance), 0), actual FROM fc UNION ALL SELECT bar, 'fade_imbalance', -coalesce(sign(imbalance), 0), actual FROM fc
+HELD = f"""{FORECASTS}, held AS (SELECT bar, 'forecast' AS strategy, CAST(sign(model) AS DOUBLE) AS pos, actual AS ret FROM fc UNION ALL SELECT bar, 'follow_imbalance', sign(imbalance), actual FROM fc WHERE imbalance IS NOT NULL UNION ALL SELECT bar, 'fade_imbalance', -sign(imbalance), actual FROM fc WHERE imbalance IS NOT NULL
  UNION ALL SELECT bar, 'buy_hold', 1, actual FROM fc UNION ALL SELECT bar, 'momentum', sign(last_ret), actual FROM fc),
  tr AS (SELECT *, abs(pos - coalesce(lag(pos) OVER (PARTITION BY strategy ORDER BY bar), 0)) AS traded FROM held), net AS (SELECT *, pos * ret - cost_bp * traded AS pnl FROM tr, (VALUES (0.0::DOUBLE), (1.0), (10.0)) c(cost_bp))"""
 DAYS = "days AS (SELECT CAST(o_orderdate AS DATE) AS date, round(avg(o_totalprice), 6) AS close FROM orders GROUP BY 1)"
 BASICS = f"""{KLINES}, basics AS (SELECT date, arg_max(close, time) AS close, sum(volume) AS volume, sum(usd) AS usd_volume, CAST(sum(num_trades) AS BIGINT) AS n_trades, sum(buy) / nullif(sum(volume), 0) AS buy_share, sqrt(365 * coalesce(sum((ret / 1e4) * (ret / 1e4)), 0)) AS realized_vol, count(*) AS minutes FROM minutes GROUP BY 1),
  kyle AS (SELECT date, regr_slope(ret, signed) * 100 AS kyle_lambda, regr_r2(ret, signed) AS r2, CAST(regr_count(ret, signed) AS BIGINT) AS n FROM minutes GROUP BY 1),
- ami AS (SELECT date, abs(ln(close / lag(close) OVER (ORDER BY date))) * 1e4 / nullif(usd_volume / 1e6, 0) AS amihud FROM basics),
+ ami AS (SELECT date, abs({lnr("close", "lag(close) OVER (ORDER BY date)")}) * 1e4 / nullif(usd_volume / 1e6, 0) AS amihud FROM basics),
  rollr AS (SELECT date, ret / 1e4 AS r, lag(ret) OVER (PARTITION BY date ORDER BY time) / 1e4 AS p FROM minutes), roll AS (SELECT date, covar_samp(r, p) AS cov FROM rollr GROUP BY 1),
- are AS (SELECT date, ln(close) AS c, (ln(high) + ln(low)) / 2 AS eta, lead((ln(high) + ln(low)) / 2) OVER (PARTITION BY date ORDER BY time) AS nxt FROM minutes), ar AS (SELECT date, sqrt(greatest(4 * avg((c - eta) * (c - nxt)), 0)) * 1e4 AS abdi_ranaldo_bps FROM are GROUP BY 1),
+ are AS (SELECT date, {lnp("close")} AS c, ({lnp("high")} + {lnp("low")}) / 2 AS eta, lead(({lnp("high")} + {lnp("low")}) / 2) OVER (PARTITION BY date ORDER BY time) AS nxt FROM minutes), ar AS (SELECT date, sqrt(greatest(4 * avg((c - eta) * (c - nxt)), 0)) * 1e4 AS abdi_ranaldo_bps FROM are GROUP BY 1),
  daily AS (SELECT basics.date AS date, close, usd_volume, n_trades, CASE WHEN minutes >= 100 THEN buy_share END AS buy_share, CASE WHEN minutes >= 100 THEN realized_vol END AS realized_vol, CASE WHEN minutes >= 100 THEN kyle_lambda END AS kyle_lambda,
   CASE WHEN minutes >= 100 AND cov < 0 THEN 2 * sqrt(greatest(-cov, 0)) * 1e4 END AS roll_spread_bps, CASE WHEN minutes >= 100 THEN abdi_ranaldo_bps END AS abdi_ranaldo_bps, CASE WHEN minutes >= 100 THEN amihud END AS amihud FROM basics LEFT JOIN kyle USING (date) LEFT JOIN ami USING (date) LEFT JOIN roll USING (date) LEFT JOIN ar USING (date))"""
 
@@ -61,27 +72,40 @@ def pesaran(zeros: bool) -> str:
 
 
 def walk(alpha: float) -> str:
-    return f"""WITH {panel()}, t AS (SELECT bar, ret_bp AS x, next_ret AS y FROM panel WHERE ret_bp IS NOT NULL AND imbalance IS NOT NULL AND next_ret IS NOT NULL), o AS (SELECT date_trunc('day', min(bar)) AS a FROM (SELECT bar FROM panel)),
- folds AS (SELECT a + INTERVAL 1 DAY * k AS s, a + INTERVAL 1 DAY * (k + 5) AS e FROM o, (VALUES (10), (15), (20)) v(k)),
+    return f"""WITH {panel()}, t AS (SELECT bar, ret_bp AS x, next_ret AS y FROM panel WHERE ret_bp IS NOT NULL AND imbalance IS NOT NULL AND next_ret IS NOT NULL), o AS (SELECT date_trunc('day', min(bar)) AS a, max(bar) AS b FROM panel),
+ folds AS (SELECT a + INTERVAL 1 DAY * k AS s, a + INTERVAL 1 DAY * (k + 5) AS e FROM (SELECT a, unnest(range(10, datediff('day', a, b) + 1, 5)) AS k FROM o)),
  q AS (SELECT s, e, quantile_cont(x, 0.005) AS lo, quantile_cont(x, 0.995) AS hi FROM folds JOIN t ON bar < s GROUP BY s, e),
  c AS (SELECT s, e, lo, hi, least(greatest(x, lo), hi) AS x, y FROM q JOIN t ON bar < s),
  m AS (SELECT s, e, lo, hi, avg(x) AS mx, stddev_samp(x) AS sx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, count(*) AS n FROM c GROUP BY s, e, lo, hi)
  SELECT CAST(bar AS VARCHAR) AS bar, round(y, 6) AS actual, round(my + (sxy / sx) / (n - 1 + {alpha}) * (least(greatest(x, lo), hi) - mx) / sx, 6) AS model, 0.0::DOUBLE AS benchmark FROM m JOIN t ON bar >= s AND bar < e WHERE n >= 30"""
 
 
-def har() -> str:
-    """Hourly factors: windows of 24 (18) and 168 (120) bars."""
-    day, week = (lambda x: rolled(x, 24, 18, "bar")), (lambda x: rolled(x, 168, 120, "bar"))
+def grid(n: int, least: int) -> str:
+    """The full-grid panel of ``n``-minute bars, NULL below ``least`` minutes: path length over volume, slope for 100 units, root of the squared returns."""
+    measures = ("open", "close", "high", "low", "volume", "usd_volume_m", "n_trades", "ret_bp", "path_bp", "rv_bp", "range_bp", "oib", "avg_trade", "amihud", "kyle")
+    return f"""{KLINES}, gb AS (SELECT time_bucket(INTERVAL {n} MINUTE, time, TIMESTAMP '1970-01-01') AS bar, arg_min(open, time) AS open, arg_max(close, time) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume, sum(buy) AS buy,
+ sum(usd) / 1e6 AS usd_volume_m, CAST(sum(num_trades) AS BIGINT) AS n_trades, coalesce(sum(abs(ret)), 0) AS path_bp, sqrt(coalesce(sum(ret * ret), 0)) AS rv_bp, CASE WHEN regr_sxx(ret, signed) > 0 THEN regr_slope(ret, signed) * 100 END AS kyle, count(*) AS k FROM minutes GROUP BY 1),
+ gg AS (SELECT unnest(generate_series(min(bar), max(bar), INTERVAL {n} MINUTE)) AS bar FROM gb), gj AS (SELECT gg.bar AS bar, coalesce(k, 0) AS minutes_available, open, close, high, low, volume, usd_volume_m, n_trades, path_bp, rv_bp, kyle, {lnr("close", "lag(close) OVER (ORDER BY gg.bar)")} * 1e4 AS ret_bp, {lnr("high", "low")} * 1e4 AS range_bp,
+ (2 * buy - volume) / nullif(volume, 0) AS oib, volume / nullif(n_trades, 0) AS avg_trade, path_bp / nullif(usd_volume_m, 0) AS amihud FROM gg LEFT JOIN gb USING (bar)),
+ grid AS (SELECT bar, minutes_available, {", ".join(f"CASE WHEN minutes_available >= {least} THEN {x} END AS {x}" for x in measures)} FROM gj)"""
+
+
+def har(n: int, least: int) -> str:
+    """Factors of the panel of ``n``-minute bars; a day is 5 bars and a week 30 at least."""
+    d, k = max(1440 // n, 5), max(10080 // n, 30)
+    day, week = (lambda x: rolled(x, d, round(d * 18 / 24), "bar")), (lambda x: rolled(x, k, round(k * 120 / 168), "bar"))
     cols = {f"{c}_{k}": e for c in ("log_amihud", "log_rv", "kyle") for k, e in (("last", c), ("day", day(f"avg({c})")), ("week", week(f"avg({c})")), ("dev", f"{c} - ({week(f'avg({c})')})"))}
-    cols |= {"ret_last": "ret_bp", "ret_day": day("sum(ret_bp)"), "ret_week": week("sum(ret_bp)"), "oib_last": "oib", "oib_day": day("avg(oib)"), "abn_log_volume": f"log_volume - ({week('avg(log_volume)')})", "abn_log_size": f"log_size - ({week('avg(log_size)')})"}
-    hour = "(hour(bar + INTERVAL 1 HOUR) * 2 * pi() / 24)"
-    cols |= {"hour_sin": f"sin({hour})", "hour_cos": f"cos({hour})", "hour_sin2": f"sin(2 * {hour})", "hour_cos2": f"cos(2 * {hour})"}
+    cols |= {"ret_last": "ret_bp", "ret_day": day("sum(ret_bp)"), "ret_week": week("sum(ret_bp)"), "oib_last": "oib", "oib_day": day("avg(oib)"), "log_range": "log_range"}
+    cols |= {f"abn_{c}": f"{c} - ({week(f'avg({c})')})" for c in ("log_volume", "log_size", "log_range")}
+    ahead = f"(bar + INTERVAL {n} MINUTE)"
+    if n < 1440:
+        hour = f"(hour({ahead}) * 2 * pi() / 24)"
+        cols |= {"hour_sin": f"sin({hour})", "hour_cos": f"cos({hour})", "hour_sin2": f"sin(2 * {hour})", "hour_cos2": f"cos(2 * {hour})"}
     cols |= {f"target_{k}": f"lead({c}) OVER (ORDER BY bar)" for k, c in (("amihud", "log_amihud"), ("kyle", "kyle"), ("rv", "log_rv"), ("return", "ret_bp"))}
-    return f"""WITH {KLINES}, hb AS (SELECT date_trunc('hour', time) AS bar, arg_max(close, time) AS close, sum(volume) AS volume, sum(usd) AS usd, CAST(sum(num_trades) AS BIGINT) AS nt, sum(buy) AS buy, coalesce(sum(ret * ret), 0) AS rv, CASE WHEN regr_sxx(ret, signed) > 0 THEN regr_slope(ret, signed) END AS kyle, count(*) AS k FROM minutes GROUP BY 1),
- g AS (SELECT unnest(generate_series(min(bar), max(bar), INTERVAL 1 HOUR)) AS bar FROM hb), j AS (SELECT g.bar AS bar, volume, usd, nt, buy, rv, kyle, coalesce(k, 0) AS k, ln(close / lag(close) OVER (ORDER BY g.bar)) * 1e4 AS r FROM g LEFT JOIN hb USING (bar)),
- m AS (SELECT bar, CASE WHEN k >= 8 THEN usd END AS usd, CASE WHEN k >= 8 THEN nt END AS nt, CASE WHEN k >= 8 THEN rv END AS rv, CASE WHEN k >= 8 THEN kyle END AS kyle0, CASE WHEN k >= 8 THEN r END AS ret_bp, CASE WHEN k >= 8 THEN (2 * buy - volume) / nullif(volume, 0) END AS oib, CASE WHEN k >= 8 THEN abs(r) / nullif(usd / 1e6, 0) END AS amihud FROM j),
- q AS (SELECT quantile_cont(kyle0, 0.01) AS lo, quantile_cont(kyle0, 0.99) AS hi FROM m), t AS (SELECT bar, ret_bp, oib, CASE WHEN amihud > 0 THEN ln(nullif(amihud, 0)) END AS log_amihud, CASE WHEN rv > 0 THEN ln(nullif(rv, 0)) END AS log_rv, CASE WHEN usd > 0 THEN ln(usd) END AS log_volume, CASE WHEN usd > 0 AND nt > 0 THEN ln(usd / nt) END AS log_size, CASE WHEN kyle0 IS NOT NULL THEN least(greatest(kyle0, lo), hi) END AS kyle FROM m, q)
- SELECT CAST(bar AS VARCHAR) AS bar, CAST(isodow(bar + INTERVAL 1 HOUR) >= 6 AS BIGINT) AS weekend, {", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in cols.items())} FROM t"""
+    logs = ", ".join(f"{lnp(c)} AS {k}" for k, c in (("log_amihud", "amihud"), ("log_rv", "rv_bp"), ("log_volume", "usd_volume_m"), ("log_size", "avg_trade"), ("log_range", "range_bp")))
+    extra = f", hour({ahead}) AS hour_of_day" if n < 1440 else ""
+    return f"""WITH {grid(n, least)}, q AS (SELECT quantile_cont(kyle, 0.01) AS lo, quantile_cont(kyle, 0.99) AS hi FROM grid), t AS (SELECT bar, ret_bp, oib, {logs}, CASE WHEN kyle IS NOT NULL THEN least(greatest(kyle, lo), hi) END AS kyle FROM grid, q)
+ SELECT CAST(bar AS VARCHAR) AS bar, CAST(isodow{ahead} >= 6 AS BIGINT) AS weekend{extra}, {", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in cols.items())} FROM t"""
 
 
 PRESENT = "present AS (SELECT event_type AS stream, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2)"
@@ -98,15 +122,18 @@ def evaluated() -> str:
  SELECT name, round(1 - sum((actual - model) ** 2) / sum((actual - benchmark) ** 2), 6) AS r2, round(sqrt(avg((actual - model) ** 2)), 6) AS rmse, round(corr(actual, model), 6) AS corr, count(*) AS n, round(avg(d) / sqrt(({total}) / count(*) / count(*)), 6) AS stat FROM d2 GROUP BY 1"""
 
 
+HAC = f"""WITH {panel()}, t AS (SELECT bar, ret_bp AS x0, next_ret AS y FROM panel WHERE ret_bp IS NOT NULL AND next_ret IS NOT NULL), z AS (SELECT bar, y, (x0 - avg(x0) OVER ()) / stddev_samp(x0) OVER () AS x FROM t), m AS (SELECT avg(y) AS a, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM z), u AS (SELECT bar, y - a - b * x AS u0, x * (y - a - b * x) AS u1 FROM z, m),
+ l AS (SELECT *, {', '.join(f'lag(u{i}, {k}) OVER (ORDER BY bar) AS l{i}_{k}' for i in (0, 1) for k in range(1, 6))} FROM u), g AS (SELECT {', '.join(f"sum(u{i} * u{i})" + ''.join(f' + 2 * {1 - k / 6!r} * sum(u{i} * l{i}_{k})' for k in range(1, 6)) + f' AS g{i}' for i in (0, 1))} FROM l)
+ SELECT 'const' AS term, round(a, 6) AS coef, round(sqrt(g0) / n, 6) AS se, round(a / (sqrt(g0) / n), 6) AS t FROM m, g UNION ALL SELECT 'ret_lag0', round(b, 6), round(sqrt(g1) / sxx, 6), round(b / (sqrt(g1) / sxx), 6) FROM m, g"""
+GUESSED = f"{DAYS}, b AS (SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS r FROM days), z AS (SELECT date, (ln(lead(close, 30) OVER (ORDER BY date)) - ln(close)) / (({rolled('stddev_samp(r)', 30)}) * sqrt(30)) AS z FROM b), l AS (SELECT CASE WHEN z > 0.4 THEN 2 WHEN z < -0.4 THEN 0 ELSE 1 END AS y, day(date) % 3 AS p FROM z WHERE z IS NOT NULL)"
+
 SQL: dict[str, str] = {
     "data_description": f"WITH {panel()} SELECT CAST(min(minute) AS VARCHAR) AS first_minute, CAST(max(minute) AS VARCHAR) AS last_minute, count(*) AS bars, round(1 - count(*) / (datediff('minute', min(minute), max(minute)) + 1), 6) AS empty_share, CAST(sum(n_trades) AS BIGINT) AS trades, round(arg_min(close, minute), 6) AS first_close, round(arg_max(close, minute), 6) AS last_close FROM mb",
     "rolling_median_30d": "WITH days AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, CASE WHEN count(close) OVER w >= 10 THEN round(median(close) OVER w, 6) END AS median_close FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
     "evaluate_forecasts": evaluated(),
     "minute_bars_from_trades": f"WITH {panel()} SELECT CAST(minute AS VARCHAR) AS minute, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume')} FROM mb",
     "bars_nmin_drop_empty": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume', 'ret_bp', 'imbalance', 'activity_dev', 'next_ret')} FROM panel",
-    "bars_nmin_full_grid": f"""WITH {KLINES}, b AS (SELECT time_bucket(INTERVAL 5 MINUTE, time, TIMESTAMP '1970-01-01') AS bar, arg_min(open, time) AS open, arg_max(close, time) AS close, max(high) AS high, min(low) AS low, sum(volume) AS volume, sum(buy) AS buy, coalesce(sum(abs(ret)), 0) AS path_bp, sqrt(coalesce(sum(ret * ret), 0)) AS vol_bp, count(*) AS k FROM minutes GROUP BY 1),
- g AS (SELECT unnest(generate_series(min(bar), max(bar), INTERVAL 5 MINUTE)) AS bar FROM b), f AS (SELECT g.bar AS bar, coalesce(k, 0) AS minutes_available, open, close, high, low, volume, path_bp, vol_bp, (2 * buy - volume) / nullif(volume, 0) AS oib, ln(close / lag(close) OVER (ORDER BY g.bar)) * 1e4 AS ret_bp FROM g LEFT JOIN b USING (bar))
- SELECT CAST(bar AS VARCHAR) AS bar, minutes_available, {", ".join(f"CASE WHEN minutes_available >= 2 THEN round({x}, 6) END AS {x}" for x in ("open", "close", "high", "low", "volume", "ret_bp", "path_bp", "vol_bp", "oib"))} FROM f""",
+    "bars_nmin_full_grid": f"WITH {grid(5, 2)} SELECT CAST(bar AS VARCHAR) AS bar, minutes_available, n_trades, {R('open', 'close', 'high', 'low', 'volume', 'usd_volume_m', 'ret_bp', 'path_bp', 'rv_bp', 'range_bp', 'oib', 'avg_trade', 'amihud', 'kyle')} FROM grid",
     "kyle_lambda_daily": f"WITH {BASICS} SELECT CAST(date AS VARCHAR) AS date, {R('kyle_lambda', 'r2')}, n FROM kyle",
     "kyle_lambda_by_hour_hc0": f"""WITH {KLINES}, d AS (SELECT hour(time) AS hour, ret AS y, signed AS x FROM minutes WHERE ret IS NOT NULL), m AS (SELECT hour, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_r2(y, x) AS r2, count(*) AS n FROM d GROUP BY 1),
  v AS (SELECT hour, sum((x - mx) ** 2 * (y - intercept - slope * x) ** 2) AS meat FROM d JOIN m USING (hour) GROUP BY 1) SELECT hour, {R('slope', 'intercept')}, CASE WHEN n >= 3 AND sxx > 0 AND meat > 0 THEN round(slope / sqrt(meat / nullif(sxx * sxx, 0)), 6) END AS t, round(r2, 6) AS r2, n FROM m JOIN v USING (hour)""",
@@ -135,7 +162,8 @@ SQL: dict[str, str] = {
  m AS (SELECT snapshot, (max(CASE WHEN bid AND lv = 1 THEN px END) + max(CASE WHEN NOT bid AND lv = 1 THEN px END)) / 2 AS mid FROM d GROUP BY 1), s AS (SELECT d.snapshot AS snapshot, bid, size, sum(qty) AS c, sum(greatest(least(size - before, qty), 0) * px) AS n FROM d, (VALUES (0.1::DOUBLE), (0.5), (1), (2), (5), (10)) v(size) GROUP BY 1, 2, 3),
  b AS (SELECT CASE WHEN bid THEN 'sell' ELSE 'buy' END AS side, size, CASE WHEN c >= size THEN (CASE WHEN bid THEN -1 ELSE 1 END) * (n / size - mid) / mid * 1e4 END AS bps, c < size AS thin FROM s JOIN m USING (snapshot) WHERE mid IS NOT NULL)
  SELECT side, size, round(avg(bps), 6) AS mean_bps, round(median(bps), 6) AS median_bps, round(quantile_cont(bps, 0.95), 6) AS p95_bps, round(avg(CAST(thin AS INT)), 6) AS book_too_thin_share, count(*) AS n FROM b GROUP BY 1, 2""",
-    "har_factors": har(),
+    "har_factors": har(60, 8),
+    "har_factors_daily": har(1440, 100),
     "backtest_factors": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, round(ret_bp, 6) AS ret_lag0, round(lag(ret_bp, 1) OVER w, 6) AS ret_lag1, round(lag(ret_bp, 2) OVER w, 6) AS ret_lag2, round(imbalance, 6) AS imb_lag0, round(lag(imbalance, 1) OVER w, 6) AS imb_lag1, round(lag(imbalance, 2) OVER w, 6) AS imb_lag2, round({rolled('avg(imbalance)', 12, None, 'bar')}, 6) AS imb_smooth, round(activity_dev, 6) AS log_activity_dev, round(next_ret, 6) AS next_ret FROM panel WINDOW w AS (ORDER BY bar)",
     "regime_features": f"""WITH {DAYS}, b AS (SELECT *, 0.0::DOUBLE AS s, ln(close) - ln(lag(close) OVER w) AS r, greatest(close - lag(close) OVER w, 0) AS up0, -least(close - lag(close) OVER w, 0) AS dn0, lag(close) OVER w AS p FROM days WINDOW w AS (ORDER BY date)), c AS (SELECT *, CASE WHEN p IS NOT NULL THEN up0 END AS up, CASE WHEN p IS NOT NULL THEN dn0 END AS down FROM b),
  f AS (SELECT date, close, ln(close) - ln(lag(close, 5) OVER w) AS ret_5, ln(close) - ln(lag(close, 20) OVER w) AS ret_20, ln(close) - ln(lag(close, 60) OVER w) AS ret_60, {rolled('stddev_samp(r)', 10)} AS vol_10, {rolled('stddev_samp(r)', 30)} AS vol_30, close / ({rolled('avg(close)', 20)}) - 1 AS ma_ratio_20, close / ({rolled('avg(close)', 60)}) - 1 AS ma_ratio_60, close / ({rolled('max(close)', 60)}) - 1 AS drawdown_60,
@@ -144,10 +172,10 @@ SQL: dict[str, str] = {
     "regime_labels": f"WITH {DAYS}, b AS (SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS r FROM days), z AS (SELECT date, (ln(lead(close, 30) OVER (ORDER BY date)) - ln(close)) / (({rolled('stddev_samp(r)', 30)}) * sqrt(30)) AS z FROM b) SELECT CAST(date AS VARCHAR) AS date, {R('z')}, CAST(CASE WHEN z > 0.4 THEN 2 WHEN z < -0.4 THEN 0 WHEN z IS NOT NULL THEN 1 END AS BIGINT) AS regime FROM z",
     "winsorize": f"WITH {panel()}, q AS (SELECT quantile_cont(ret_bp, 0.01) AS lo, quantile_cont(ret_bp, 0.99) AS hi FROM panel) SELECT CAST(bar AS VARCHAR) AS bar, CASE WHEN ret_bp IS NOT NULL THEN round(least(greatest(ret_bp, lo), hi), 6) END AS x FROM panel, q",
     "strategy_pnl_cost_grid": f"""WITH {HELD}, a AS (SELECT *, sum(pnl) OVER w AS cum FROM net WINDOW w AS (PARTITION BY strategy, cost_bp ORDER BY bar ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, max(cum) OVER (PARTITION BY strategy, cost_bp ORDER BY bar ROWS UNBOUNDED PRECEDING) AS peak FROM a)
- SELECT strategy, cost_bp, round(avg(pnl), 6) AS mean_bp, CASE WHEN stddev_samp(pnl) > 0 THEN round(avg(pnl) / stddev_samp(pnl) * sqrt(525600 / 15.0), 6) END AS sharpe, round(sum(pnl) / 100, 6) AS total_pct, round(min(cum - peak) / 100, 6) AS max_drawdown_pct, round(sum(CAST(traded > 0 AS INT)) / count(*) * 96.0, 6) AS trades_per_day, count(*) AS n FROM b GROUP BY 1, 2""",
+ SELECT strategy, cost_bp, round(avg(pnl), 6) AS mean_bp, CASE WHEN stddev_samp(pnl) > 0 THEN round(avg(pnl) / stddev_samp(pnl) * sqrt(525600 / 15.0), 6) END AS sharpe, round(sum(pnl) / 100, 6) AS total_pct, round(min(cum - peak) / 100, 6) AS max_drawdown_pct, round(sum(traded) / count(*) * 96.0, 6) AS trades_per_day, count(*) AS n FROM b GROUP BY 1, 2""",
     "max_drawdown": f"WITH {FORECASTS}, a AS (SELECT bar, sum(actual) OVER (ORDER BY bar ROWS UNBOUNDED PRECEDING) AS cum FROM fc), b AS (SELECT cum, max(cum) OVER (ORDER BY bar ROWS UNBOUNDED PRECEDING) AS peak FROM a) SELECT round(min(cum - peak) / 100, 6) AS max_drawdown_pct, count(*) AS n FROM b",
     "breakeven_fee": f"WITH {HELD} SELECT strategy, round(sum(pnl), 6) AS gross, round(sum(traded), 6) AS traded, CASE WHEN strategy <> 'buy_hold' AND sum(traded) > 0 THEN round(sum(pnl) / nullif(sum(traded), 0), 6) END AS breakeven_bp FROM net WHERE cost_bp = 0 GROUP BY 1",
-    "yearly_pivot": f"WITH {HELD} SELECT strategy, cost_bp, round(avg(pnl) FILTER (month(bar) = 1), 6) AS p1, round(avg(pnl) FILTER (month(bar) = 2), 6) AS p2 FROM net GROUP BY 1, 2",
+    "yearly_pivot": f"WITH {HELD} SELECT strategy, cost_bp, {', '.join(f'round(avg(pnl) FILTER (month(bar) = {k}), 6) AS p{k}' for k in range(1, 13))} FROM net GROUP BY 1, 2",
     "clark_west": f"WITH {FORECASTS}, d AS (SELECT {CW} AS d FROM fc), s AS (SELECT count(d) AS n, avg(d) AS mean, var_samp(d) / count(d) AS var_mean FROM d) {STAT} s",
     "clark_west_hac": f"WITH {newey(CW)} {STAT} nw",
     "diebold_mariano": f"WITH {newey('(actual - benchmark) ** 2 - (actual - model) ** 2')} {STAT} nw",
@@ -157,14 +185,23 @@ SQL: dict[str, str] = {
     "oos_r2_yearly": f"WITH {FORECASTS} SELECT year(bar) AS year, round(1 - sum((actual - model) ** 2) / nullif(sum((actual - benchmark) ** 2), 0), 6) AS r2, count(*) AS n FROM fc GROUP BY 1",
     "walk_forward_ols": walk(0.0),
     "walk_forward_ridge": walk(10.0),
-    "hac_regression": f"""WITH {panel()}, t AS (SELECT bar, ret_bp AS x0, next_ret AS y FROM panel WHERE ret_bp IS NOT NULL AND next_ret IS NOT NULL), z AS (SELECT bar, y, (x0 - avg(x0) OVER ()) / stddev_samp(x0) OVER () AS x FROM t), m AS (SELECT avg(y) AS a, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM z), u AS (SELECT bar, y - a - b * x AS u0, x * (y - a - b * x) AS u1 FROM z, m),
- l AS (SELECT *, {', '.join(f'lag(u{i}, {k}) OVER (ORDER BY bar) AS l{i}_{k}' for i in (0, 1) for k in range(1, 6))} FROM u), g AS (SELECT {', '.join(f"sum(u{i} * u{i})" + ''.join(f' + 2 * {1 - k / 6!r} * sum(u{i} * l{i}_{k})' for k in range(1, 6)) + f' AS g{i}' for i in (0, 1))} FROM l)
- SELECT 'const' AS term, round(a, 6) AS coef, round(sqrt(g0) / n, 6) AS se, round(a / (sqrt(g0) / n), 6) AS t FROM m, g UNION ALL SELECT 'ret_lag0', round(b, 6), round(sqrt(g1) / sxx, 6), round(b / (sqrt(g1) / sxx), 6) FROM m, g""",
+    "hac_regression": HAC,
     "keyword_filter_clean_text": r"WITH c AS (SELECT CAST(doc_id AS VARCHAR) AS id, regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(10), ' '), '^\s+', ''), '\s+$', '') AS body FROM documents) SELECT id, 'rss:feed' AS source, CAST(length(body) AS BIGINT) AS n_chars, md5(body) AS body_md5 FROM c WHERE contains(lower(' ' || body), 'the ') OR contains(lower(' ' || body), 'une')",
     "incremental_antijoin": "SELECT doc_id, min(lang) AS lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1",
     "coverage_hard_gaps": f"WITH {PRESENT}, {EXPECTED} SELECT stream, CAST(hour AS VARCHAR) AS hour FROM expected ANTI JOIN present USING (stream, hour)",
     "coverage_soft_gaps": f"WITH {PRESENT}, {SOFT} SELECT stream, CAST(hour AS VARCHAR) AS hour, n, median_n FROM soft",
+    "coverage_low_cadence": f"WITH {PRESENT} SELECT stream, CAST(hour AS VARCHAR) AS hour, n, 6.0::DOUBLE AS expected_n FROM present WHERE n < 3.0",
+    "oos_r2_against_zero": f"WITH {FORECASTS} SELECT month(bar) AS month, round(1 - sum((actual - model) ** 2) / nullif(sum(actual ** 2), 0), 6) AS r2, count(*) AS n FROM fc GROUP BY 1",
+    "trading_stats": f"WITH {FORECASTS}, t AS (SELECT model, actual / 1e5 AS r FROM fc) SELECT round(avg(CAST(sign(model) = sign(r) AS INT)), 6) AS dir_acc, round(corr(model, r), 6) AS ic, round(avg(sign(model) * r) / (stddev_pop(sign(model) * r) + 1e-12) * sqrt(365), 6) AS sharpe, round(exp(sum(sign(model) * r)) - 1, 6) AS total_return FROM t",
+    "top_terms": f"SELECT * FROM ({HAC}) WHERE term <> 'const' ORDER BY abs(t) DESC, term LIMIT 6",
+    "extreme_hours": f"WITH {KLINES}, d AS (SELECT hour(time) AS hour, regr_slope(ret, signed) AS slope FROM minutes WHERE ret IS NOT NULL GROUP BY 1) SELECT arg_max(hour, slope) AS max_hour, arg_min(hour, slope) AS min_hour FROM d",
+    "last_forecasts": f"WITH {FORECASTS} SELECT CAST(bar AS VARCHAR) AS bar, {R('actual', 'model')} FROM fc ORDER BY bar DESC LIMIT 1344",
+    "thinned_curve": f"WITH {FORECASTS}, r AS (SELECT bar, actual, row_number() OVER (ORDER BY bar) - 1 AS k, count(*) OVER () AS c FROM fc) SELECT CAST(bar AS VARCHAR) AS bar, {R('actual')} FROM r WHERE k % greatest(c // 100, 1) = 0",
+    "bars_in_range": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, {R('close')}, n_trades FROM panel WHERE bar >= TIMESTAMP '2024-01-10' AND bar < TIMESTAMP '2024-01-12'",
+    "common_bars": f"WITH {FORECASTS} SELECT CAST(bar AS VARCHAR) AS bar FROM (SELECT bar FROM panel WHERE activity_dev > 0 INTERSECT SELECT bar FROM fc WHERE actual > 0)",
+    "first_filled_field": "SELECT coalesce(nullif(source, ''), nullif(lang, ''), 'none') AS label, count(*) AS n FROM documents GROUP BY 1",
+    "confusion_grid": f"WITH {GUESSED} SELECT a.v AS label, b.v AS pred, (SELECT count(*) FROM l WHERE y = a.v AND p = b.v) AS n FROM (VALUES (0::BIGINT), (1), (2)) a(v), (VALUES (0::BIGINT), (1), (2)) b(v)",
     "coverage_report": f"WITH {PRESENT}, {EXPECTED}, {SOFT}, hg AS (SELECT stream, hour FROM expected ANTI JOIN present USING (stream, hour)) SELECT stream, count(*) AS hours, CAST(sum(n) AS BIGINT) AS rows, (SELECT count(*) FROM expected e WHERE e.stream = present.stream) AS expected, (SELECT count(*) FROM hg WHERE hg.stream = present.stream) AS hard_gaps, (SELECT count(*) FROM soft WHERE soft.stream = present.stream) AS soft_gaps FROM present GROUP BY 1",
-    "confusion_macro_f1": f"""WITH {DAYS}, b AS (SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS r FROM days), z AS (SELECT date, (ln(lead(close, 30) OVER (ORDER BY date)) - ln(close)) / (({rolled('stddev_samp(r)', 30)}) * sqrt(30)) AS z FROM b), l AS (SELECT CASE WHEN z > 0.4 THEN 2 WHEN z < -0.4 THEN 0 ELSE 1 END AS y, day(date) % 3 AS p FROM z WHERE z IS NOT NULL),
+    "confusion_macro_f1": f"""WITH {GUESSED},
  f AS (SELECT c, sum(CAST(y = c AND p = c AS INT)) / greatest(sum(CAST(p = c AS INT)), 1) AS pr, sum(CAST(y = c AND p = c AS INT)) / greatest(sum(CAST(y = c AS INT)), 1) AS re FROM l, (VALUES (0), (1), (2)) v(c) GROUP BY 1) SELECT round(avg(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END), 6) AS macro_f1, (SELECT round(avg(CAST(y = p AS INT)), 6) FROM l) AS accuracy FROM f""",
 }

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-from tidemark.operators import bars, book, evaluation, feeds, liquidity, models, regimes, reports
+from tidemark.operators import bars, book, evaluation, feeds, liquidity, mixture, models, regimes, reports
 from tidemark.plans import oracles
-from tidemark.sources import roles
+from tidemark.sources import io, roles
 
 BAR = 15
 
@@ -60,15 +60,11 @@ def _fold_table(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("bar", "ret_lag0", "imb_lag0", "next_ret")
 
 
-
-
-def _folds(df: DataFrame, time: str = "bar") -> list[tuple[str, str]]:
-    """Three folds of five days after the first ten days of the table."""
-    first = df.agg(F.date_trunc("day", F.min(time)).alias("a")).first()["a"]
-    from datetime import timedelta
-
-    day = lambda k: (first + timedelta(days=k)).strftime("%Y-%m-%d %H:%M:%S")
-    return [(day(k), day(k + 5)) for k in (10, 15, 20)]
+def _folds(df: DataFrame, time: str = "bar", skip: int = 10, width: int = 5) -> list[tuple[str, str]]:
+    """Folds of ``width`` days, from ``skip`` days after the first row's day to the last row."""
+    ends = df.agg(F.date_trunc("day", F.min(time)).alias("a"), F.max(time).alias("b")).first()
+    day = lambda k: (ends["a"] + timedelta(days=k)).strftime("%Y-%m-%d %H:%M:%S")
+    return [(day(k), day(k + width)) for k in range(skip, (ends["b"] - ends["a"]).days + 1, width)]
 
 
 def _walk(spark: SparkSession, sf: str, alpha: float) -> DataFrame:
@@ -88,9 +84,9 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _liquidity_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """Walk-forward M0 to M2 for the next four hours' volatility, with the abnormal part under M2."""
-    t = bars.har_factors(bars.factor_panel(roles.minute_klines(spark, sf), 240, 0.05), 240)
-    out = models.walk_forward(t, "bar", "target_rv", lambda: models.make_models("rv"), _folds(t), models.columns_used("rv"), 40)
+    """Walk-forward M0 to M3 for the next hour's volatility, with the abnormal part under M2."""
+    t = bars.har_factors(_hourly(spark, sf), 60)
+    out = models.walk_forward(t, "bar", "target_rv", lambda: models.make_models("rv"), _folds(t), models.columns_used(models.make_models("rv")), 40)
     return models.abnormal(out, "m2")
 
 
@@ -100,9 +96,12 @@ MEDIANS = ["close", "usd_volume", "n_trades", "buy_share", "realized_vol", "kyle
 
 def _boost(spark: SparkSession, sf: str) -> DataFrame:
     t = bars.backtest_factors(_panel(spark, sf))
-    folds, columns = _folds(t), ["ret_lag0", "ret_lag1", "imb_lag0", "imb_lag1"]
-    cut = F.lit(folds[1][0]).cast("timestamp_ntz")
-    return models.boosting(t.where(F.col("bar") < cut), t.where(F.col("bar") >= cut), columns, "next_ret").select("bar", "next_ret", "forecast")
+    columns = ["ret_lag0", "ret_lag1", "imb_lag0", "imb_lag1"]
+    return models.walk_forward(t, "bar", "next_ret", lambda: {"forecast": models.Boosting(columns)}, _folds(t), columns)
+
+
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixture.routed(_regime_rows(spark, sf), FEATURES, 0.7, 30)
 
 
 def _panel_query(fn: Callable[[SparkSession, str], DataFrame], digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
@@ -112,7 +111,7 @@ def _panel_query(fn: Callable[[SparkSession, str], DataFrame], digits: int = 6)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minute_bars_from_trades": lambda s, d: bars.minute_bars(roles.trades(s, d)),
     "bars_nmin_drop_empty": lambda s, d: _panel(s, d).select("bar", "close", "buy_qty", "sell_qty", "n_trades", "usd_volume", "ret_bp", "imbalance", "activity_dev", "next_ret"),
-    "bars_nmin_full_grid": lambda s, d: bars.factor_panel(roles.minute_klines(s, d), 5, 2 / 5).select("bar", "minutes_available", "open", "close", "high", "low", "volume", "ret_bp", "path_bp", F.sqrt("rv").alias("vol_bp"), "oib"),
+    "bars_nmin_full_grid": lambda s, d: bars.factor_panel(roles.minute_klines(s, d), 5, 2 / 5).select("bar", "minutes_available", "open", "close", "high", "low", "volume", "usd_volume_m", "n_trades", "ret_bp", "path_bp", "rv_bp", "range_bp", "oib", "avg_trade", "amihud", "kyle"),
     "kyle_lambda_daily": lambda s, d: liquidity.kyle_daily(_minutes(s, d)),
     "kyle_lambda_by_hour_hc0": lambda s, d: liquidity.ols_hc0(_minutes(s, d).select(F.hour("time").alias("hour"), "return_bps", "signed_volume"), ["hour"], "return_bps", "signed_volume"),
     "amihud_daily": lambda s, d: liquidity.amihud_daily(_minutes(s, d)),
@@ -130,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ofi_impact_regression": lambda s, d: book.impact_regressions(book.impact_bins(roles.quotes(s, d), roles.trades(s, d).where("event_type = 'purchase'"), 1800)),
     "slippage_curve": lambda s, d: book.slippage_curve(roles.depth(s, d)),
     "har_factors": lambda s, d: bars.har_factors(_hourly(s, d), 60),
+    "har_factors_daily": lambda s, d: bars.har_factors(bars.factor_panel(roles.minute_klines(s, d), 1440, 100 / 1440), 1440),
     "backtest_factors": lambda s, d: bars.backtest_factors(_panel(s, d)),
     "regime_features": lambda s, d: regimes.features(roles.daily_close(s, d)),
     "regime_labels": lambda s, d: regimes.labels(roles.daily_close(s, d), 30, 0.4),
@@ -137,7 +137,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strategy_pnl_cost_grid": lambda s, d: evaluation.strategy_summary(evaluation.pnl(_held(s, d)), BAR),
     "max_drawdown": lambda s, d: evaluation.max_drawdown(_forecasts(s, d), "actual", "bar"),
     "breakeven_fee": lambda s, d: evaluation.breakeven_fee(evaluation.pnl(_held(s, d))),
-    "yearly_pivot": lambda s, d: evaluation.yearly_pivot(evaluation.pnl(_held(s, d)), [1, 2], "month").withColumnsRenamed({"1": "p1", "2": "p2"}),
+    "yearly_pivot": lambda s, d: evaluation.yearly_pivot(evaluation.pnl(_held(s, d)), list(range(1, 13)), "month").withColumnsRenamed({str(k): f"p{k}" for k in range(1, 13)}),
+    "oos_r2_against_zero": lambda s, d: evaluation.oos_r2(_forecasts(s, d), [F.month("bar").alias("month")], False),
+    "trading_stats": lambda s, d: evaluation.trading_stats(_forecasts(s, d).withColumn("actual", F.col("actual") / 1e5), "model", "actual"),
+    "top_terms": lambda s, d: reports.top_terms(models.hac_regression(_fold_table(s, d), ["ret_lag0"], "next_ret", "bar", 5)),
+    "extreme_hours": lambda s, d: reports.extremes(liquidity.ols_hc0(_minutes(s, d).select(F.hour("time").alias("hour"), "return_bps", "signed_volume"), ["hour"], "return_bps", "signed_volume"), "hour", "slope"),
+    "last_forecasts": lambda s, d: reports.last_rows(_forecasts(s, d), "bar", 14 * 96).select("bar", "actual", "model"),
+    "thinned_curve": lambda s, d: reports.thinned(_forecasts(s, d).select("bar", "actual"), "bar", 100),
+    "bars_in_range": lambda s, d: io.clean_range(_panel(s, d), "bar", "2024-01-10", "2024-01-12").select("bar", "close", "n_trades"),
+    "common_bars": lambda s, d: feeds.common(_panel(s, d).where("activity_dev > 0"), _forecasts(s, d).where("actual > 0"), "bar"),
+    "first_filled_field": lambda s, d: roles.table(s, d, "documents").groupBy(feeds.first_filled(F.col("source"), F.col("lang"), F.lit("none")).alias("label")).agg(F.count(F.lit(1)).alias("n")),
+    "confusion_grid": lambda s, d: evaluation.confusion(regimes.labels(roles.daily_close(s, d), 30, 0.4).where("regime IS NOT NULL").withColumn("guess", F.dayofmonth("date") % 3), "regime", "guess"),
     "clark_west": lambda s, d: evaluation.clark_west(_forecasts(s, d), "bar", None),
     "clark_west_hac": lambda s, d: evaluation.clark_west(_forecasts(s, d), "bar", 5),
     "diebold_mariano": lambda s, d: evaluation.diebold_mariano(_forecasts(s, d), "bar", 5),
@@ -152,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "incremental_antijoin": lambda s, d: feeds.unseen(roles.table(s, d, "documents").select("doc_id", "lang"), roles.table(s, d, "labels"), "doc_id", True),
     "coverage_hard_gaps": lambda s, d: feeds.hard_gaps(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type")),
     "coverage_soft_gaps": lambda s, d: feeds.soft_gaps(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type"), 0.5),
+    "coverage_low_cadence": lambda s, d: feeds.low_cadence(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type"), 6.0, 0.5),
     "coverage_report": lambda s, d: feeds.coverage(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type"), 0.5),
     "data_description": lambda s, d: reports.describe_bars(bars.minute_bars(roles.trades(s, d))),
     "rolling_median_30d": lambda s, d: roles.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close")).select("date", reports.rolling_median(F.col("close"), 30, "date").alias("median_close")),
@@ -159,8 +170,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "liquidity_forecasts": _liquidity_forecasts,
     "confusion_macro_f1": lambda s, d: evaluation.macro_f1(evaluation.confusion(regimes.labels(roles.daily_close(s, d), 30, 0.4).where("regime IS NOT NULL").withColumn("guess", F.dayofmonth("date") % 3), "regime", "guess")),
     "pin_quarterly": lambda s, d: models.pin_quarterly(_daily_minutes(s, d).select("date", F.rint(F.col("buy_volume") / 25).alias("buys"), F.rint(F.col("sell_volume") / 25).alias("sells"))),
-    "placebo_sharpe": lambda s, d: models.placebo(_held(s, d), 500),
-    "moe_routing": lambda s, d: models.moe_routing(_regime_rows(s, d), FEATURES, 0.7, 30),
+    "placebo_sharpe": lambda s, d: models.placebo(_held(s, d), BAR, 1.0),
+    "moe_routing": _routed,
+    "moe_metrics": lambda s, d: mixture.routing_metrics(_routed(s, d)),
     "boosting_walk_forward": _boost,
 }
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -63,6 +64,24 @@ def read_klines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=KLINE).withColumn("time", F.col("open_time").cast("timestamp"))
 
 
+def read_year_klines(spark: SparkSession, path: str, first_full_day: str | None = None) -> DataFrame:
+    """Parquet files of many years (a glob); what comes before the first whole day is left out."""
+    df = spark.read.parquet(path)
+    return df.where(F.col("time") >= F.lit(first_full_day).cast(df.schema["time"].dataType)) if first_full_day else df
+
+
+def partition_rows(spark: SparkSession, base: str, stream: str | None = None, host: str | None = None) -> DataFrame:
+    """(stream, host, date, hour, n, files) of ``base/stream=?/host=/date=/hour=``.
+
+    No column of the files is read, so that the row counts come from the footers; stream and host prune folders.
+    """
+    df = spark.read.option("recursiveFileLookup", "false").option("basePath", base).parquet(f"{base}/{stream or '*'}")
+    df = df.where(F.col("host") == host) if host else df
+    file = F.col("_metadata.file_path")
+    named = df.select("host", "date", "hour", F.regexp_extract(file, r"/([^/]+)/host=", 1).alias("stream"), file.alias("file"))
+    return named.groupBy("stream", "host", "date", "hour").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("files"))
+
+
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     """date and close are required; sentiment is 0 where missing."""
     df = spark.read.csv(path, header=True, inferSchema=False)
@@ -140,6 +159,28 @@ def write_partitions(df: DataFrame, path: str, recv: str) -> None:
     told.write.mode("append").option("compression", "zstd").partitionBy("host", "date", "hour").parquet(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV files; every file has its header, readers see one table."""
+    df.write.mode("append").option("header", True).csv(path)
+
+
+def write_small(df: DataFrame, path: str, form: str = "csv") -> None:
+    """A result table as one CSV or JSON file with a header, in the place of what was there."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).format(form).save(path)
+
+
+def replace_parquet(df: DataFrame, path: str) -> None:
+    """Writes beside ``path`` and renames, so that an interrupted write never stands under the final name."""
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(fresh)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+    fs = old.getFileSystem(conf)
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{fresh} could not be renamed to {path}")
+
+
 def read_heartbeat(text: str | None) -> dict | None:
     """The heartbeat's fields; None if absent or not JSON."""
     try:

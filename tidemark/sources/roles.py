@@ -31,15 +31,15 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_spreads(best: DataFrame) -> DataFrame:
     mid, spread = (F.col("bid") + F.col("ask")) / 2, F.col("ask") - F.col("bid")
-    return best.withColumns({"mid": mid, "spread_usdt": spread, "spread_ticks": F.rint(spread / 0.01), "spread_bps": spread / mid * 1e4})
+    return best.withColumns({"mid": mid, "spread_usdt": spread, "spread_ticks": F.rint(spread / 0.01), "spread_bps": F.try_divide(spread, mid) * 1e4})
 
 
 def depth(spark: SparkSession, sf_dir: str, levels: int = 10) -> DataFrame:
     """(snapshot, bids, asks): ladders of (px, qty), best level first, at most ``levels``."""
-    px = F.col("l_extendedprice") / F.col("l_quantity")
+    px = F.try_divide("l_extendedprice", "l_quantity")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", px.alias("px"), F.col("l_quantity").cast("double").alias("qty"), *LINE_ORDER[2:])
     one = F.col("l_linenumber") % 2 == 1
-    side = lambda cond, up: F.slice(F.sort_array(F.collect_list(F.when(cond, F.struct((F.col("px") if up else -F.col("px")).alias("key"), "qty"))), True), 1, levels)
+    side = lambda cond, up: F.slice(F.sort_array(F.collect_list(F.when(cond & F.col("px").isNotNull(), F.struct((F.col("px") if up else -F.col("px")).alias("key"), "qty"))), True), 1, levels)
     return lines.groupBy(F.col("l_orderkey").alias("snapshot")).agg(side(one, False).alias("b"), side(~one, True).alias("a")).select("snapshot", F.transform("b", lambda x: F.struct((-x["key"]).alias("px"), x["qty"].alias("qty"))).alias("bids"), F.transform("a", lambda x: F.struct(x["key"].alias("px"), x["qty"].alias("qty"))).alias("asks"))
 
 
@@ -55,7 +55,7 @@ def minute_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades of one day each: side from the return flag."""
-    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_returnflag") == "R").alias("is_buyer_maker"))
+    return table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.try_divide("l_extendedprice", "l_quantity").alias("price"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_returnflag") == "R").alias("is_buyer_maker"))
 
 
 def daily_close(spark: SparkSession, sf_dir: str) -> DataFrame:

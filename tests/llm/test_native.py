@@ -87,6 +87,21 @@ def test_contamination(spark, docs, rows, empty, broadcast, monkeypatch):
     assert kept.count() == sum(1 for d, *_ in rows if not found[d][4])
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_contaminated_rows(spark, broadcast, monkeypatch):
+    """Null and repeated ids: one result for each row; an item without id counts once and has no place in the list."""
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
+    window = " ".join(f"w{i}" for i in range(10))
+    rows = [(None, "clean words"), (None, window + " x"), (1, window), (1, "other"), (2, "twice"), (2, "twice"), (3, "lone item"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([("a", window), (None, "lone item"), (None, window), (None, "lone")], "item_id string, text string")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontamination.decontaminate(docs, items).collect()]
+    want = [(None, 2, 0, 0, [], False), (None, 11, 10, 2, ["a"], True), (1, 10, 10, 2, ["a"], True), (1, 1, 0, 0, [], False), (2, 1, 0, 0, [], False), (2, 1, 0, 0, [], False), (3, 2, 2, 1, [], True), (4, 0, 0, 0, [], False)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [tuple(r) for r in decontamination.clean(docs, items).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[3], rows[4], rows[5], rows[7]], key=str)
+
+
 def test_base_measures(docs, rows, empty):
     got = quality.with_rates(quality.base_measures(docs)).collect()
     found = sorted((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got)

@@ -9,9 +9,11 @@ compared exactly.
 The windows are broadcast while their counted number is at most ``BROADCAST_WINDOWS``; beyond that
 the document words that are some window's rarest are shuffled with the words around them.
 
-Cases: a null or empty text has no words and no hits; an item without words has no window; equal
-windows of several items count for each; rows that repeat a doc_id are documents of their own only
-if their texts differ in length (hits of one doc_id are united); an empty table gives an empty
+Cases: every row of the documents is one of the result, whatever its doc_id; rows are told apart by
+doc_id and text (as a 64-bit hash within one doc_id), and equal rows have equal results, as many times
+as they stand there.  A null or empty text has no words and no hits; an item without words has no
+window; equal windows of several items count for each; an item whose item_id is null counts as one
+item (all such items together) and is left out of the list of ids; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -49,35 +51,41 @@ def with_rarest(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     return ranked.groupBy("item_id", "words").agg(first).select("item_id", "words", "rarest.token", "rarest.shift")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, item_id, start, length): a row for each occurrence, and one without item for each document."""
+    """(doc_id, hash, n_words, item_id, start, length): a row for each occurrence, and one of length 0 for each row of ``docs``."""
     windows = materialise(item_windows(benchmark, width), "windows")
     small = windows.count() <= BROADCAST_WINDOWS
     keyed = materialise(with_rarest(windows, docs, small), "windows-keyed")
-    told = docs.select("doc_id", words(F.col("text")).alias("all")).withColumn("n_words", F.size("all").cast("bigint"))
-    # an empty word ends each list: it matches the one window without words, so that every document stays
-    none = keyed.sparkSession.createDataFrame([(None, [], "", 0)], keyed.schema)
-    sought = keyed.unionByName(none)
-    placed = told.select("doc_id", "n_words", "all", F.posexplode(F.array_append("all", F.lit(""))).alias("at", "token"))
+    told = docs.select("doc_id", text_hash(F.col("text")).alias("hash"), words(F.col("text")).alias("all")).withColumn("n_words", F.size("all").cast("bigint"))
     start = (F.col("at") - F.col("shift")).alias("start")
     inside = (start >= 0) & (start + F.size("words") <= F.col("n_words"))
+    own = ["doc_id", "hash", "n_words"]
     if small:
-        found = placed.join(F.broadcast(sought), "token")
+        # an empty word ends each list and meets one window without words: every row stays, in the same pass
+        none = keyed.sparkSession.createDataFrame([(None, [], "", 0)], keyed.schema)
+        placed = told.select(*own, "all", F.posexplode(F.array_append("all", F.lit(""))).alias("at", "token"))
         equal = F.slice("all", F.col("at") - F.col("shift") + 1, F.size("words")) == F.col("words")
-    else:
-        tokens = sought.select("token").distinct()
-        near = placed.join(tokens, "token", "left_semi").select("doc_id", "n_words", "at", "token", F.greatest(F.col("at") - width + 1, F.lit(0)).alias("low"), F.slice("all", F.greatest(F.col("at") - width + 1, F.lit(0)) + 1, F.lit(2 * width)).alias("all"))
-        found = near.join(sought, "token")
-        equal = F.slice("all", F.greatest(F.col("at") - F.col("shift") - F.col("low"), F.lit(0)) + 1, F.size("words")) == F.col("words")
-    hit = (F.size("words") == 0) | (inside & F.when(inside, equal))
-    return found.where(hit).select("doc_id", "n_words", "item_id", start, F.size("words").alias("length"))
+        hit = (F.size("words") == 0) | (inside & F.when(inside, equal))
+        return placed.join(F.broadcast(keyed.unionByName(none)), "token").where(hit).select(*own, "item_id", start, F.size("words").alias("length"))
+    low = F.greatest(F.col("at") - width + 1, F.lit(0))
+    placed = told.select(*own, "all", F.posexplode("all").alias("at", "token")).join(keyed.select("token").distinct(), "token", "left_semi")
+    near = placed.select(*own, "at", "token", low.alias("low"), F.slice("all", low + 1, F.lit(2 * width)).alias("all"))
+    equal = F.slice("all", F.greatest(F.col("at") - F.col("shift") - F.col("low"), F.lit(0)) + 1, F.size("words")) == F.col("words")
+    found = near.join(keyed, "token").where(inside & F.when(inside, equal)).select(*own, "item_id", start, F.size("words").alias("length"))
+    return found.unionByName(told.select(*own, F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, contaminated), one row for each doc_id."""
+    """(doc_id, hash, n_words, n_hit, n_items, items, contaminated) for every row of ``docs``."""
     found = occurrences(docs, benchmark, width)
-    spans = F.array_sort(F.collect_set(F.when(F.col("item_id").isNotNull(), F.struct("start", "length"))))
-    per_doc = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    real = F.col("length") > 0
+    spans = F.array_sort(F.collect_set(F.when(real, F.struct("start", "length"))))
+    unnamed = F.coalesce(F.bool_or(real & F.col("item_id").isNull()), F.lit(False)).cast("int")
+    per_doc = found.groupBy("doc_id", "hash", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), unnamed.alias("unnamed"), F.count_if(~real).alias("rows"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
@@ -87,10 +95,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
         ),
         lambda acc: acc["n"],
     )
-    return per_doc.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
+    told = per_doc.select("doc_id", "hash", "n_words", covered.alias("n_hit"), (F.size("items") + F.col("unnamed")).cast("bigint").alias("n_items"), "items", (F.size("spans") > 0).alias("contaminated"), "rows")
+    return told.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).drop("copy", "rows")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents without any hit word, every column as it was."""
-    dirty = decontaminate(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_id"))
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]), "left_anti")
+    """The rows without any hit word, every column as it was."""
+    dirty = decontaminate(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (text_hash(docs["text"]) == dirty["_hash"]), "left_anti")

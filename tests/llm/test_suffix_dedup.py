@@ -54,3 +54,30 @@ def test_planted_repeats(spark, piece, block, broadcast, monkeypatch):
     digest = whole.select("doc_id", F.sha2("kept", 256).alias("d")).collect()
     want = brute.repeats(rows)
     assert {r["doc_id"]: r["d"] for r in digest} == {d: w[3] for d, w in want.items()}
+
+
+def test_parts_of_a_frequent_anchor():
+    """The parts hold every window once, and equal windows have equal keys whatever stands around them."""
+    one, two = b"x" * 300 + bytes(range(200)) + b"y" * 300, b"q" * 150 + bytes(range(200)) + b"z" * 300
+    keys = []
+    for text, place in ((one, 380), (two, 230)):
+        found = {}
+        for key, low, n in suffix_dedup.dealt(7, text, place, place - 168, 169, True):
+            found |= {text[w : w + 200]: key for w in range(low, low + n)}
+        assert len(found) == 169
+        keys.append(found)
+    both = keys[0].keys() & keys[1].keys()
+    assert both == {bytes(range(200))} and all(keys[0][w] == keys[1][w] for w in both)
+    assert list(suffix_dedup.dealt(7, one, 380, 300, 20, False)) == [(7, 300, 20)]
+
+
+def test_frequent_anchors(spark, monkeypatch):
+    """Every anchor taken for frequent, passages among many surroundings: the same result from finer parts."""
+    monkeypatch.setattr(suffix_dedup, "frequent", lambda hits: hits >= 0)
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = make(330)
+    texts = [make(rng.randint(0, 60)) + passage[rng.randint(0, 40) :] + make(rng.randint(0, 90)) for _ in range(25)]
+    texts += ["z" * 500, "ab" * 400, make(1000), make(250) * 2, passage[:199], passage[5:205]]
+    rows = list(enumerate(texts))
+    check(suffix_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")), rows)

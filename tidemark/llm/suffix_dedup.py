@@ -6,9 +6,12 @@ to one of each exact copy first (a text with copies goes whole, if long enough).
 Only stretches that can repeat are sorted.  Each window of ``LENGTH`` bytes has an anchor, its
 smallest hash of ``GRAM`` bytes, which equal windows share.  Anchors that occur once drop out; around
 the others the windows they rule are cut out as a stretch and dealt by the anchor, so that equal
-windows meet in one task.  There the stretches are laid end to end, about ``BLOCK`` bytes at a time,
-and their suffixes are sorted with a difference cover (``suffix_blocks``); windows that equal their
-neighbour in the suffix array repeat.  The comparison is of bytes, so no hash decides a result.
+windows meet in one task.  A frequent anchor (by a table of counters) is dealt further: its windows
+are taken apart by the anchor's place within them, ``STEP`` places together, and by the bytes that all of these windows
+hold; equal windows agree in both.  In a task the stretches are laid end to end, about ``BLOCK`` bytes at
+a time, and their suffixes are sorted with a difference cover (``suffix_blocks``); windows that equal their
+neighbour in the suffix array repeat.  Passages are compared by their bytes; only exact copies of whole
+texts are known by a 64-bit hash and their length.
 
 Cases: a null text is empty; texts shorter than ``LENGTH`` lose nothing; repeated rows are copies;
 overlaps count, inside one text too; an empty table gives an empty result; other columns are ignored.
@@ -26,10 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.base import materialise
+from tidemark.llm.counters import counter_of, frequent, hit_table
 from tidemark.llm.shingling import BYTE_CODES, chunks, powers, splitmix
 from tidemark.llm.suffix_blocks import repeated_windows
 
 LENGTH, GRAM = 200, 32
+#: Places of a frequent anchor in a window that are taken together, and parts that its rows are dealt into before.
+STEP, SALTS = 24, 4096
 #: Windows that are hashed at once; bytes of stretches that are sorted at once.
 PIECE, BLOCK = 1 << 18, 4 << 20
 #: Bytes of a table of copies that is sent to every executor; a larger one is joined by a shuffle.
@@ -79,45 +85,66 @@ def text_ids(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tid"), F.octet_length(text).cast("bigint").alias("n_bytes"))
 
 
+def text_anchors(hasher: Hasher, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, index of the text) of every anchor of a batch."""
+    keys, places, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, text in enumerate(data):
+        for at, piece in pieces(text):
+            place, key, _, _ = hasher.anchors(piece)
+            keys.append(key)
+            places.append(place + at)
+            owner.append(np.full(len(key), i))
+    return np.concatenate(keys), np.concatenate(places), np.concatenate(owner)
+
+
 def find_anchors(texts: DataFrame) -> DataFrame:
+    """(anchor, tid, n_bytes, place, often); ``often``: the anchor's counter has many hits, alike for equal anchors."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent(hit_table(texts, lambda data: text_anchors(Hasher(), data)[0])))
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        hasher, table = Hasher(), sent.value
         for batch, data in chunks(batches):
-            keys, places, owner = [], [], []
-            for i, text in enumerate(data):
-                for at, piece in pieces(text):
-                    place, key, _, _ = hasher.anchors(piece)
-                    keys.append(key)
-                    places.append(place + at)
-                    owner.append(np.full(len(key), i))
-            if keys:
-                owner = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column("tid").take(owner), batch.column("n_bytes").take(owner), pa.array(np.concatenate(places))], ["anchor", "tid", "n_bytes", "place"])
+            key, place, owner = text_anchors(hasher, data)
+            owner = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("tid").take(owner), batch.column("n_bytes").take(owner), pa.array(place), pa.array(table[counter_of(key)])], ["anchor", "tid", "n_bytes", "place", "often"])
+
+    return texts.select("tid", "n_bytes", "text").mapInArrow(find, "anchor bigint, tid bigint, n_bytes bigint, place bigint, often boolean")
+
 
-    return texts.select("tid", "n_bytes", "text").mapInArrow(find, "anchor bigint, tid bigint, n_bytes bigint, place bigint")
+def dealt(key: int, text: bytes, place: int, first: int, n: int, often: bool) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, windows): the ``n`` windows that an anchor at ``place`` rules, in the parts that are dealt on their own."""
+    if not often:
+        yield key, first, n
+        return
+    for step in range((place - first - n + 1) // STEP, (place - first) // STEP + 1):
+        # the windows that begin step * STEP to step * STEP + STEP - 1 bytes before the anchor, and what they share
+        low, high = max(first, place - step * STEP - STEP + 1), min(first + n, place - step * STEP + 1)
+        core = text[place - step * STEP : place - step * STEP - STEP + 1 + LENGTH]
+        yield int.from_bytes(hashlib.blake2b(core, digest_size=8, key=key.to_bytes(8, "little", signed=True), salt=step.to_bytes(4, "little")).digest(), "little", signed=True), low, high - low
 
 
 def cut_stretches(texts: DataFrame) -> DataFrame:
-    """(anchor, stretch, owners): a row for each different stretch of a batch, with all its places."""
+    """(key, stretch, owners): a row for each different stretch of a batch, with all its places."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch, data in chunks(batches):
             tids, sizes = batch.column("tid").to_pylist(), batch.column("n_bytes").to_pylist()
-            wanted = batch.column("places")
+            wanted, often = batch.column("places"), batch.column("often")
             found: dict[tuple[int, bytes], list[dict]] = {}
             for i, text in enumerate(data):
-                places = wanted[i].values.to_numpy()
+                places, hot = wanted[i].values.to_numpy(), set(often[i].as_py())
                 for at, piece in pieces(text):
                     place, key, first, n = hasher.anchors(piece)
                     for k in np.flatnonzero(np.isin(place + at, places)):
-                        low = at + int(first[k])
-                        found.setdefault((int(key[k].view(np.int64)), text[low : low + int(n[k]) + LENGTH - 1]), []).append({"tid": tids[i], "n_bytes": sizes[i], "start": low})
+                        spot = at + int(place[k])
+                        for part, low, count in dealt(int(key[k].view(np.int64)), text, spot, at + int(first[k]), int(n[k]), spot in hot):
+                            found.setdefault((part, text[low : low + count + LENGTH - 1]), []).append({"tid": tids[i], "n_bytes": sizes[i], "start": low})
             if found:
                 kind = pa.list_(pa.struct([("tid", pa.int64()), ("n_bytes", pa.int64()), ("start", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), pa.array(list(found.values()), kind)], ["anchor", "stretch", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), pa.array(list(found.values()), kind)], ["key", "stretch", "owners"])
 
-    return texts.mapInArrow(cut, "anchor bigint, stretch binary, owners array<struct<tid:bigint,n_bytes:bigint,start:bigint>>")
+    return texts.mapInArrow(cut, "key bigint, stretch binary, owners array<struct<tid:bigint,n_bytes:bigint,start:bigint>>")
 
 
 def sort_stretches(stretches: DataFrame) -> DataFrame:
@@ -149,16 +176,16 @@ def sort_stretches(stretches: DataFrame) -> DataFrame:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size, last = [], 0, None
         for batch in batches:
-            for anchor, stretch, owners in zip(batch.column("anchor").to_pylist(), batch.column("stretch").to_pylist(), batch.column("owners").to_pylist(), strict=True):
-                if size > BLOCK and anchor != last:
+            for key, stretch, owners in zip(batch.column("key").to_pylist(), batch.column("stretch").to_pylist(), batch.column("owners").to_pylist(), strict=True):
+                if size > BLOCK and key != last:
                     yield runs(group)
                     group, size = [], 0
                 group.append((stretch, owners))
-                size, last = size + len(stretch), anchor
+                size, last = size + len(stretch), key
         if group:
             yield runs(group)
 
-    return stretches.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, "tid bigint, n_bytes bigint, low bigint, high bigint")
+    return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(sort, "tid bigint, n_bytes bigint, low bigint, high bigint")
 
 
 def small(table: DataFrame, size) -> DataFrame:
@@ -176,8 +203,11 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     long_enough = texts.where(F.col("n_bytes") >= LENGTH)
     single = long_enough.join(small(others, F.lit(24)), ["doc_id", "tid", "n_bytes"], "left_anti")
 
-    met = find_anchors(single).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor"))).where("m > 1")
-    spots = materialise(met.groupBy("tid", "n_bytes").agg(F.collect_list("place").alias("places")), "spots")
+    # frequent anchors are taken to repeat (sorting tells), so that their rows need not meet to be counted
+    apart = F.when(F.col("often"), F.pmod(F.xxhash64("tid", "place"), F.lit(SALTS))).otherwise(F.lit(0))
+    met = find_anchors(single).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor", apart))).where("m > 1 OR often")
+    often = F.collect_list(F.when(F.col("often"), F.col("place")))
+    spots = materialise(met.groupBy("tid", "n_bytes").agg(F.collect_list("place").alias("places"), often.alias("often")), "spots")
     found = sort_stretches(cut_stretches(single.select("tid", "n_bytes", "text").join(spots, ["tid", "n_bytes"])))
     whole = counted.where("copies > 1").select("tid", "n_bytes", F.lit(0).cast("bigint").alias("low"), F.col("n_bytes").alias("high"))
     cuts = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("cuts")

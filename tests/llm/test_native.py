@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import brute
@@ -109,15 +110,47 @@ def test_base_measures(docs, rows, empty):
     assert quality.base_measures(empty).count() == 0
 
 
+def marked(spark, n_good, n_bad, symbols_of_good=0):
+    """Good texts, and bad ones whose words are symbols; a few good ones have symbols too."""
+    rng = random.Random(8)
+    words = lambda n: [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))]
+    rows = [(i, " ".join(words(80) + ["##"] * 20 * (i < symbols_of_good))) for i in range(n_good)]
+    rows += [(n_good + i, " ".join(words(60) + ["#$%"] * 30)) for i in range(n_bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < n_good), 0) for i in range(n_good + n_bad)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_thresholds_bind(spark):
+    """Bad texts go that the base rule keeps; with too few good labels, or too many good texts hit, none goes."""
+    docs, labels = marked(spark, 200, 14)
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.judge(docs, labels).collect()}
+    assert all(got[i] == (False, True) for i in range(200)) and not any(got[i][1] for i in range(200, 214))
+    assert not any(got[i][0] for i in range(200, 214))
+    assert sorted(r["doc_id"] for r in quality.keep_good(docs, labels).collect()) == list(range(200))
+    for some in (labels.limit(0), labels.where("doc_id < 100 OR doc_id >= 200")):
+        assert all(r["kept"] for r in quality.judge(docs, some).collect())
+
+
 def test_thresholds_keep_their_promise(spark):
-    """Good rows rarely exceed; bad rows do; the chosen cutoff's false rejections stay under the risk."""
-    rows = [(i, 300, 0.0 if i % 50 else 0.001) for i in range(8000)] + [(i, 300, 1.5) for i in range(8000, 9000)]
-    rated = spark.createDataFrame(rows, "doc_id long, n_words long, symbol_rate double").selectExpr("*", "1 as stratum", "false as base_failed", "0d as dup_line_rate", "0d as repeat_rate", "5d as mean_chars")
-    labels = spark.createDataFrame([(i, int(i < 8000), 0) for i in range(9000)] + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
-    chosen = quality.choose_cutoffs(rated, labels)
-    assert chosen[(1, "symbol_rate")] == 0.05
-    assert quality.choose_cutoffs(rated, labels.limit(0)) == {}
-    assert quality.choose_cutoffs(rated, labels.where("doc_id < 40")) == {}
+    """The adopted rules' rejections of good texts pass the exact test, and the next cutoff fails it."""
+    docs, labels = marked(spark, 400, 8, symbols_of_good=30)
+    rated = quality.with_rates(quality.base_measures(docs)).cache()
+    chosen, grid = quality.choose_cutoffs(rated, labels), quality.cutoff_grid(rated)
+    rows, least = [r.asDict() for r in rated.collect()], quality.DELTA / (len(quality.BANDS) * len(quality.RATES))
+    good, gone = [r for r in rows if r["doc_id"] < 400], set()
+    for rate in quality.RATES:
+        units = sorted(r[rate] for r in rows)
+        assert grid[(0, rate)] == sorted({units[-(-level * len(units) // 1000) - 1] for level in quality.LEVELS}, reverse=True)
+        adopted = None
+        for cut in grid[(0, rate)]:
+            hit = gone | {r["doc_id"] for r in good if r[rate] > cut}
+            if quality.binomial_tail(len(hit), len(good), quality.RISK) > least:
+                break
+            adopted, now = cut, hit
+        assert chosen.get((0, rate)) == adopted
+        gone = now if adopted is not None else gone
+    assert len(gone) <= quality.RISK * len(good)
 
 
 @pytest.mark.parametrize("k,n,p", [(0, 10, 0.1), (3, 20, 0.2), (50, 1000, 0.05), (0, 0, 0.5)])

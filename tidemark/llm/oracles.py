@@ -41,21 +41,28 @@ SUFFIX = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM
 
 def _quality() -> str:
     bands = " ".join(f"WHEN n_words >= {low} THEN {k}" for k, low in reversed(list(enumerate(quality.BANDS))))
-    tests = len(quality.BANDS) * len(quality.GRID)
-    risk = quality.RISK / len(quality.GRID)
-    grid = ", ".join(f"('{rate}', {cut}::DOUBLE)" for rate, cuts in quality.GRID.items() for cut in cuts)
-    rate = "CASE name " + " ".join(f"WHEN '{r}' THEN {r}" for r in quality.GRID) + " END"
+    rates = ", ".join(f"CAST(least({units} * {part} // greatest({whole}, 1), {quality.TOP}) AS INT) AS {rate}" for rate, (part, whole, units) in quality.RATES.items())
+    least, risk = quality.DELTA / (len(quality.BANDS) * len(quality.RATES)), quality.RISK
+    tail = f"sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r})))"
+    steps, before = "", "h0"
+    for k, rate in enumerate(quality.RATES):
+        cuts = " UNION ".join(f"SELECT stratum, min({rate}) FILTER (1000 * upto >= {level} * whole) AS cut FROM q{k} GROUP BY 1" for level in quality.LEVELS)
+        steps += f""",
+ q{k} AS (SELECT stratum, {rate}, sum(count(*)) OVER (PARTITION BY stratum ORDER BY {rate}) AS upto, sum(count(*)) OVER (PARTITION BY stratum) AS whole FROM m WHERE NOT base_failed GROUP BY stratum, {rate}), g{k} AS ({cuts}),
+ f{k} AS (SELECT stratum, cut, count(*) AS n, count(*) FILTER (gone OR {rate} > cut) AS k FROM {before} JOIN g{k} USING (stratum) GROUP BY 1, 2), p{k} AS (SELECT stratum, cut, {tail} AS tail FROM f{k}, unnest(range(0, k + 1)) u(i) GROUP BY 1, 2),
+ y{k} AS (SELECT stratum, cut, max(tail) OVER (PARTITION BY stratum ORDER BY cut DESC) AS worst FROM p{k}), z{k} AS (SELECT stratum, min(cut) AS cut FROM y{k} WHERE worst <= {least!r} GROUP BY 1),
+ h{k + 1} AS (SELECT h.* EXCLUDE (gone), gone OR coalesce({rate} > cut, false) AS gone FROM {before} h LEFT JOIN z{k} USING (stratum))"""
+        before = f"h{k + 1}"
+    gone = " OR ".join(f"coalesce({rate} > (SELECT cut FROM z{k} WHERE z{k}.stratum = m.stratum), false)" for k, rate in enumerate(quality.RATES))
     return rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WS_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
  l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
  t AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM w, unnest(range(1, greatest(len(ws) - 2, 0) + 1)) u(i)), r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS m FROM t) WHERE m > 1),
  c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, unnest(range(0, 3)) v(o) GROUP BY 1),
  b AS (SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN c ON c.doc_id = w.doc_id),
- m AS (SELECT *, CASE {bands} ELSE 0 END AS stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_rate, n_dup_lines / greatest(n_lines, 1) AS dup_line_rate, n_repeat_words / greatest(n_words, 1) AS repeat_rate, word_chars / greatest(n_words, 1) AS mean_chars FROM b),
- h AS (SELECT m.* FROM m JOIN labels ON labels.doc_id = m.doc_id WHERE quality = 1 AND NOT base_failed), f AS (SELECT stratum, name, cut, count(*) AS n, count(*) FILTER ({rate} > cut) AS k FROM h, (VALUES {grid}) g(name, cut) GROUP BY 1, 2, 3),
- p AS (SELECT stratum, name, cut, sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - CASE WHEN n = i THEN 0 ELSE lgamma(n - i + 1) END + i * ln({risk!r}) + (n - i) * ln(1 - {risk!r}))) AS tail FROM f, unnest(range(0, k + 1)) u(i) GROUP BY 1, 2, 3),
- y AS (SELECT stratum, name, cut, max(tail) OVER (PARTITION BY stratum, name ORDER BY cut DESC) AS worst FROM p), z AS (SELECT stratum, name, min(cut) AS cut FROM y WHERE worst <= {quality.DELTA / tests!r} GROUP BY 1, 2), x AS (SELECT DISTINCT doc_id FROM m JOIN z ON z.stratum = m.stratum WHERE {rate} > cut)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM x) AS kept FROM m"""
+ m AS (SELECT *, CASE {bands} ELSE 0 END AS stratum, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {rates} FROM b),
+ h0 AS (SELECT m.*, false AS gone FROM m JOIN labels ON labels.doc_id = m.doc_id WHERE quality = 1 AND NOT base_failed){steps}
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({gone}) AS kept FROM m"""
 
 
 SQL = {"op5_mixing": MIXING, "op6_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op8_quality": _quality(), "op10_suffix_dedup": SUFFIX}

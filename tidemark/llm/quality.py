@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds.
 
 Base measures are counted in the row, on whole texts, by array functions.  Four rates follow from
-them (symbols, repeated lines, repeated words, mean word length).  For each stratum (a band of text
-length), labelled good documents are rejected at a rate of at most ``RISK``, which the rates share
-equally: the exact binomial test of "its false rejections exceed its share" must be rejected at
-``DELTA`` divided by the number of strata and rates (Bonferroni).  A rate's cutoffs are tested from the
-highest down and the last before the first failure is taken (fixed-sequence testing, which needs no
-further division).  Where none passes, the rate rejects nothing in that stratum.
+them, as whole thousandths or hundredths: symbols, characters of a word, repeated words, repeated lines.
+
+A stratum is a band of text length.  Its cutoffs are quantiles (``LEVELS``) of the rates over all its
+documents, labelled or not, so that no label shapes the grid.  Labelled good documents then decide: the
+rates are taken in a fixed order, and a rate's cutoffs from the highest down; a cutoff is adopted while the exact
+binomial test rejects "this rate's rejections and those adopted before hit more than ``RISK`` of the good
+documents".  Each rate of each stratum has ``DELTA`` / (strata * rates) for its sequence (Bonferroni over
+sequences, fixed-sequence testing within), so that with probability 1 - ``DELTA`` no stratum loses more
+than ``RISK`` of its good documents.  Where no cutoff passes, the rate rejects nothing there.
 
 Cases: a null or empty text has no words and fails the base rule; documents without label or with a
 null label take no part in the choice but are judged; labels without document are ignored; several
@@ -20,20 +23,24 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.base import WS_WORD, materialise, ws_words
 
 MIN_WORDS = 50
 #: Lower ends of the strata, in words.
-BANDS = (0, 200, 600)
-RISK, DELTA = 0.03, 0.05
-#: rate -> cutoffs; a document is rejected above the cutoff.
-GRID = {
-    "symbol_rate": (0.05, 0.1, 0.2, 0.5, 1.0),
-    "dup_line_rate": (0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_rate": (0.1, 0.15, 0.2, 0.3, 0.4),
-    "mean_chars": (6.5, 7.0, 7.5, 8.0, 10.0),
+BANDS = (0, 300)
+RISK, DELTA = 0.03, 0.1
+#: Rates in the order of their tests -> (numerator, denominator, units of 1).  A document is rejected above the cutoff.
+RATES = {
+    "symbol_rate": ("n_symbols", "n_words", 1000),
+    "mean_chars": ("word_chars", "n_words", 100),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000),
 }
+#: The largest unit of a rate that is told apart, and the quantiles (in thousandths) that make cutoffs.
+TOP = 10_000
+LEVELS = (990, 970, 950, 930)
 
 
 def repeated_words(words: Column) -> Column:
@@ -72,19 +79,12 @@ def base_measures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def with_rates(measures: DataFrame) -> DataFrame:
-    words, lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     band = F.lit(0)
     for k, low in enumerate(BANDS):
         band = F.when(F.col("n_words") >= low, F.lit(k)).otherwise(band)
-    return measures.select(
-        "*",
-        band.alias("stratum"),
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        (F.col("n_symbols") / words).alias("symbol_rate"),
-        (F.col("n_dup_lines") / lines).alias("dup_line_rate"),
-        (F.col("n_repeat_words") / words).alias("repeat_rate"),
-        (F.col("word_chars") / words).alias("mean_chars"),
-    )
+    rates = [F.expr(f"least({units} * {part} div greatest({whole}, 1), {TOP})").cast("int").alias(rate) for rate, (part, whole, units) in RATES.items()]
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return measures.select("*", band.alias("stratum"), failed.alias("base_failed"), *rates)
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
@@ -96,40 +96,51 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in log))
 
 
-def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    """{(stratum, rate): cutoff}; the driver sees one row of counts for each stratum."""
+def cutoff_grid(rated: DataFrame) -> dict[tuple[int, str], list[int]]:
+    """{(stratum, rate): cutoffs, highest first}: quantiles over all documents that pass the base rule (at most TOP + 1 counts of each)."""
+    each = F.explode(F.array(*(F.struct(F.lit(rate).alias("rate"), F.col(rate).alias("unit")) for rate in RATES)))
+    counts = rated.where(~F.col("base_failed")).select("stratum", each.alias("r")).groupBy("stratum", "r.rate", "r.unit").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("stratum", "rate")
+    told = counts.select("stratum", "rate", "unit", F.sum("n").over(own.orderBy("unit")).alias("upto"), F.sum("n").over(own).alias("whole"))
+    ends = [F.min(F.when(1000 * F.col("upto") >= level * F.col("whole"), F.col("unit"))).alias(f"c{level}") for level in LEVELS]
+    return {(r["stratum"], r["rate"]): sorted({r[f"c{level}"] for level in LEVELS}, reverse=True) for r in told.groupBy("stratum", "rate").agg(*ends).collect()}
+
+
+def choose_cutoffs(rated: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, key: str = "doc_id") -> dict[tuple[int, str], int]:
+    """{(stratum, rate): cutoff}; the driver sees one row of counts for each stratum and rate."""
+    grid = cutoff_grid(rated)
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("_id"))
-    held = rated.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("_id"))
-    falls = [F.sum((F.col(rate) > cut).cast("bigint")).alias(f"{rate}_{i}") for rate, cuts in GRID.items() for i, cut in enumerate(cuts)]
-    tests = len(BANDS) * len(GRID)
-    chosen = {}
-    for r in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *falls).collect():
-        for rate, cuts in GRID.items():
-            for i in reversed(range(len(cuts))):
-                if binomial_tail(r[f"{rate}_{i}"], r["n"], risk / len(GRID)) > delta / tests:
+    held = materialise(rated.where(~F.col("base_failed")).select(F.col(key).alias("_d"), "stratum", *RATES).join(good, F.col("_d") == F.col("_id")).select("stratum", *RATES), "held")
+    least = delta / (len(BANDS) * len(RATES))
+    chosen: dict[tuple[int, str], int] = {}
+    for rate in RATES:
+        falls = {(k, cut): rejected(chosen) | ((F.col("stratum") == k) & (F.col(rate) > cut)) for k in range(len(BANDS)) for cut in grid.get((k, rate), ())}
+        if not falls:
+            continue
+        for r in held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(rule).alias(f"{k}_{cut}") for (k, cut), rule in falls.items())).collect():
+            for cut in grid.get((r["stratum"], rate), ()):
+                if binomial_tail(r[f"{r['stratum']}_{cut}"], r["n"], risk) > least:
                     break
-                chosen[(r["stratum"], rate)] = cuts[i]
+                chosen[(r["stratum"], rate)] = cut
     return chosen
 
 
-def verdict(cutoffs: dict[tuple[int, str], float]) -> Column:
-    rejected = F.lit(False)
+def rejected(cutoffs: dict[tuple[int, str], int]) -> Column:
+    out = F.lit(False)
     for (stratum, rate), cut in sorted(cutoffs.items()):
-        rejected = rejected | ((F.col("stratum") == stratum) & (F.col(rate) > cut))
-    return ~F.col("base_failed") & ~rejected
+        out = out | ((F.col("stratum") == stratum) & (F.col(rate) > cut))
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Measures, rates, ``base_failed`` and ``kept`` for every row of ``docs(doc_id, text)``."""
     rated = materialise(with_rates(base_measures(docs)), "quality")
-    return rated.withColumn("kept", verdict(choose_cutoffs(rated, labels, risk, delta)))
+    return rated.withColumn("kept", ~F.col("base_failed") & ~rejected(choose_cutoffs(rated, labels, risk, delta)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of documents that are kept, every column as it was; the verdict is reached in the row."""
-    cutoffs = choose_cutoffs(materialise(with_rates(base_measures(docs)), "quality"), labels, risk, delta)
+    """The rows of documents that are kept, every column as it was; each text is measured once and stored with its measures."""
     whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"].alias("text"))
-    told = with_rates(base_measures(whole, "row"))
-    # a generator of one row keeps the optimiser from moving the filter, and copies of the measures, to the scan
-    one = told.select("row", F.explode(F.array(F.struct("stratum", "base_failed", *GRID))).alias("told"))
-    return one.select("row", "told.*").where(verdict(cutoffs)).select("row.*")
+    rated = materialise(with_rates(base_measures(whole, "row")).select("row", "stratum", "base_failed", *RATES), "quality")
+    cutoffs = choose_cutoffs(rated, labels, risk, delta, "row.doc_id")
+    return rated.where(~F.col("base_failed") & ~rejected(cutoffs)).select("row.*")

@@ -1,14 +1,18 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
 Lines (parted by \\n) are compared by their sets of ``SHINGLE``-character shingles.  Equal lines are
-one from the start.  Each different line gets ``BANDS * ROWS`` minima of its shingle hashes; lines
-that agree in all rows of a band share a cell, and each member of a cell is paired with the cell's
-smallest line and with the ``NEIGHBOURS`` before it (all pairs of a small cell, linearly many of a
-large one).  Pairs are verified by the exact Jaccard similarity of the whole sets, those that a
-component already joins excepted; verified links are united by distributed union-find, and of each
-component the line that comes first (by doc_id and line number) is kept.
+one from the start.  Each different line gets ``BANDS * ROWS`` minima of its shingle hashes, and a
+vector of 64 * ``WORDS`` bits with a bit set for each shingle.  Lines that agree in all rows of a band share a cell.
 
-At similarity ``SIMILARITY`` two lines meet in a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
+Pairs of a cell are found in two passes.  First each line is paired with its cell's smallest; verified
+links make components.  Then every pair of a cell across components is formed, large cells dealt into
+pairs of parts.  In both passes only those pairs go on whose bit vectors allow the similarity: as many
+bits as differ, so many shingles differ at least, which rules a pair out for certain or not at all.  The
+rest is verified by the exact Jaccard similarity of the whole sets.  Links are united by distributed
+union-find, and of each component the line that comes first (by doc_id and line number) is kept.
+
+At similarity ``SIMILARITY`` two lines meet in a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997,
+and every pair that meets is compared unless its lines are already of one component.
 
 Cases: a null or empty text has one empty line; lines without a visible character are kept and not
 compared; a line shorter than a shingle is its own single shingle; repeated rows of one doc_id and
@@ -18,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,12 +33,12 @@ from tidemark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
-#: Members before a line in its cell that it is paired with, beside the cell's smallest.
-NEIGHBOURS = 6
+#: 64-bit words of a line's bit vector.
+WORDS = 16
 #: Lines of a cell before it is dealt into parts.
 CELL = 1024
-#: Ids (8 bytes each) that are sent to every executor; more are joined by a shuffle of the lines.
-BROADCAST_IDS = 2_000_000
+#: Ids (some 40 bytes each there) that are sent to every executor; more are joined by a shuffle of the lines.
+BROADCAST_IDS = 500_000
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -60,39 +66,59 @@ def shingle_set(code: Column) -> Column:
 
 
 def masks(n: int) -> list[int]:
-    """Signed 64-bit masks from SplitMix64; the least of ``hash XOR mask`` is a min-wise choice."""
+    """Signed 32-bit masks from SplitMix64; the least of ``hash XOR mask`` is a min-wise choice."""
     out, x = [], 0
     for _ in range(n):
         x = (x + 0x9E3779B97F4A7C15) % (1 << 64)
         z = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % (1 << 64)
         z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) % (1 << 64)
-        z ^= z >> 31
-        out.append(z - (1 << 64) if z >> 63 else z)
+        z = (z ^ (z >> 31)) >> 32
+        out.append(z - (1 << 32) if z >> 31 else z)
     return out
 
 
-def cells(found: DataFrame) -> DataFrame:
-    """(id, cell): a row for each band of each different line."""
+BIT_WORDS = [f"w{k}" for k in range(WORDS)]
+
+
+def signatures(found: DataFrame) -> DataFrame:
+    """(id, top, w0..., cells) of each different line: the most shingles it can have, its bits, and a hash for each band."""
     # the wide form is made below the generator, once for each line
     coded = found.where("id IS NOT NULL").select("id", wide(F.col("line")).alias("code"), places(F.char_length("line")).alias("at"))
-    hashed = coded.select("id", "code", F.explode("at").alias("i")).select("id", shingle_hash(F.col("code"), F.col("i")).alias("h"))
-    minima = hashed.groupBy("id").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(BANDS * ROWS))))
+    coded = coded.select("id", "code", F.size("at").alias("top"), F.explode("at").alias("i"))
+    hashed = coded.select("id", "top", shingle_hash(F.col("code"), F.col("i")).alias("h"))
+    hashed = hashed.select("id", "top", F.shiftright("h", 32).cast("int").alias("g"), F.expr("shiftleft(1L, int(h & 63))").alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("word"))
+    minima = [F.min(F.col("g").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(masks(BANDS * ROWS))]
+    bits = [F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(w) for k, w in enumerate(BIT_WORDS)]
+    told = hashed.groupBy("id").agg(F.max("top").alias("top"), *bits, *minima)
     bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    return minima.select("id", F.explode(bands).alias("cell"))
+    return told.select("id", "top", *BIT_WORDS, bands.alias("cells"))
+
+
+def possible(x: str, y: str) -> Column:
+    """Whether the bits of two lines, whose columns end in ``x`` and ``y``, leave them the similarity.
 
+    |A - B| + |B - A| <= (1 - s) / (1 + s) * (|A| + |B|) follows from a similarity of s.
+    """
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(w + x).bitwiseXOR(F.col(w + y))) for w in BIT_WORDS))
+    return differ * (1 + SIMILARITY) <= (1 - SIMILARITY) * (F.col("top" + x) + F.col("top" + y)) + 1e-6
 
-def across(crowd: DataFrame, part: DataFrame, found: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: lines of one cell of ``crowd(cell, id, m)`` in different components whose sizes allow the similarity."""
-    labelled = crowd.join(part, F.col("id") == F.col("node"), "left").select("cell", "id", "m", F.coalesce("component", "id").alias("c"))
+
+def told_as(table: DataFrame, end: str) -> DataFrame:
+    return table.select(*(F.col(c).alias(c + end) for c in table.columns))
+
+
+def possible_pairs(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bit vectors leave."""
+    both = pairs.join(told_as(bits, "_x"), F.col("a") == F.col("id_x")).join(told_as(bits, "_y"), F.col("b") == F.col("id_y"))
+    return both.where(possible("_x", "_y")).select("a", "b")
+
+
+def across(met: DataFrame, part: DataFrame, bits: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: lines of one cell of ``met(cell, id, m)`` in different components, as far as the bits leave them."""
+    labelled = met.join(part, F.col("id") == F.col("node"), "left").select("cell", "id", "m", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy(F.col("cell").alias("_cell")).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("_cell")
-    labelled = materialise(labelled.join(mixed, F.col("cell") == F.col("_cell"), "left_semi"), "line-mixed")
-    ids = materialise(labelled.select(F.col("id").alias("_id")).distinct(), "line-mixed-ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    # a generator of one row: the wide form is made once for each line
-    coded = own.select("id", F.explode(F.array(wide(F.col("line")))).alias("code"))
-    sizes = materialise(coded.select(F.col("id").alias("_id"), F.size(shingle_set(F.col("code"))).alias("n")), "line-sizes")
-    dealt = labelled.join(sizes, F.col("id") == F.col("_id")).withColumn("parts", F.ceil(F.col("m") / CELL)).withColumn("mine", F.pmod(F.xxhash64("id"), "parts"))
+    labelled = labelled.join(mixed, F.col("cell") == F.col("_cell"), "left_semi").join(bits, "id")
+    dealt = labelled.withColumn("parts", F.ceil(F.col("m") / CELL)).withColumn("mine", F.pmod(F.xxhash64("id"), "parts"))
     unit = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
         lambda k: F.struct(
@@ -100,16 +126,19 @@ def across(crowd: DataFrame, part: DataFrame, found: DataFrame) -> DataFrame:
             F.when(k == F.col("mine"), F.lit(2)).when(F.col("mine") < k, F.lit(0)).otherwise(F.lit(1)).alias("side"),
         ),
     )
-    dealt = dealt.select("cell", "id", "c", "n", F.explode(unit).alias("u")).select("cell", "u.unit", "u.side", "id", "c", "n")
-    one, two = (dealt.where(F.col("side") != other).select("cell", "unit", *(F.col(c).alias(c + end) for c in ("side", "id", "c", "n"))) for other, end in ((1, "x"), (0, "y")))
-    met = one.join(two, ["cell", "unit"]).where("cx <> cy AND (sidex = 0 OR idx < idy)").where((F.least("nx", "ny") >= SIMILARITY * F.greatest("nx", "ny")))
-    return met.select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
+    own = ["id", "c", "top", *BIT_WORDS]
+    dealt = materialise(dealt.select("cell", *own, F.explode(unit).alias("u")).select("cell", "u.unit", "u.side", *own), "line-mixed")
+    one, two = (dealt.where(F.col("side") != other).select("cell", "unit", *(F.col(c).alias(c + end) for c in ("side", *own))) for other, end in ((1, "_x"), (0, "_y")))
+    met = one.join(two, ["cell", "unit"]).where("c_x <> c_y AND (side_x = 0 OR id_x < id_y)").where(possible("_x", "_y"))
+    return met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line")).select("id", wide(F.col("line")).alias("code")), "line-codes")
+    texts = found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    texts = materialise(texts.select("id", wide(F.col("line")).alias("code")), "line-codes")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("code").alias("y")), "b")
     # a generator of one row: the sets are made once, not again for each use below
     told = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))).alias("s"))
@@ -121,26 +150,18 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, component, kept) for every line; ``component`` is null for lines not compared."""
     found = lines(docs.select("doc_id", "text"))
     spots = materialise(found.select("doc_id", "line_no", "id"), "lines")
-    w = Window.partitionBy("cell").orderBy("id")
-    met = cells(found).select("cell", "id", F.count(F.lit(1)).over(Window.partitionBy("cell")).alias("m"), F.min("id").over(w).alias("first"), *(F.lag("id", k).over(w).alias(f"before{k}") for k in range(1, NEIGHBOURS + 1)))
-    def paired(others: list[str]) -> DataFrame:
-        return met.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array(*others))).alias("a")).where("a IS NOT NULL AND a <> b").select("a", "b").distinct()
-
-    # most lines of a cell are united by two pairs each; of the other pairs only those across components are left to verify
-    met = materialise(met.where("m > 1").withColumn("cell", F.when(F.col("m") > NEIGHBOURS + 2, F.col("cell"))), "line-cells")
-    near = materialise(paired(["first", "before1"]), "line-pairs")
-    links = materialise(verified(near, found), "line-links")
-    part = components(links)
-    ends = [part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-    rest = paired([f"before{k}" for k in range(2, NEIGHBOURS + 1)]).join(near, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-    rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "line-rest")
-    links = materialise(links.unionByName(verified(rest, found)), "line-links")
+    signed = materialise(signatures(found), "line-signatures")
+    bits = signed.drop("cells")
+    own = Window.partitionBy("cell")
+    met = signed.select("id", F.explode("cells").alias("cell")).select("cell", "id", F.count(F.lit(1)).over(own).alias("m"), F.min("id").over(own).alias("first"))
+    met = materialise(met.where("m > 1"), "line-cells")
+    pairs = possible_pairs(met.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), bits)
+    pairs = materialise(pairs, "line-pairs")
+    links = materialise(verified(pairs, found), "line-links")
     united = components(links)
-    # the pairs of larger cells that the neighbours leave out
-    more = across(met.where("cell IS NOT NULL").select("cell", "id", "m"), united, found)
-    more = materialise(more.join(near, ["a", "b"], "left_anti").join(rest, ["a", "b"], "left_anti"), "line-more")
-    if not more.isEmpty():
-        united = components(links.unionByName(verified(more, found)))
+    rest = materialise(across(met, united, bits).join(pairs, ["a", "b"], "left_anti"), "line-rest")
+    if not rest.isEmpty():
+        united = components(links.unionByName(materialise(verified(rest, found), "line-links")))
     placed = spots.join(united, F.col("id") == F.col("node"), "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("component"))
     first = placed.where("component IS NOT NULL").groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     kept = F.col("component").isNull() | ((F.col("first.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("first.line_no") == F.col("line_no")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: UTF-8 bytes that are worked on at once; one longer text is taken whole.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Odd multipliers (SplitMix64's and its successors by squaring).
 MIX1, MIX2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 SPACE = 0x20

@@ -1,14 +1,16 @@
 """Language identification by bit-sliced Bloom filters of character n-grams.
 
 Every language has a Bloom filter of its most frequent letter n-grams.  The filters are stored bit by
-bit: a slot holds one bit for each language, so ``HASHES`` look-ups and a bitwise AND give the mask of
-all languages that contain an n-gram.  A text's n-grams are counted for each language; a count is
+bit: a slot holds one bit for each language (a 64-bit word for each 64 of them), so ``HASHES`` look-ups
+and a bitwise AND give the mask of all languages that contain an n-gram.  A text's n-grams are counted for each language; a count is
 corrected for the filter's false positives (known from its fill), and the largest decides.  The score
 is its share of the two largest.
 
 Fit: at most ``PER_LANGUAGE`` documents of each language (those with the smallest hash of doc_id and
 seed), whole texts, and the ``CAPACITY`` most frequent n-grams of each.  Scoring reads the text alone.
 
+The table has 2 ** SLOT_BITS slots, 16 MB for each 64 languages; every lang value that occurs is learned.
+
 Cases: a null text or one without letter is ``und`` with score 0; a text with letters but without a
 known n-gram gets the most frequent learned language with score 0; ties go to the more frequent
 language; without training rows all is ``und``; an empty table gives an empty result; repeated rows
@@ -32,7 +34,8 @@ GRAM = 4
 PER_LANGUAGE = 1200
 CAPACITY = 10_000
 SLOT_BITS, HASHES = 21, 2
-MAX_LANGUAGES = 64
+#: Languages of a word.
+WORD = 64
 #: Characters that are worked on at once.
 CHUNK = 1 << 20
 FACTOR = powers(GRAM + 1, 0xBF58476D1CE4E5B9)[1:]
@@ -86,13 +89,14 @@ class Filters:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         found, doc, has = grams(texts)
-        mask = np.full(len(found), ~np.uint64(0))
+        masks = [np.full(len(found), ~np.uint64(0)) for _ in self.table]
         for at in slots(found):
-            mask &= self.table[at]
+            for mask, words in zip(masks, self.table, strict=True):
+                mask &= words[at]
         total = np.bincount(doc, minlength=len(texts)).astype(float)
         counts = np.zeros((len(texts), len(self.languages)))
         for k in range(len(self.languages)):
-            hits = np.bincount(doc, weights=((mask >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(texts))
+            hits = np.bincount(doc, weights=((masks[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).astype(float), minlength=len(texts))
             counts[:, k] = np.maximum(0.0, (hits - total * self.false_rate[k]) / (1 - self.false_rate[k]))
         if not self.languages:
             return ["und"] * len(texts), np.zeros(len(texts))
@@ -109,9 +113,14 @@ def held_out() -> F.Column:
 def fit(labelled: DataFrame, seed: int = 11) -> Filters:
     """Filters from ``labelled(doc_id, text, lang)``; rows with a null take no part."""
     rows = labelled.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    picked = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("draw")).withColumn("row", F.row_number().over(order)).where(F.col("row") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    drawn = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("draw"))
+    # the hashes are even: twice the share that is wanted holds the smallest ones, so that no language's rows all meet in the window
+    shares = [(lang, min((1 << 63) - 1, -(1 << 63) + (2 * PER_LANGUAGE << 64) // n)) for lang, n in sizes.items()]
+    upto = labelled.sparkSession.createDataFrame(shares, "_l string, upto bigint")
+    drawn = drawn.join(F.broadcast(upto), F.col("lang") == F.col("_l")).where("draw <= upto")
+    picked = drawn.withColumn("row", F.row_number().over(order)).where(F.col("row") <= PER_LANGUAGE).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     sample = rows.join(F.broadcast(picked), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +135,11 @@ def fit(labelled: DataFrame, seed: int = 11) -> Filters:
     top = counted.withColumn("row", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where((F.col("row") <= CAPACITY) & (F.col("n") > 1))
     learned = top.select("lang", "gram").toPandas()
     languages = sorted(sizes)
-    table = np.zeros(1 << SLOT_BITS, np.uint64)
+    table = np.zeros((-(-len(languages) // WORD), 1 << SLOT_BITS), np.uint64)
     for k, lang in enumerate(languages):
         for at in slots(learned.gram[learned.lang == lang].to_numpy(np.int64).view(np.uint64)):
-            table[at] |= np.uint64(1 << k)
-    fill = np.array([float(((table >> np.uint64(k)) & np.uint64(1)).mean()) for k in range(len(languages))])
+            table[k // WORD, at] |= np.uint64(1 << k % WORD)
+    fill = np.array([float(((table[k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean()) for k in range(len(languages))])
     rows_of = np.array([float(sizes[x]) for x in languages])
     return Filters(languages, table, fill**HASHES, rows_of / max(rows_of.sum(initial=0.0), 1.0))
 

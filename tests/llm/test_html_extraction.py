@@ -61,3 +61,39 @@ def test_boilerplate_of_every_kind(spark, model):
     got = html_extraction.extract(spark.createDataFrame([(1, "u", page, "x", 1), (2, None, None, "y", 2), (3, "u", "", "z", 3), (3, "u", "", "z", 3)], schema), model).collect()
     assert sorted((r["page_id"], r["text"]) for r in got) == [(1, "Title\nFirst <real> text.\nSecond."), (2, ""), (3, ""), (3, "")]
     assert html_extraction.extract(spark.createDataFrame([], schema), model).count() == 0
+
+
+def texts(page):
+    return [b.text for b in dom_blocks.blocks(page)]
+
+
+def test_nothing_inside_the_article_is_dropped():
+    page = "<article><p>One.</p><svg/><p>Two <math><mi>x</mi></math> <object data=a>three</object></p><noscript>Four</noscript><svg><text>five</text></svg><p>Six</article>"
+    assert " ".join(texts(page)) == "One. Two x three Four five Six"
+    assert texts("<p>a<script>b<p></script>c<style>d</style><textarea>e</textarea><iframe>f</iframe>") == ["ac"]
+
+
+def test_sample_marks_are_no_ancestors():
+    page = '<body><div data-label="1"><article><p>in</p></article></div><div><p>out</p></div></body>'
+    one, two = dom_blocks.blocks(page)
+    assert [e for e, _ in one.path] == ["body", "article", "p"] and one.label == "1"
+    assert [e for e, _ in two.path] == ["body", "div", "p"] and two.label == ""
+
+
+ODD_PAGES = [
+    # no article element, content in bare paragraphs between menus
+    ("<body><ul class=nav><li><a href=/>Home</a><li><a href=/a>News</a></ul><h1>A title here</h1><p>The first paragraph of the text tells something at some length, as such do.</p><p>And the second one goes on with more of it, again at some length.</p><div class=footer>&copy; 2020 The site</div></body>",
+     "A title here\nThe first paragraph of the text tells something at some length, as such do.\nAnd the second one goes on with more of it, again at some length."),
+    # nested asides and an advert in the middle
+    ("<body><header><div>Site</div></header><main><article><h1>On rivers</h1><p>Rivers carry water to the sea, and they have done so for a very long time indeed.</p><aside class=related><h3>Related</h3><ul><li><a href=/x>Other rivers of the world</a></ul></aside><div class=advert><p>Buy boots now</p></div><p>They also carry sand and stones, which settle where the water slows down.</p></article></main><footer>Imprint</footer></body>",
+     "On rivers\nRivers carry water to the sea, and they have done so for a very long time indeed.\nThey also carry sand and stones, which settle where the water slows down."),
+    # reader comments inside the article's section
+    ("<body><section><h1>On hills</h1><p>Hills are lower than mountains, although nobody has said by how much they must be.</p></section><section class=comments><h2>Comments</h2><div class=comment><p>I like hills a lot, thank you for this text about them.</p></div></section></body>",
+     "On hills\nHills are lower than mountains, although nobody has said by how much they must be."),
+]
+
+
+def test_odd_pages(spark):
+    rows = [(i, f"u{i}", page) for i, (page, _) in enumerate(ODD_PAGES)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(ODD_PAGES))] == [want for _, want in ODD_PAGES]

@@ -11,11 +11,11 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]
 ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 #: Elements whose text is never shown, those that end a block, and those without content.
-RAW = frozenset(("script", "style", "noscript", "template", "iframe", "svg", "title", "textarea", "object", "math"))
+RAW = frozenset(("script", "style", "template", "iframe", "title", "textarea"))
 BLOCK = frozenset(
     ("html", "head", "body", "article", "aside", "section", "nav", "header", "footer", "main", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table",
      "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "form", "fieldset", "legend", "label", "button", "select", "option", "blockquote", "pre", "figure", "figcaption", "address",
-     "details", "summary", "hr", "dialog", "menu", "center", "input", "meta", "link", "base")
+     "details", "summary", "hr", "dialog", "menu", "center", "noscript", "input", "meta", "link", "base")
 )
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 #: Elements that a start tag of the same group closes, up to the boundary elements.
@@ -47,7 +47,7 @@ def tokens(attributes: str) -> tuple[tuple[str, ...], str]:
 def blocks(page: str) -> list[Block]:
     """The page's non-empty leaf blocks in order; white space runs are one blank."""
     stack: list[tuple[str, tuple[str, ...]]] = []
-    labels: list[str] = []
+    labels: list[str] = []  # of each element of the stack; one with a label is a mark of a sample page and no ancestor
     out: list[Block] = []
     parts: list[str] = []
     linked = links = 0
@@ -57,7 +57,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(stack), min(linked, len(text)), next((x for x in reversed(labels) if x), "")))
+                out.append(Block(text, tuple(e for e, mark in zip(stack, labels, strict=True) if not mark), min(linked, len(text)), next((x for x in reversed(labels) if x), "")))
             parts.clear()
         linked = 0
 
@@ -152,6 +152,8 @@ def sample_page(rng: random.Random) -> str:
         return pick((lambda: wrap("div", words(3, 18), "ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot"), lambda: wrap("aside", f"<p>{words(4, 15)}</p>", "ad", "sponsored", "promo"), lambda: wrap("div", f"<p>{words(3, 15)} {link()}</p>", "ad", "advert", "banner-ad", "promotion")))()
 
     def notice() -> str:
+        if rng.random() < 0.12:
+            return f"<noscript>{words(4, 20)}</noscript>"
         return wrap("div", f"<p>{words(6, 30)}</p>" + pick(("", f"<button>{words(1, 2)}</button>", link(1, 2))), "cookie", "cookie-notice", "consent", "notice", "alert", "gdpr", "popup", "disclaimer", "subscribe-notice", "banner", "modal", "message")
 
     def form() -> str:
@@ -210,5 +212,5 @@ def sample_page(rng: random.Random) -> str:
     rng.shuffle(before)
     if rng.random() < 0.3:
         before.append(sidebar())
-    # the labelling wrappers are taken out again where they would be a clue: they carry no name
+    # the reader leaves the marks out of every block's ancestors, so that they are no clue
     return f"<html><head><title>{words(2, 8)}</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>"

@@ -24,6 +24,38 @@ def test_masks_hold_every_learned_gram(corpus):
     assert (filters.false_rate < 0.01).all()
 
 
+def test_masks_against_exact_sets(spark, corpus):
+    """Every learned n-gram has its language's bit, others rarely; the corrected counts decide as exact counts do."""
+    train = corpus.where(~language_id.held_out())
+    filters = language_id.fit(train)
+    rows = [tuple(r) for r in train.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").collect()]
+    learned = {}
+    for lang in filters.languages:
+        seen, n = np.unique(language_id.grams([t for t, x in rows if x == lang])[0], return_counts=True)
+        order = np.lexsort((seen.view(np.int64), -n))
+        order = order[n[order] > 1][: language_id.CAPACITY]
+        learned[lang] = set(seen[order].tolist())
+        for at in language_id.slots(seen[order]):
+            k = filters.languages.index(lang)
+            assert ((filters.table[k // 64, at] >> np.uint64(k % 64)) & np.uint64(1)).all()
+    texts = [r["text"] for r in corpus.where(language_id.held_out() & (F.length("text") > 60)).select("text").limit(150).collect()]
+    names, _ = filters.score(texts)
+    for text, name in zip(texts, names, strict=True):
+        found = language_id.grams([text])[0].tolist()
+        exact = {lang: sum(g in own for g in found) for lang, own in learned.items()}
+        assert exact[name] >= max(exact.values()) - 0.02 * len(found)
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = [chr(0x4E00 + k) for k in range(600)]
+    rows = [(100 * k + i, " ".join("".join(letters[8 * k + (i + j + d) % 8] for d in range(5)) for j in range(6)), f"l{k:02d}") for k in range(70) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.fit(docs)
+    assert len(filters.languages) == 70 and filters.table.shape[0] == 2
+    names, scores = filters.score([t for _, t, _ in rows])
+    assert names == [x for *_, x in rows] and min(scores) > 0.9
+
+
 def test_language_of_held_out_documents(spark, corpus, docs, empty):
     filters = language_id.fit(corpus.where(~language_id.held_out()))
     scored = language_id.identify(corpus, filters).join(corpus.select("doc_id", "lang", "text"), "doc_id").where(language_id.held_out() & (F.length("text") > 20))
@@ -52,8 +84,26 @@ def test_toxicity_on_held_out_documents(spark, corpus, docs, empty):
 
 
 def test_swaps():
-    assert toxicity.swapped("the Women, and men") == "the men, and muslims"
-    assert toxicity.swapped("nothing here") is None
+    assert toxicity.swapped("the\tWomen,\nand men-folk", 0) == "the\tmen,\nand muslims-folk"
+    assert toxicity.swapped("nothing here", 3) is None
+    assert len({toxicity.swapped("two women", k) for k in range(11)}) == 11
+    one, other = toxicity.counterfactual("First words here. Second ones!\nThird", 1)
+    assert one == "Second ones!" and [w for w in other.split() if w not in one.split()] == ["men"]
+    assert toxicity.counterfactual("", 5)[0] == ""
+
+
+def test_mentions_move_no_score(spark, corpus):
+    """On the real table: every labelled text of the fit has a pair, and a neutral mention changes no verdict."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    marked = labels.where(~language_id.held_out())
+    model = toxicity.fit(corpus, marked)
+    assert model.pairs == marked.join(corpus.where("text IS NOT NULL"), "doc_id").count() > 200
+    clean = [r["text"] for r in corpus.join(labels.where("toxic = 0").where(language_id.held_out()), "doc_id").select("text").collect()]
+    short = [" ".join(t.split()[:25]).encode() for t in clean if t.strip()]
+    before = model.score(short)
+    for term in ("women", "muslims", "juden", "hombres", "african"):
+        after = model.score([t + f" {term} ".encode() + t[:40] for t in short])
+        assert np.abs(after - before).mean() < 0.05 and ((after >= 0.5) & (before < 0.5)).mean() < 0.02
 
 
 def test_counterfactual_penalty_frees_identity_terms(spark, monkeypatch):

@@ -1,8 +1,10 @@
 """A counterfactual-regularised toxicity classifier.
 
-Logistic regression over words and word beginnings, by their density in the text.  In labelled texts
-that name an identity group, the term is swapped for another of the list; the squared change of the
-score's logit is a penalty of the fit, so that a group's mention alone moves no score.
+Logistic regression over words and word beginnings, by their density in the text.  Each labelled text
+of the fit gives a counterfactual pair: a text that names an identity group, and the same with every term
+swapped for another of its list; or, of a text that names none, one of its sentences and the same sentence
+with a term put in.  The squared change of the score's logit between the two is a penalty of the fit, so
+that a group's mention alone moves no score.
 
 Fit: document frequencies of all labelled rows choose the ``KEPT`` features; the weights are learned
 from at most ``SAMPLE`` labelled rows (those with the smallest hash of doc_id and seed).
@@ -15,6 +17,7 @@ an empty result; repeated rows score alike; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,18 +73,37 @@ def term_features(term: str) -> np.ndarray:
     return np.unique(features([term.encode()])[0])
 
 
-def swapped(text: str) -> str | None:
-    """The text with each identity term replaced by the next of its list; None if it has none."""
-    out = []
+NAMED = re.compile(r"[^\W\d_]+")
+#: Where a sentence ends, and the words of one that are kept.
+SENTENCE, LONGEST = re.compile(r"(?<=[.!?])\s+|\n+"), 30
+
+
+def swapped(text: str, k: int) -> str | None:
+    """The text with each identity term replaced by another of its list, the ``k``-th after it; None if it has none."""
     hit = False
-    for word in text.split(" "):
-        bare = word.lower().strip(".,;:!?\"'()")
+
+    def other(m: re.Match) -> str:
+        nonlocal hit
         for terms in IDENTITY_TERMS:
-            if bare in terms:
-                word, hit = word.lower().replace(bare, terms[(terms.index(bare) + 1) % len(terms)]), True
-                break
-        out.append(word)
-    return " ".join(out) if hit else None
+            if m[0].lower() in terms:
+                hit = True
+                return terms[(terms.index(m[0].lower()) + 1 + k % (len(terms) - 1)) % len(terms)]
+        return m[0]
+
+    out = NAMED.sub(other, text)
+    return out if hit else None
+
+
+def counterfactual(text: str, k: int) -> tuple[str, str]:
+    """(one, other): two texts that should score alike; ``k`` chooses sentence, term and place."""
+    other = swapped(text, k)
+    if other is not None:
+        return text, other
+    sentences = [x.split()[:LONGEST] for x in SENTENCE.split(text) if x.strip()] or [[]]
+    words = sentences[k % len(sentences)]
+    terms = IDENTITY_TERMS[k // 7 % len(IDENTITY_TERMS)]
+    at = k // 3 % (len(words) + 1)
+    return " ".join(words), " ".join([*words[:at], terms[k % len(terms)], *words[at:]])
 
 
 @dataclass
@@ -89,6 +111,8 @@ class Classifier:
     wanted: np.ndarray
     weight: np.ndarray
     bias: float
+    #: Counterfactual pairs that the fit has seen.
+    pairs: int = 0
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         doc, feature, value = weighted(texts, self.wanted)
@@ -97,17 +121,17 @@ class Classifier:
 
 
 def learn(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], wanted: np.ndarray) -> Classifier:
-    """``rows``: (label, features, values, features and values of the swapped text or empty)."""
+    """``rows``: (label, features, values, and features and values of both sides of the counterfactual pair)."""
     if not rows:
         return Classifier(wanted, np.zeros(1 << FEATURE_BITS), -40.0)
     number = np.cumsum(wanted) - 1
     y = np.array([r[0] for r in rows], float)
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     feature, value = number[np.concatenate([r[1] for r in rows])], np.concatenate([r[2] for r in rows])
-    pairs = [i for i, r in enumerate(rows) if len(r[3])]
-    pair = np.concatenate([np.zeros(0, np.int64), *(np.full(len(rows[i][1]) + len(rows[i][3]), k) for k, i in enumerate(pairs))])
-    delta_f = number[np.concatenate([np.zeros(0, np.int64), *(np.concatenate([rows[i][1], rows[i][3]]) for i in pairs)])]
-    delta_v = np.concatenate([np.zeros(0), *(np.concatenate([rows[i][2], -rows[i][4]]) for i in pairs)])
+    sides = [(k, part, sign) for k, r in enumerate(rows) for part, sign in ((3, 1.0), (5, -1.0)) if len(r[part])]
+    pair = np.concatenate([np.zeros(0, np.int64), *(np.full(len(rows[k][part]), k) for k, part, _ in sides)])
+    delta_f = number[np.concatenate([np.zeros(0, np.int64), *(rows[k][part] for k, part, _ in sides)])]
+    delta_v = np.concatenate([np.zeros(0), *(sign * rows[k][part + 1] for k, part, sign in sides)])
     d = int(wanted.sum())
     w, b = np.zeros(d), float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
@@ -116,15 +140,14 @@ def learn(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
         z = b + np.bincount(doc, weights=value * w[feature], minlength=len(rows))
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
         grad = np.append(np.bincount(feature, weights=value * error[doc], minlength=d) + DECAY * w, error.sum())
-        if pairs:
-            change = np.bincount(pair, weights=delta_v * w[delta_f], minlength=len(pairs))
-            grad[:-1] += 2 * PENALTY / len(pairs) * np.bincount(delta_f, weights=delta_v * change[pair], minlength=d)
+        change = np.bincount(pair, weights=delta_v * w[delta_f], minlength=len(rows))
+        grad[:-1] += 2 * PENALTY / len(rows) * np.bincount(delta_f, weights=delta_v * change[pair], minlength=d)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     full = np.zeros(1 << FEATURE_BITS)
     full[wanted] = w
-    return Classifier(wanted, full, float(b))
+    return Classifier(wanted, full, float(b), len(rows))
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
@@ -162,18 +185,18 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5) -> Classifier:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches):
-            other = [swapped(t.decode("utf-8", "replace")) for t in texts]
+            both = [counterfactual(t.decode("utf-8", "replace"), k) for t, k in zip(texts, batch.column("k").to_pylist(), strict=True)]
             columns = [batch.column("toxic").cast(pa.int64())]
-            for some in (texts, [(t or "").encode() for t in other]):
+            for some in (texts, [one.encode() for one, _ in both], [other.encode() for _, other in both]):
                 doc, feature, value = weighted(some, wanted)
                 ends = np.searchsorted(doc, np.arange(len(some) + 1)).astype(np.int32)
                 columns += [pa.ListArray.from_arrays(ends, pa.array(feature)), pa.ListArray.from_arrays(ends, pa.array(value))]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "f", "v", "sf", "sv"])
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "f", "v", "of", "ov", "sf", "sv"])
 
     picked = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("_id"))
-    sample = labelled.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    rows = sample.mapInArrow(describe, "toxic bigint, f array<bigint>, v array<double>, sf array<bigint>, sv array<double>").toPandas()
-    pack = [(int(t), np.asarray(f, np.int64), np.asarray(v), np.asarray(sf, np.int64), np.asarray(sv)) for t, f, v, sf, sv in rows.itertuples(index=False)]
+    sample = labelled.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "toxic", F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)).alias("k"))
+    rows = sample.mapInArrow(describe, "toxic bigint, f array<bigint>, v array<double>, of array<bigint>, ov array<double>, sf array<bigint>, sv array<double>").toPandas()
+    pack = [(int(r[0]), *(np.asarray(x, np.int64 if k % 2 == 0 else float) for k, x in enumerate(r[1:]))) for r in rows.itertuples(index=False)]
     return learn(sorted(pack, key=lambda r: (r[0], len(r[1]), r[1].tolist(), r[2].tolist())), wanted)
 
 

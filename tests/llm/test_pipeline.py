@@ -2,6 +2,7 @@ from collections import defaultdict
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality
 
@@ -57,3 +58,23 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in final:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_stages_on_odd_rows(spark, docs, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and an empty table, each stage after the other."""
+    sf = "/root/testdata/sf0.001"
+    odd = docs.where("doc_id > 9000").unionByName(spark.range(2).select(*(F.lit(None).cast(kind).alias(c) for c, kind in docs.dtypes)))
+    kept = {"quality_rules": [], "near_duplicates": [9001, 9002, 9003, 9004, 9006, 9007, None, None], "decontaminate": odd.select("doc_id").rdd.map(lambda r: r[0]).collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        for some, n in ((odd, "odd"), (empty, "empty")):
+            out = stage(spark, some, sf)
+            out.write.parquet(str(tmp_path / f"{name}-{n}"))
+            out = spark.read.parquet(str(tmp_path / f"{name}-{n}"))
+            if n == "empty":
+                assert out.count() == 0
+            if name != "shard":
+                assert out.columns == docs.columns
+            if n == "odd" and name in kept:
+                assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(kept[name], key=str)
+            if n == "odd" and name == "shard":
+                assert out.count() == odd.count() and out.where("shard IS NULL OR slot IS NULL").count() == 0

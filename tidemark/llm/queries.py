@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import read
 
@@ -60,6 +59,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the repository's top; it uses this package's operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -72,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
     }
 
 

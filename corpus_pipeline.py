@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a
 DataFrame, which is written as Parquet and read again as the next stage's input.
+
+Cases, alike for all stages: every row is a document, whatever its doc_id (null ids and repeated ids
+too); a null text counts as empty; other columns, with whatever names, come back as they were, except
+from the last stage; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,27 +18,30 @@ from tidemark.llm.base import materialise, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a risk-controlled threshold rejects go."""
+    """Documents that the base rule or a risk-controlled threshold rejects go; null and empty texts fail the base rule."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by their sets of five-word shingles (similarity 0.8), that with the smallest doc_id stays."""
+    """Of each group of documents linked by their sets of five-word shingles (similarity 0.8), that with the smallest doc_id stays.
+
+    Documents without a word are linked with nothing and stay; of a row that stands twice one stays.
+    """
     return jaccard_join.one_of_each(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a whole window of a benchmark item go."""
+    """Documents with a whole window of a benchmark item go; those without a word stay."""
     return decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document stands as often as it is taken, or not at all."""
+    """Sources at their target weights: a document stands as often as it is taken, or not at all; a null source is one of its own."""
     return mixing.emit(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row of the mix with its shard and its place there."""
+    """Each row of the mix with its shard and its place there; equal texts share a shard."""
     placed = sharding.shard_documents(docs)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot")
 

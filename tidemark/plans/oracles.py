@@ -194,7 +194,7 @@ SQL: dict[str, str] = {
     "oos_r2_against_zero": f"WITH {FORECASTS} SELECT month(bar) AS month, round(1 - sum((actual - model) ** 2) / nullif(sum(actual ** 2), 0), 6) AS r2, count(*) AS n FROM fc GROUP BY 1",
     "trading_stats": f"WITH {FORECASTS}, t AS (SELECT model, actual / 1e5 AS r FROM fc) SELECT round(avg(CAST(sign(model) = sign(r) AS INT)), 6) AS dir_acc, round(corr(model, r), 6) AS ic, round(avg(sign(model) * r) / (stddev_pop(sign(model) * r) + 1e-12) * sqrt(365), 6) AS sharpe, round(exp(sum(sign(model) * r)) - 1, 6) AS total_return FROM t",
     "top_terms": f"SELECT * FROM ({HAC}) WHERE term <> 'const' ORDER BY abs(t) DESC, term LIMIT 6",
-    "extreme_hours": f"WITH {KLINES}, d AS (SELECT hour(time) AS hour, regr_slope(ret, signed) AS slope FROM minutes WHERE ret IS NOT NULL GROUP BY 1) SELECT arg_max(hour, slope) AS max_hour, arg_min(hour, slope) AS min_hour FROM d",
+    "extreme_hours": f"WITH {KLINES}, d AS (SELECT hour(time) AS hour, CASE WHEN regr_sxx(ret, signed) > 0 THEN regr_slope(ret, signed) END AS slope FROM minutes WHERE ret IS NOT NULL GROUP BY 1) SELECT arg_max(hour, slope) AS max_hour, arg_min(hour, slope) AS min_hour FROM d",
     "last_forecasts": f"WITH {FORECASTS} SELECT CAST(bar AS VARCHAR) AS bar, {R('actual', 'model')} FROM fc ORDER BY bar DESC LIMIT 1344",
     "thinned_curve": f"WITH {FORECASTS}, r AS (SELECT bar, actual, row_number() OVER (ORDER BY bar) - 1 AS k, count(*) OVER () AS c FROM fc) SELECT CAST(bar AS VARCHAR) AS bar, {R('actual')} FROM r WHERE k % greatest(c // 100, 1) = 0",
     "bars_in_range": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, {R('close')}, n_trades FROM panel WHERE bar >= TIMESTAMP '2024-01-10' AND bar < TIMESTAMP '2024-01-12'",

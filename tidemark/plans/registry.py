@@ -84,8 +84,8 @@ def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _liquidity_forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """Walk-forward M0 to M3 for the next hour's volatility, with the abnormal part under M2."""
-    t = bars.har_factors(_hourly(spark, sf), 60)
+    """Walk-forward M0 to M3 for the next four hours' volatility, with the abnormal part under M2."""
+    t = bars.har_factors(bars.factor_panel(roles.minute_klines(spark, sf), 240, 0.05), 240)
     out = models.walk_forward(t, "bar", "target_rv", lambda: models.make_models("rv"), _folds(t), models.columns_used(models.make_models("rv")), 40)
     return models.abnormal(out, "m2")
 

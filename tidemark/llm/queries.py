@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, quality, sharding, suffix_dedup, toxicity
-from tidemark.llm.base import read
+from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, packing, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm.base import materialise, read
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    cut = packing.pieces(read(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
+    return packing.pack(materialise(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the repository's top; it uses this package's operators
 
@@ -77,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
 

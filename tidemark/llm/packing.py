@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shingling import chunks
+from tidemark.llm.shingling import chunks, ragged
 
 SIZE, END = 2048, 0
 #: Tokens and pieces of a group at most, about.
@@ -50,12 +50,6 @@ ODD = np.array([not (0x21 <= b <= 0x7E and b != 0x27 or b == 0xC3) for b in rang
 KIND = np.array([1 if b >= 0x80 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 
 
-def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The indices first[k], first[k] + 1, ... (count[k] of them) of all k, end to end."""
-    ends = np.cumsum(count)
-    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-
-
 class Lists:
     """Growing lists of ids by number."""
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, packing, quality, sharding, suffix_dedup, toxicity
-from tidemark.llm.base import materialise, read
+from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, packing, periodic_runs, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm.base import materialise, read, ws_words
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,35 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(read(spark, sf_dir, "documents"))
 
 
+def unfolded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the texts made periodic from some word on, by the CRC-32 of the doc_id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words).cast("bigint")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        head, part = F.slice(words, 1, a.cast("int")), F.slice(words, (a + 1).cast("int"), p.cast("int"))
+        whole = F.concat(head, F.flatten(F.array_repeat(part, F.ceil((n - a) / p).cast("int"))))
+        return F.when(n > 0, F.array_join(F.slice(whole, 1, F.size(words)), " "))
+
+    # the list of one binds the words, which are split once
+    made = F.transform(F.array(ws_words(F.col("text"))), periodic)[0]
+    return docs.select("doc_id", "text", h.alias("h")).select("doc_id", F.when(F.col("h") % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(unfolded(read(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    told = found.withColumn("best", best).withColumns({"length": F.col("best.length"), "start": -F.col("best.start"), "period": -F.col("best.period")})
+    return told.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -84,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
         "op13_packing": op13_packing,
         "pipeline": pipeline,
     }

@@ -38,6 +38,17 @@ SUFFIX = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM
  k AS (SELECT e.doc_id AS doc_id, CAST(sum(high - low) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) || substr(any_value(h), 2 * max(high) + 1) AS rest FROM e JOIN t ON t.doc_id = e.doc_id GROUP BY 1)
  SELECT t.doc_id AS doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM t JOIN b ON b.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id"""
 
+COLLOCATIONS = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p), n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+ f AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM w, unnest(range(1, 6)) t(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) u(i) GROUP BY ALL HAVING count(*) >= 100),
+ c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+ s AS (SELECT c.lang, c.phrase, a, j, x.f AS l, y.f AS r, n, CAST(1000::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM c, unnest(range(1, c.k)) t(j) JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[j + 1 : c.k], ' ')),
+ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ i AS (SELECT lang, array_to_string(ws[o : o + m - 1], ' ') AS phrase, max(a) AS most FROM c, unnest(range(2, k)) t(m), unnest(range(1, k - m + 2)) u(o) GROUP BY 1, 2),
+ d AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d QUALIFY rank <= 2000"""
+
 
 def _quality() -> str:
     bands = " ".join(f"WHEN n_words >= {low} THEN {k}" for k, low in reversed(list(enumerate(quality.BANDS))))
@@ -65,4 +76,4 @@ def _quality() -> str:
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({gone}) AS kept FROM m"""
 
 
-SQL = {"op5_mixing": MIXING, "op6_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op8_quality": _quality(), "op10_suffix_dedup": SUFFIX}
+SQL = {"op5_mixing": MIXING, "op6_jaccard_join": JACCARD, "op7_decontamination": CONTAMINATION, "op8_quality": _quality(), "op10_suffix_dedup": SUFFIX, "op12_collocations": COLLOCATIONS}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, packing, periodic_runs, quality, sharding, suffix_dedup, toxicity
+from tidemark.llm import collocations, decontamination, html_extraction, jaccard_join, language_id, line_dedup, mixing, oracles, packing, periodic_runs, quality, sharding, suffix_dedup, toxicity
 from tidemark.llm.base import materialise, read, ws_words
 
 
@@ -88,6 +88,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_collocations": op12_collocations,
         "op13_packing": op13_packing,
         "pipeline": pipeline,
     }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.sources.io import demultiplex
+
 
 def sink(df: DataFrame, path: str, checkpoint: str, recv: str = "recv_time", every: str = "20 seconds", once: bool = False) -> StreamingQuery:
     """Append to ``path/host=/date=/hour=`` by receive time; exactly once through the checkpoint."""
@@ -18,6 +20,13 @@ def sink(df: DataFrame, path: str, checkpoint: str, recv: str = "recv_time", eve
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
 
 
+def sink_raw(raw: DataFrame, path: str, checkpoint: str, host: str, every: str = "20 seconds") -> StreamingQuery:
+    """Append a feed's parsed envelopes to ``path/kind=/host=/date=/hour=`` by receive time; ``io.book_rows`` and the like read them."""
+    told = demultiplex(raw).withColumns({"host": F.lit(host), "date": F.to_date("recv_time"), "hour": F.date_format("recv_time", "HH")})
+    out = told.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd")
+    return out.partitionBy("kind", "host", "date", "hour").trigger(processingTime=every).start()
+
+
 def minute_bars(trades: DataFrame, late: str = "2 minutes") -> DataFrame:
     """Streaming minute bars; a bar is final when the watermark has passed it."""
     maker, q = F.col("is_buyer_maker"), F.col("quantity")

@@ -1,8 +1,10 @@
 import random
+import re
 from collections import defaultdict
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, mixing, quality, sharding
 
@@ -29,6 +31,20 @@ def test_shards_are_minimax_and_slots_gapless(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_emitted_rows_are_the_mix(spark):
+    """Null and repeated ids: each row has its own decision, and the words taken are those of the mix."""
+    rows = [(None if k < 500 else k % 400, "w " * (1 + k % 37), "a" if k % 3 else "b", k) for k in range(1300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _row bigint")
+    taken = {r["source"]: (r["t"], r["g"]) for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()}
+    out = mixing.emit(docs)
+    assert out.columns == docs.columns
+    size = F.regexp_count("text", F.lit("w"))
+    got = {r["source"]: r["t"] for r in out.groupBy("source").agg(F.sum(size).alias("t")).collect()}
+    assert got == {s: t for s, (t, _) in taken.items()}
+    assert all(abs(t - goal) <= 1.5 * 37 for t, goal in taken.values())
+    assert set(map(tuple, out.collect())) <= set(rows)
+
+
 @pytest.mark.parametrize("sizes", [[5], [1, 1, 1, 1], [9, 1, 1, 1, 1, 9], list(range(1, 40)), [100, *[1] * 50]])
 @pytest.mark.parametrize("k", [1, 2, 3, 8])
 def test_smallest_capacity(sizes, k):
@@ -88,6 +104,14 @@ def test_contamination(spark, docs, rows, empty, broadcast, monkeypatch):
     assert kept.count() == sum(1 for d, *_ in rows if not found[d][4])
 
 
+def test_no_text_rides_with_its_words(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    found = decontamination.occurrences(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(token", plan)
+    assert dealt and not any(re.search(r"\b(all|text)#", columns) for columns in dealt)
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_contaminated_rows(spark, broadcast, monkeypatch):
     """Null and repeated ids: one result for each row; an item without id counts once and has no place in the list."""

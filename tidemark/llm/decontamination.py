@@ -7,7 +7,7 @@ bounds (the window must begin and end inside the document) leave few candidates,
 compared exactly.
 
 The windows are broadcast while their counted number is at most ``BROADCAST_WINDOWS``; beyond that
-the document words that are some window's rarest are shuffled with the words around them.
+the document words are shuffled, each with its place alone, and the texts once, to meet their candidates.
 
 Cases: every row of the documents is one of the result, whatever its doc_id; rows are told apart by
 doc_id and text (as a 64-bit hash within one doc_id), and equal rows have equal results, as many times
@@ -71,11 +71,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Da
         equal = F.slice("all", F.col("at") - F.col("shift") + 1, F.size("words")) == F.col("words")
         hit = (F.size("words") == 0) | (inside & F.when(inside, equal))
         return placed.join(F.broadcast(keyed.unionByName(none)), "token").where(hit).select(*own, "item_id", start, F.size("words").alias("length"))
-    low = F.greatest(F.col("at") - width + 1, F.lit(0))
-    placed = told.select(*own, "all", F.posexplode("all").alias("at", "token")).join(keyed.select("token").distinct(), "token", "left_semi")
-    near = placed.select(*own, "at", "token", low.alias("low"), F.slice("all", low + 1, F.lit(2 * width)).alias("all"))
-    equal = F.slice("all", F.greatest(F.col("at") - F.col("shift") - F.col("low"), F.lit(0)) + 1, F.size("words")) == F.col("words")
-    found = near.join(keyed, "token").where(inside & F.when(inside, equal)).select(*own, "item_id", start, F.size("words").alias("length"))
+    # words alone are dealt by themselves; a text meets its candidates once, by its own key
+    near = told.select(*own, F.posexplode("all").alias("at", "token")).join(keyed, "token").where(inside).select(*own, "item_id", start, "words").distinct()
+    near = near.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"})
+    once = docs.select("doc_id", text_hash(F.col("text")).alias("hash"), "text").dropDuplicates(["doc_id", "hash"])
+    met = near.join(once, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    found = met.where(F.slice(words(F.col("text")), F.col("start") + 1, F.size("words")) == F.col("words")).select(*own, "item_id", "start", F.size("words").alias("length"))
     return found.unionByName(told.select(*own, F.lit(None).cast("string").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length")))
 
 

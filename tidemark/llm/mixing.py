@@ -56,31 +56,35 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return rated.select("source", "source_size", F.least("most", F.col("weight") * level).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs(doc_id, source, text)``."""
+def mix(docs: DataFrame, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, and what to ``carry``) for every row of ``docs(doc_id, source, text)``."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WS_WORD)).cast("bigint")
-    base = materialise(docs.select("doc_id", "source", size.alias("size")), "mix-base")
+    base = materialise(docs.select("doc_id", "source", size.alias("size"), *carry), "mix-base")
     goals = targets(base.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size")), weights, share, cap)
     celled = base.select(
         "*",
         F.floor(F.sqrt(F.col("size").cast("double"))).alias("bucket"),
         F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2).alias("salt"),
     )
-    numbered = number_rows(celled, ["source"], ["bucket", "salt"], ["size", "doc_id"], "row")
+    numbered = number_rows(celled, ["source"], ["bucket", "salt"], ["size", "doc_id", *carry], "row")
     joined = numbered.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
     offset = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(F.col("row") * F.col("rate") + F.col("rate") + F.col("offset")) - F.floor(F.col("row") * F.col("rate") + F.col("offset"))
     stepped = joined.withColumns({"rate": rate, "offset": offset}).withColumn("rate", F.when(F.col("rate") > float(cap), float(cap)).otherwise(F.col("rate")))
     copies = F.greatest(F.lit(0), F.least(crossed, F.ceil(F.col("rate")))).cast("bigint")
-    return stepped.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return stepped.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 def emit(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed corpus itself: every column of ``docs``, a row once for each copy taken.
 
-    A document's row is found again by doc_id, so rows that repeat a doc_id share its first decision.
+    The rows are written once with a number of their own, so that each has its own decision, whatever its doc_id.
     """
-    copies = mix(docs, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    kept = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return kept.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies["_copies"].cast("int"))).alias("_copy")).select(*(docs[c] for c in docs.columns))
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    copies = mix(numbered, seed, carry=(row,)).where("copies > 0").select(row, F.col("copies").cast("int").alias(f"{row}n"))
+    taken = numbered.join(copies, row)
+    return taken.withColumn(f"{row}k", F.explode(F.sequence(F.lit(1), F.col(f"{row}n")))).select(*docs.columns)

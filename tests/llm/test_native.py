@@ -41,7 +41,7 @@ def test_emitted_rows_are_the_mix(spark):
     size = F.regexp_count("text", F.lit("w"))
     got = {r["source"]: r["t"] for r in out.groupBy("source").agg(F.sum(size).alias("t")).collect()}
     assert got == {s: t for s, (t, _) in taken.items()}
-    assert all(abs(t - goal) <= 1.5 * 37 for t, goal in taken.values())
+    assert all(abs(t - goal) <= 2 * 37 for t, goal in taken.values())
     assert set(map(tuple, out.collect())) <= set(rows)
 
 
@@ -106,8 +106,12 @@ def test_contamination(spark, docs, rows, empty, broadcast, monkeypatch):
 
 def test_no_text_rides_with_its_words(spark, docs, monkeypatch):
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
-    found = decontamination.occurrences(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
-    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontamination.occurrences(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet"))
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning\(token", plan)
     assert dealt and not any(re.search(r"\b(all|text)#", columns) for columns in dealt)
 

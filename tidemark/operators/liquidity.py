@@ -9,14 +9,14 @@ from pyspark.sql.window import Window
 from tidemark.functions.exprs import bucketed_last, log_ratio, order_by, pos_log, rolling, safe_div
 
 
-def prepare_minutes(klines: DataFrame) -> DataFrame:
+def prepare_minutes(klines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Side volumes, and the return in bp where the minute before is there.
 
     Days are worked on in parallel; the last minute of the day before comes from one row for each day.
     A minute whose price, or the price before, is 0 or missing has no return.
     """
     dated = klines.withColumn("date", F.to_date("time"))
-    held = bucketed_last(dated, {"_before": F.struct("time", "close")}, ["time"], "date")
+    held = bucketed_last(dated, {"_before": F.struct("time", "close")}, ["time"], "date", by)
     near = F.col("_before.time") == F.col("time") - F.expr("INTERVAL 1 MINUTE")
     return held.withColumns({
         "buy_volume": F.col("taker_buy_base_volume"),

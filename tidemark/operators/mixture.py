@@ -14,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import order_by, safe_div
+from tidemark.functions.exprs import safe_div
+from tidemark.functions.ranges import numbered
 from tidemark.operators.evaluation import confusion, macro_f1, trading_stats
 
 REGIMES = ("bear", "sideways", "bull")
@@ -91,7 +92,7 @@ def routed(rows: DataFrame, columns: list[str], train_share: float = 0.7, purge:
     The first ``train_share`` of the rows is learned from, without its last ``purge`` ones, whose labels
     look into the rest.  ``baseline`` is one ridge without regimes.
     """
-    told = rows.na.drop(subset=[*columns, "regime", "next_ret"]).withColumn("_row", F.row_number().over(order_by("date")))
+    told = numbered(rows.na.drop(subset=[*columns, "regime", "next_ret"]), ["date"], name="_row").withColumn("_row", F.col("_row") + 1)
     cut = int(told.count() * train_share)
     train = told.where(F.col("_row") <= max(cut - purge, 0))
     own, single = experts(train, columns, "regime", "next_ret", alpha)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.exprs import order_by
+from tidemark.functions.ranges import numbered
 
 
 def describe_bars(minutes: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def describe_bars(minutes: DataFrame) -> DataFrame:
 
 def thinned(df: DataFrame, time: str, points: int = 2000) -> DataFrame:
     """Every k-th row of a curve, so that about ``points`` stay (for a chart)."""
-    told = df.withColumns({"_r": F.row_number().over(order_by(time)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))})
+    told = numbered(df, [time], name="_r").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
     return told.where(F.col("_r") % F.greatest(F.floor(F.col("_n") / points), F.lit(1)) == 0).drop("_r", "_n")
 
 

@@ -125,12 +125,66 @@ def evaluated() -> str:
 HAC = f"""WITH {panel()}, t AS (SELECT bar, ret_bp AS x0, next_ret AS y FROM panel WHERE ret_bp IS NOT NULL AND next_ret IS NOT NULL), z AS (SELECT bar, y, (x0 - avg(x0) OVER ()) / stddev_samp(x0) OVER () AS x FROM t), m AS (SELECT avg(y) AS a, sum(x * y) / sum(x * x) AS b, sum(x * x) AS sxx, count(*) AS n FROM z), u AS (SELECT bar, y - a - b * x AS u0, x * (y - a - b * x) AS u1 FROM z, m),
  l AS (SELECT *, {', '.join(f'lag(u{i}, {k}) OVER (ORDER BY bar) AS l{i}_{k}' for i in (0, 1) for k in range(1, 6))} FROM u), g AS (SELECT {', '.join(f"sum(u{i} * u{i})" + ''.join(f' + 2 * {1 - k / 6!r} * sum(u{i} * l{i}_{k})' for k in range(1, 6)) + f' AS g{i}' for i in (0, 1))} FROM l)
  SELECT 'const' AS term, round(a, 6) AS coef, round(sqrt(g0) / n, 6) AS se, round(a / (sqrt(g0) / n), 6) AS t FROM m, g UNION ALL SELECT 'ret_lag0', round(b, 6), round(sqrt(g1) / sxx, 6), round(b / (sqrt(g1) / sxx), 6) FROM m, g"""
+
+
+def upper_tail(z: str) -> str:
+    """P(Z > z) by the series of the error function."""
+    x = f"({z} / sqrt(2.0))"
+    series = f"list_sum(list_transform(range(0, 90), lambda i: (CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END) * exp((2 * i + 1) * ln(abs({x})) - lgamma(i + 1.0)) / (2 * i + 1)))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN {z} > 6 THEN 0.0 WHEN {z} < -6 THEN 1.0 WHEN {z} = 0 THEN 0.5 ELSE 0.5 - sign({z}) * {series} / sqrt(pi()) END"
+
+
+def hac_table(lags: int = 5) -> str:
+    """Three z-scored factors: the constant stands apart, the rest by the adjugate of a 3 x 3 matrix."""
+    x = ["ret_bp", "imbalance", "activity_dev"]
+    names = ["ret_lag0", "imb_lag0", "log_activity_dev"]
+    pairs = [(i, j) for i in range(1, 4) for j in range(1, 4)]
+    g = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    rest = lambda i: [k for k in (1, 2, 3) if k != i]
+    minor = lambda i, j: "({} * {} - {} * {})".format(*(g(a, b) for a, b in ((rest(i)[0], rest(j)[0]), (rest(i)[1], rest(j)[1]), (rest(i)[0], rest(j)[1]), (rest(i)[1], rest(j)[0]))))
+    det = " + ".join(f"{(-1) ** (1 + j)} * {g(1, j)} * {minor(1, j)}" for j in (1, 2, 3))
+    inverse = ", ".join(f"{(-1) ** (i + j)} * {minor(j, i)} / ({det}) AS v{i}{j}" for i, j in pairs)
+    beta = ", ".join(f"{' + '.join(f'v{i}{j} * y{j}' for j in (1, 2, 3))} AS b{i}" for i in (1, 2, 3))
+    e = "(y - b0 - b1 * z1 - b2 * z2 - b3 * z3)"
+    lag = ", ".join(f"lag(u{i}, {k}) OVER (ORDER BY bar) AS l{i}_{k}" for i in range(4) for k in range(1, lags + 1))
+    meat = lambda i, j: f"sum(u{i} * u{j})" + "".join(f" + {1 - k / (lags + 1)!r} * sum(u{i} * l{j}_{k} + u{j} * l{i}_{k})" for k in range(1, lags + 1))
+    meats = ", ".join(f"{meat(i, j)} AS m{i}{j}" for i in range(4) for j in range(4) if i == j == 0 or i and j)
+    var = lambda i: " + ".join(f"v{i}{a} * m{a}{b} * v{b}{i}" for a in (1, 2, 3) for b in (1, 2, 3))
+    rows = "SELECT 'const' AS term, b0 AS coef, sqrt(m00) / n AS se, r2, n FROM f, h" + "".join(f" UNION ALL SELECT '{name}', b{i}, sqrt({var(i)}), r2, n FROM f, h" for i, name in enumerate(names, 1))
+    return f"""WITH {panel()}, t AS (SELECT bar, next_ret AS y, {', '.join(f'{c} AS x{i}' for i, c in enumerate(x, 1))} FROM panel WHERE next_ret IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in x)}),
+ z AS (SELECT bar, y, {', '.join(f'(x{i} - avg(x{i}) OVER ()) / stddev_samp(x{i}) OVER () AS z{i}' for i in (1, 2, 3))} FROM t),
+ s AS (SELECT count(*) AS n, avg(y) AS b0, var_pop(y) AS vy, {', '.join(f'sum(z{i} * z{j}) AS s{i}{j}' for i, j in pairs if i <= j)}, {', '.join(f'sum(z{i} * y) AS y{i}' for i in (1, 2, 3))} FROM z),
+ v AS (SELECT *, {inverse} FROM s), c AS (SELECT *, {beta} FROM v), f AS (SELECT c.*, (SELECT 1 - sum({e} ** 2) / n / vy FROM z, c d WHERE true GROUP BY n, vy) AS r2 FROM c),
+ u AS (SELECT bar, {e} AS u0, {', '.join(f'z{i} * {e} AS u{i}' for i in (1, 2, 3))} FROM z, c), l AS (SELECT *, {lag} FROM u), h AS (SELECT {meats} FROM l), o AS ({rows})
+ SELECT term, {R('coef', 'se')}, round(coef / se, 6) AS t, round(2 * ({upper_tail('abs(coef / se)')}), 6) AS p_value, {R('r2')}, n FROM o"""
+
+
+def evaluated_returns(cost: float = 1.0, n: int = 15) -> str:
+    lag = ", ".join(f"lag(e, {k}) OVER (PARTITION BY name ORDER BY bar) AS l{k}" for k in range(1, 6))
+    total = "sum(e * e)" + "".join(f" + 2 * {1 - k / 6!r} * coalesce(sum(e * l{k}), 0)" for k in range(1, 6))
+    v = "ex * (1 - ex) / m - (((2 * py - 1) ** 2 * px * (1 - px) + (2 * px - 1) ** 2 * py * (1 - py)) / m + 4 * py * px * (1 - py) * (1 - px) / m / m)"
+    sharpe = lambda c: f"CASE WHEN stddev_pop({c}) > 0 THEN avg({c}) / stddev_pop({c}) * sqrt({525600 / n!r}) END"
+    return f"""WITH {FORECASTS}, f AS (SELECT bar, actual, benchmark, 'reversal' AS name, model FROM fc UNION ALL SELECT bar, actual, benchmark, 'momentum', 0.1 * last_ret FROM fc),
+ d0 AS (SELECT *, (actual - benchmark) ** 2 - ((actual - model) ** 2 - (benchmark - model) ** 2) AS d FROM f), d1 AS (SELECT *, d - avg(d) OVER (PARTITION BY name) AS e FROM d0), d2 AS (SELECT *, {lag} FROM d1),
+ a AS (SELECT name, 1 - sum((actual - model) ** 2) / sum((actual - benchmark) ** 2) AS r2, sqrt(avg((actual - model) ** 2)) AS rmse, corr(actual, model) AS corr, count(*) AS n, avg(d) / sqrt(({total}) / count(*) / count(*)) AS clark_west FROM d2 GROUP BY 1),
+ p AS (SELECT name, count(*) AS m, avg(CAST((actual > 0) = (model > 0) AS INT)) AS hit_rate, avg(CAST(actual > 0 AS INT)) AS py, avg(CAST(model > 0 AS INT)) AS px FROM f WHERE actual <> 0 GROUP BY 1),
+ q AS (SELECT *, py * px + (1 - py) * (1 - px) AS ex FROM p), r AS (SELECT *, (hit_rate - ex) / sqrt({v}) AS pt FROM q),
+ h AS (SELECT *, abs(sign(model) - coalesce(lag(sign(model)) OVER (PARTITION BY name ORDER BY bar), 0)) AS traded, sign(model) * actual AS gross FROM f), g AS (SELECT *, gross - traded * {cost!r} AS net FROM h),
+ w AS (SELECT name, avg(gross) AS gross_mean_bp, avg(net) AS net_mean_bp, {sharpe('gross')} AS gross_sharpe, {sharpe('net')} AS net_sharpe, sum(traded) / count(*) * {1440 / n!r} AS trades_per_day FROM g GROUP BY 1)
+ SELECT a.name AS name, {R('r2', 'rmse', 'corr')}, n, {R('clark_west')}, round({upper_tail('clark_west')}, 6) AS clark_west_p, {R('hit_rate')}, round(ex, 6) AS hit_rate_if_independent, round(px, 6) AS forecast_up_share, round(pt, 6) AS pesaran_timmermann, round({upper_tail('pt')}, 6) AS pesaran_timmermann_p,
+ {R('gross_mean_bp', 'net_mean_bp', 'gross_sharpe', 'net_sharpe', 'trades_per_day')} FROM a JOIN r ON r.name = a.name JOIN w ON w.name = a.name"""
+
+
 GUESSED = f"{DAYS}, b AS (SELECT *, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS r FROM days), z AS (SELECT date, (ln(lead(close, 30) OVER (ORDER BY date)) - ln(close)) / (({rolled('stddev_samp(r)', 30)}) * sqrt(30)) AS z FROM b), l AS (SELECT CASE WHEN z > 0.4 THEN 2 WHEN z < -0.4 THEN 0 ELSE 1 END AS y, day(date) % 3 AS p FROM z WHERE z IS NOT NULL)"
 
 SQL: dict[str, str] = {
     "data_description": f"WITH {panel()} SELECT CAST(min(minute) AS VARCHAR) AS first_minute, CAST(max(minute) AS VARCHAR) AS last_minute, count(*) AS bars, round(1 - count(*) / (datediff('minute', min(minute), max(minute)) + 1), 6) AS empty_share, CAST(sum(n_trades) AS BIGINT) AS trades, round(arg_min(close, minute), 6) AS first_close, round(arg_max(close, minute), 6) AS last_close FROM mb",
     "rolling_median_30d": "WITH days AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, CASE WHEN count(close) OVER w >= 10 THEN round(median(close) OVER w, 6) END AS median_close FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
     "evaluate_forecasts": evaluated(),
+    "hac_table": hac_table(),
+    "evaluate_returns": evaluated_returns(),
+    "evaluate_liquidity": f"SELECT *, round({upper_tail('stat')}, 6) AS p_value FROM ({evaluated()})",
+    "exact_quantiles_daily": f"SELECT year(l_shipdate) AS year, {', '.join(f'round(quantile_cont(l_extendedprice / l_quantity, {q}), 6) AS {k}' for k, q in (('low', 0.01), ('median', 0.5), ('high', 0.99)))} FROM lineitem WHERE l_quantity <> 0 GROUP BY 1",
     "minute_bars_from_trades": f"WITH {panel()} SELECT CAST(minute AS VARCHAR) AS minute, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume')} FROM mb",
     "bars_nmin_drop_empty": f"WITH {panel()} SELECT CAST(bar AS VARCHAR) AS bar, n_trades, {R('close', 'buy_qty', 'sell_qty', 'usd_volume', 'ret_bp', 'imbalance', 'activity_dev', 'next_ret')} FROM panel",
     "bars_nmin_full_grid": f"WITH {grid(5, 2)} SELECT CAST(bar AS VARCHAR) AS bar, minutes_available, n_trades, {R('open', 'close', 'high', 'low', 'volume', 'usd_volume_m', 'ret_bp', 'path_bp', 'rv_bp', 'range_bp', 'oib', 'avg_trade', 'amihud', 'kyle')} FROM grid",

@@ -8,11 +8,13 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import bars, book, evaluation, feeds, liquidity, mixture, models, regimes, reports
 from tidemark.plans import oracles
 from tidemark.sources import io, roles
 
 BAR = 15
+THREE = ["ret_lag0", "imb_lag0", "log_activity_dev"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -57,7 +59,7 @@ def _hourly(spark: SparkSession, sf: str) -> DataFrame:
 
 def _fold_table(spark: SparkSession, sf: str) -> DataFrame:
     f = bars.backtest_factors(_panel(spark, sf))
-    return f.select("bar", "ret_lag0", "imb_lag0", "next_ret")
+    return f.select("bar", "ret_lag0", "imb_lag0", "log_activity_dev", "next_ret")
 
 
 def _folds(df: DataFrame, time: str = "bar", skip: int = 10, width: int = 5) -> list[tuple[str, str]]:
@@ -78,9 +80,12 @@ def _regime_rows(spark: SparkSession, sf: str) -> DataFrame:
     return joined
 
 
+def _two_models(spark: SparkSession, sf: str) -> DataFrame:
+    return _forecasts(spark, sf).select("bar", "actual", "benchmark", F.col("model").alias("reversal"), (0.1 * F.col("last_ret")).alias("momentum"))
+
+
 def _evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    wide = _forecasts(spark, sf).select("bar", "actual", "benchmark", F.col("model").alias("reversal"), (0.1 * F.col("last_ret")).alias("momentum"))
-    return evaluation.evaluate(wide, "bar", ["reversal", "momentum"], "benchmark", 5, False)
+    return evaluation.evaluate(_two_models(spark, sf), "bar", ["reversal", "momentum"], "benchmark", 5, False)
 
 
 def _liquidity_forecasts(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,7 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yearly_pivot": lambda s, d: evaluation.yearly_pivot(evaluation.pnl(_held(s, d)), list(range(1, 13)), "month").withColumnsRenamed({str(k): f"p{k}" for k in range(1, 13)}),
     "oos_r2_against_zero": lambda s, d: evaluation.oos_r2(_forecasts(s, d), [F.month("bar").alias("month")], False),
     "trading_stats": lambda s, d: evaluation.trading_stats(_forecasts(s, d).withColumn("actual", F.col("actual") / 1e5), "model", "actual"),
-    "top_terms": lambda s, d: reports.top_terms(models.hac_regression(_fold_table(s, d), ["ret_lag0"], "next_ret", "bar", 5)),
+    "top_terms": lambda s, d: reports.top_terms(models.hac_regression(_fold_table(s, d), ["ret_lag0"], "next_ret", "bar", 5).select("term", "coef", "se", "t")),
     "extreme_hours": lambda s, d: reports.extremes(liquidity.ols_hc0(_minutes(s, d).select(F.hour("time").alias("hour"), "return_bps", "signed_volume"), ["hour"], "return_bps", "signed_volume"), "hour", "slope"),
     "last_forecasts": lambda s, d: reports.last_rows(_forecasts(s, d), "bar", 14 * 96).select("bar", "actual", "model"),
     "thinned_curve": lambda s, d: reports.thinned(_forecasts(s, d).select("bar", "actual"), "bar", 100),
@@ -157,7 +162,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "oos_r2_yearly": lambda s, d: evaluation.oos_r2(_forecasts(s, d), [F.year("bar").alias("year")]),
     "walk_forward_ols": lambda s, d: _walk(s, d, 0.0),
     "walk_forward_ridge": lambda s, d: _walk(s, d, 10.0),
-    "hac_regression": lambda s, d: models.hac_regression(_fold_table(s, d), ["ret_lag0"], "next_ret", "bar", 5),
+    "hac_regression": lambda s, d: models.hac_regression(_fold_table(s, d), ["ret_lag0"], "next_ret", "bar", 5).select("term", "coef", "se", "t"),
+    "hac_table": lambda s, d: models.hac_regression(_fold_table(s, d), THREE, "next_ret", "bar", 5),
+    "evaluate_returns": lambda s, d: evaluation.evaluate_returns(_two_models(s, d), "bar", ["reversal", "momentum"], "benchmark", 5, 1.0, BAR),
+    "evaluate_liquidity": lambda s, d: evaluation.evaluate_liquidity(_two_models(s, d), "bar", ["reversal", "momentum"], "benchmark", 5),
+    "exact_quantiles_daily": lambda s, d: exact_quantiles(roles.daily_tape(s, d).select(F.year("date").alias("year"), "price"), "price", {"low": 0.01, "median": 0.5, "high": 0.99}, ("year",)),
     "keyword_filter_clean_text": lambda s, d: feeds.news_rows(roles.table(s, d, "documents"), "feed", "doc_id", "text", ("the ", "une")),
     "incremental_antijoin": lambda s, d: feeds.unseen(roles.table(s, d, "documents").select("doc_id", "lang"), roles.table(s, d, "labels"), "doc_id", True),
     "coverage_hard_gaps": lambda s, d: feeds.hard_gaps(feeds.hourly_rows(roles.table(s, d, "events"), "ts", "event_type")),

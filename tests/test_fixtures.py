@@ -234,7 +234,7 @@ def test_boosting_stops_early_and_learns(spark):
     y = np.where(x[:, 0] > 0, 3.0, -1.0) + 0.1 * rng.normal(size=1500)
     df = spark.createDataFrame([(float(a), float(b), float(c), 10.0) for (a, b), c in zip(x, y + 10, strict=True)], "a double, b double, y double, base double")
     model = models.Boosting(["a", "b"], "base", rounds=60, step=0.3, least=20).fit(df, "y")
-    assert model.model.getNumTrees < 60
+    assert len(model.model.trees) < 60
     got = np.array([(r["y"], r["f"]) for r in model.attach(df, "f").collect()])
     assert np.corrcoef(got.T)[0, 1] > 0.98 and abs((got[:, 0] - got[:, 1]).mean()) < 0.1
 

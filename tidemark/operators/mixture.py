@@ -1,22 +1,19 @@
 """A mixture of regime experts: a gate gives each day's regime probabilities, a ridge for each regime its forecast.
 
-Everything is fitted by Spark: the gate by MLlib, the experts from one pass of summed moments for each
+Everything is fitted by Spark: the gate by summed gradients, the experts from one pass of summed moments for each
 regime.  Gates and forecasts are column expressions, so that no row leaves the JVM.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import safe_div
 from tidemark.functions.ranges import numbered
 from tidemark.operators.evaluation import confusion, macro_f1, trading_stats
+from tidemark.operators.network import Network
 
 REGIMES = ("bear", "sideways", "bull")
 #: What a row of another regime weighs in an expert's fit.
@@ -26,39 +23,27 @@ OTHERS = 0.05
 class Gate:
     """Regime probabilities in which each class weighs alike, however often it occurs.
 
-    ``hidden`` units make a one-layer network, 0 a multinomial logistic regression.  ``temperature``
-    flattens the probabilities; ``top_k`` keeps the largest (ties stay) and lets them sum to 1; 0 keeps all.
+    ``hidden`` units make a one-layer network, 0 a multinomial logistic regression; ``decay`` is the penalty on
+    the weights of either.  ``temperature`` flattens the probabilities; ``top_k`` keeps the largest (ties stay)
+    and lets them sum to 1; 0 keeps all.
     """
 
     def __init__(self, hidden: int = 4, rounds: int = 150, decay: float = 0.03, temperature: float = 1.0, top_k: int = 0, seed: int = 0):
         self.hidden, self.rounds, self.decay, self.temperature, self.top_k, self.seed = hidden, rounds, decay, temperature, top_k, seed
 
     def fit(self, train: DataFrame, columns: list[str], y: str, classes: int = 3) -> Gate:
-        counts = {r[0]: r[1] for r in train.groupBy(F.col(y).cast("int")).count().collect()}
-        total = sum(counts.values())
-        self.classes, self.weights = classes, [total / (classes * max(counts.get(k, 0), 1)) for k in range(classes)]
-        shaped = [VectorAssembler(inputCols=columns, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True)]
-        names = {"featuresCol": "_x", "labelCol": "_label", "probabilityCol": "_p", "rawPredictionCol": "_score", "predictionCol": "_class"}
-        if self.hidden:
-            learner = MultilayerPerceptronClassifier(layers=[len(columns), self.hidden, classes], maxIter=self.rounds, seed=self.seed, **names)
-        else:
-            learner = LogisticRegression(family="multinomial", maxIter=self.rounds, regParam=self.decay, weightCol="_w", **names)
-        told = train.withColumn("_label", F.col(y).cast("double")).withColumn("_w", F.element_at(F.array(*map(F.lit, self.weights)), F.col(y).cast("int") + 1))
-        self.model = Pipeline(stages=[*shaped, learner]).fit(told)
+        self.classes = classes
+        self.model = Network(columns, classes, self.hidden, self.decay, self.rounds, self.seed).fit(train, F.col(y))
         return self
 
     def attach(self, df: DataFrame, name: str = "gate") -> DataFrame:
         """Adds the array of gates."""
-        p = vector_to_array("_p")
-        if self.hidden:  # the network is fitted on the classes as they occur: their shares are divided out
-            p = F.zip_with(p, F.array(*map(F.lit, self.weights)), lambda x, w: x * w)
-        p = F.transform(p, lambda x: F.pow(x, F.lit(1 / self.temperature)))
-        told = self.model.transform(df).withColumn(name, p)
+        told = df.withColumn(name, F.transform(self.model.probabilities(), lambda x: F.pow(x, F.lit(1 / self.temperature))))
         if 0 < self.top_k < self.classes:
             least = F.element_at(F.sort_array(name, asc=False), self.top_k)
             told = told.withColumn(name, F.transform(name, lambda x: F.when(x >= least, x).otherwise(0.0)))
         sum_of = F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
-        return told.withColumn(name, F.transform(name, lambda x: safe_div(x, sum_of))).drop("_raw", "_x", "_p", "_score", "_class")
+        return told.withColumn(name, F.transform(name, lambda x: safe_div(x, sum_of)))
 
 
 def experts(train: DataFrame, columns: list[str], regime: str, y: str, alpha: float = 10.0, least: int = 30, classes: int = 3) -> tuple[list[Column], Column]:

@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions alone.
 
 Lines (parted by \\n) are compared by their sets of ``SHINGLE``-character shingles.  Equal lines are
-one from the start.  Each different line gets ``BANDS * ROWS`` minima of its shingle hashes; lines
-that agree in all rows of a band share a cell, and each member of a cell is paired with the cell's
-smallest line and with the ``NEIGHBOURS`` before it (all pairs of a small cell, linearly many of a
-large one).  Pairs are verified by the exact Jaccard similarity of the whole sets, those that a
-component already joins excepted; verified links are united by distributed union-find, and of each
-component the line that comes first (by doc_id and line number) is kept.
+one from the start, known by a 64-bit hash.  Each different line gets ``BANDS * ROWS`` minima of its
+shingle hashes; lines that agree in all rows of a band share a cell.  A line first meets the cell's
+smallest line and the ``NEIGHBOURS`` before it; then every line of the cell outside its component
+whose number of shingles allows the similarity, so that no pair of a cell is left out (their number
+grows with the square of the lines that a cell holds of different components).  Pairs are verified by
+the exact Jaccard similarity of the whole sets; verified links are united by distributed union-find,
+and of each component the line that comes first (by doc_id and line number) is kept.
 
 At similarity ``SIMILARITY`` two lines meet in a band with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997.
 
@@ -109,10 +110,11 @@ def across(crowd: DataFrame, part: DataFrame, found: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "line-ids")
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialise(found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line")).select("id", wide(F.col("line")).alias("code")), "line-codes")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("code").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("code").alias("y")), "b")
-    # a generator of one row: the sets are made once, not again for each use below
-    told = both.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))).alias("s"))
+    texts = materialise(found.select("id", "line").join(wanted, F.col("id") == F.col("_id"), "left_semi").groupBy("id").agg(F.first("line").alias("line")), "line-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    # generators of one row: wide forms and sets are made once, not again for each use below, and only after the joins
+    coded = both.select("a", "b", F.explode(F.array(F.struct(wide(F.col("x")).alias("x"), wide(F.col("y")).alias("y")))).alias("c")).select("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    told = coded.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))).alias("s"))
     told = told.select("a", "b", F.size(F.array_intersect("s.x", "s.y")).alias("same"), (F.size("s.x") + F.size("s.y")).alias("total"))
     return told.where(F.col("same") >= SIMILARITY * (F.col("total") - F.col("same"))).select("a", "b")
 

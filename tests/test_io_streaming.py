@@ -92,6 +92,31 @@ def test_streaming_order_flow(spark, tmp_path):
     assert all((a is None or a != a) if w[k] is None else a == pytest.approx(w[k]) for k, a in got.items())
 
 
+def test_a_stopped_write_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        tio.read_replaced(spark, path)
+    df = spark.range(10)
+    tio.replace_parquet(df, path)
+    reader = tio.read_replaced(spark, path)
+    df.limit(3).write.parquet(f"{path}/v-{1:020d}")
+    (tmp_path / "t" / f"v-{1:020d}" / "_SUCCESS").unlink()  # stopped before its commit
+    assert tio.read_replaced(spark, path).count() == 10
+    tio.replace_parquet(df.limit(4), path)
+    assert tio.read_replaced(spark, path).count() == 4 and reader.count() == 10
+    assert tio.versions(spark, path) == [(0, True), (2, True)]
+    tio.replace_parquet(df.limit(5), path)
+    assert tio.versions(spark, path) == [(2, True), (3, True)]
+
+
+def test_settings_are_merged_in_groups():
+    from tidemark.plans.regime_run import DEFAULTS, settings
+
+    got = settings("router: {hidden: 8}", label={"k": 0.5})
+    assert got["router"] == DEFAULTS["router"] | {"hidden": 8} and got["label"] == DEFAULTS["label"] | {"k": 0.5}
+    assert settings('{"n": 5}')["n"] == 5 and settings() == DEFAULTS
+
+
 def test_tables_and_folders(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     for _ in range(2):
@@ -99,7 +124,7 @@ def test_tables_and_folders(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "log"), header=True).count() == 4
     for k in (1, 2):
         tio.replace_parquet(df.where(f"k >= {k}"), str(tmp_path / "t"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+    assert tio.read_replaced(spark, str(tmp_path / "t")).count() == 1
     tio.write_small(df, str(tmp_path / "m"), "json")
     assert spark.read.json(str(tmp_path / "m")).count() == 2
     rows = df.selectExpr("k", "'h' AS host", "DATE'2024-01-01' AS date", "lpad(k, 2, '0') AS hour")

@@ -1,6 +1,7 @@
 import io
 import json
 import threading
+import time
 import zipfile
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
@@ -14,8 +15,10 @@ MINUTES = [k for k in range(2500) if not 700 <= k < 760]  # an hour is missing
 
 class Venue(BaseHTTPRequestHandler):
     failed: set = set()
+    times: list = []
 
     def do_GET(self):
+        Venue.times.append(time.monotonic())
         at = urlparse(self.path)
         q = {k: v[0] for k, v in parse_qs(at.query).items()}
         if self.path not in Venue.failed:  # every first request fails
@@ -70,6 +73,18 @@ def test_pages_and_days(spark, venue):
     assert sorted(map(tuple, got)) == [("2024-01-01 00:00:00.123", 100.5, True, False), ("2024-01-03 00:00:00.123456", 100.5, True, False)]
 
 
+def test_shared_rate(spark, venue):
+    """Eight tasks at once, retries included: no second sees more requests than agreed."""
+    pagers.register(spark)
+    Venue.times.clear()
+    df = spark.read.format("ohlc_pages").options(url=f"{venue}/ohlc", start=0, end=60 * 2500, limit=250, per_second=4, unit=0.01).load()
+    assert df.rdd.getNumPartitions() == 4
+    assert sorted(r["close"] for r in df.collect()) == MINUTES
+    times = sorted(Venue.times)
+    assert len(times) >= 10  # each page once, and the first time of some in vain
+    assert all(sum(t <= x < t + 1 for x in times) <= 4 for t in times)
+
+
 def test_no_answer(venue):
     with pytest.raises(RuntimeError):
         pagers.fetch("http://127.0.0.1:9/none", retries=2, unit=0.001)

@@ -52,6 +52,15 @@ def test_numbers_and_running_sums(series):
         ranges.cell_of(df, "key")
 
 
+def test_exponentially_weighted_mean(series):
+    pdf, df = series
+    got = ranges.ewm_mean(df, "x", ["t"], 5, "mean", ("key",), 40).toPandas().sort_values(["key", "t"], na_position="last")
+    want = pdf.groupby("key", dropna=False, sort=False).x.transform(lambda x: x.ewm(span=5).mean())
+    # the definition with absolute places
+    assert np.allclose(got["mean"].astype(float), want, equal_nan=True)
+    assert got.columns.tolist() == [*df.columns, "mean"]
+
+
 def test_quantiles_are_exact(spark):
     rng = np.random.default_rng(0)
     wanted = {"q0": 0.0, "q1": 0.01, "q25": 0.25, "q50": 0.5, "q60": 0.6, "q61": 0.601, "q99": 0.99, "q100": 1.0}

@@ -11,6 +11,7 @@ one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -88,3 +89,22 @@ def running(df: DataFrame, x: str, order: list[str], by: tuple[str, ...] = ()) -
     told = carried(celled, by, {"_sum": F.sum(x)}).withColumn("cum", F.coalesce("_sum", F.lit(0.0)) + F.coalesce(F.sum(x).over(upto), F.lit(0.0)))
     told = carried(told, by, {"_peak": F.max("cum")}, F.max)
     return told.withColumn("peak", F.greatest("_peak", F.max("cum").over(upto))).drop("_sum", "_peak", CELL)
+
+
+def ewm_mean(df: DataFrame, x: str, order: list[str], span: float, name: str, by: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
+    """Adds the exponentially weighted mean of ``x`` up to each row: weights (1 - 2 / (span + 1)) to the rows' distance, adjusted.
+
+    A missing value has no weight but keeps its place.  Rows so far back that their weight is lost in a double
+    (a part of 10^18) are not looked at.
+    """
+    decay = 1 - 2 / (span + 1)
+    reach = max(1, math.ceil(math.log(1e-18) / math.log(decay))) if decay > 0 else 1
+
+    def weighted(told: DataFrame, w: WindowSpec) -> DataFrame:
+        near = F.collect_list(F.struct(F.col(ROW).alias("at"), F.col(x).alias("v"))).over(w.rowsBetween(-reach, 0))
+        weigh = lambda r: F.when(r["v"].isNotNull(), F.pow(F.lit(decay), F.col(ROW) - r["at"])).otherwise(0.0)
+        total = lambda part: F.aggregate("_near", F.lit(0.0), lambda a, r: a + part(r))
+        mean = F.try_divide(total(lambda r: weigh(r) * F.coalesce(r["v"], F.lit(0.0))), total(weigh))
+        return told.withColumn("_near", near).withColumn(name, mean).drop("_near")
+
+    return in_ranges(df, order, weighted, reach, 0, by, rows)

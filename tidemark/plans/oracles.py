@@ -182,6 +182,7 @@ SQL: dict[str, str] = {
     "rolling_median_30d": "WITH days AS (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1) SELECT CAST(date AS VARCHAR) AS date, CASE WHEN count(close) OVER w >= 10 THEN round(median(close) OVER w, 6) END AS median_close FROM days WINDOW w AS (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)",
     "evaluate_forecasts": evaluated(),
     "hac_table": hac_table(),
+    "ewm_close": f"WITH {DAYS}, k AS (SELECT *, row_number() OVER (ORDER BY date) AS k FROM days) SELECT CAST(b.date AS VARCHAR) AS date, round(sum(a.close * power(2.0 / 3, b.k - a.k)) / sum(power(2.0 / 3, b.k - a.k)), 6) AS mean FROM k a JOIN k b ON a.k <= b.k GROUP BY 1",
     "evaluate_returns": evaluated_returns(),
     "evaluate_liquidity": f"SELECT *, round({upper_tail('stat')}, 6) AS p_value FROM ({evaluated()})",
     "exact_quantiles_daily": f"SELECT year(l_shipdate) AS year, {', '.join(f'round(quantile_cont(l_extendedprice / l_quantity, {q}), 6) AS {k}' for k, q in (('low', 0.01), ('median', 0.5), ('high', 0.99)))} FROM lineitem WHERE l_quantity <> 0 GROUP BY 1",

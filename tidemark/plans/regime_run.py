@@ -17,8 +17,13 @@ DEFAULTS = {
 }
 
 
+def merged(below: dict, above: dict) -> dict:
+    """The values of ``above`` over those of ``below``, in nested groups too."""
+    return below | {k: merged(below[k], v) if isinstance(v, dict) and isinstance(below.get(k), dict) else v for k, v in above.items()}
+
+
 def settings(text: str | None = None, **overrides) -> dict:
-    """The defaults, a JSON or YAML text over them, and named values over both."""
+    """The defaults, a JSON or YAML text over them, and named values over both; groups are merged value by value."""
     told = {}
     if text:
         try:
@@ -27,7 +32,7 @@ def settings(text: str | None = None, **overrides) -> dict:
             import yaml
 
             told = yaml.safe_load(text) or {}
-    return DEFAULTS | told | overrides
+    return merged(merged(DEFAULTS, told), overrides)
 
 
 def run(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import ranges
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import bars, book, evaluation, feeds, liquidity, mixture, models, regimes, reports
 from tidemark.plans import oracles
@@ -137,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "har_factors_daily": lambda s, d: bars.har_factors(bars.factor_panel(roles.minute_klines(s, d), 1440, 100 / 1440), 1440),
     "backtest_factors": lambda s, d: bars.backtest_factors(_panel(s, d)),
     "regime_features": lambda s, d: regimes.features(roles.daily_close(s, d)),
+    "ewm_close": lambda s, d: ranges.ewm_mean(roles.daily_close(s, d), "close", ["date"], 5, "mean").select("date", "mean"),
     "regime_labels": lambda s, d: regimes.labels(roles.daily_close(s, d), 30, 0.4),
     "winsorize": lambda s, d: bars.winsorized(_panel(s, d).select("bar", F.col("ret_bp").alias("x")), "x"),
     "strategy_pnl_cost_grid": lambda s, d: evaluation.strategy_summary(evaluation.pnl(_held(s, d)), BAR),

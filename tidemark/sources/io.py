@@ -169,16 +169,40 @@ def write_small(df: DataFrame, path: str, form: str = "csv") -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).format(form).save(path)
 
 
+def versions(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
+    """(number, whether it is whole) of the versions of a replaceable table, in order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return sorted((int(n[2:]), fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))) for n in names if n.startswith("v-") and n[2:].isdigit())
+
+
 def replace_parquet(df: DataFrame, path: str) -> None:
-    """Writes beside ``path`` and renames, so that an interrupted write never stands under the final name."""
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(fresh)
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"{fresh} could not be renamed to {path}")
+    """Writes the table's next version, which ``read_replaced`` takes once it is whole.
+
+    A version is whole with the marker that the commit leaves last: a write that stops anywhere leaves the version
+    before in force.  That one also stays for those who are still reading it; older ones and broken ones go.
+    """
+    spark, jvm = df.sparkSession, df.sparkSession._jvm
+    found = versions(spark, path)
+    number = max((n for n, _ in found), default=-1) + 1
+    df.write.option("compression", "zstd").parquet(f"{path}/v-{number:020d}")
+    before = max((n for n, whole in found if whole), default=None)
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n, _ in found:
+        if n != before:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/v-{n:020d}"), True)
+
+
+def read_replaced(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version of a table that ``replace_parquet`` writes."""
+    whole = [n for n, done in versions(spark, path) if done]
+    if not whole:
+        raise FileNotFoundError(f"{path} has no whole version")
+    return spark.read.parquet(f"{path}/v-{whole[-1]:020d}")
 
 
 def read_heartbeat(text: str | None) -> dict | None:

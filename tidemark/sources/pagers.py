@@ -14,7 +14,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, date, datetime, timedelta
 
@@ -26,14 +26,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Statuses that ask for patience, and the longest wait in seconds.
 BUSY, LONGEST = (418, 429), 60
+#: Seconds between two requests of a lane: a little more than one, so that no second sees two.
+GAP = 1.02
 STEP_MS = {"1m": 60_000, "1h": 3_600_000, "1d": 86_400_000}
 #: Raw trade times above this are microseconds, else milliseconds.
 MICROS_FROM = 10**14
 
 
-def fetch(url: str, retries: int = 5, timeout: float = 20, unit: float = 1.0) -> bytes | None:
-    """The body; None where there is none (404).  ``unit``: seconds of the first wait."""
+def fetch(url: str, retries: int = 5, timeout: float = 20, unit: float = 1.0, before: Callable[[], None] = lambda: None) -> bytes | None:
+    """The body; None where there is none (404).  ``unit``: seconds of the first wait; ``before`` is called before each attempt."""
     for attempt in range(retries):
+        before()
         try:
             with urllib.request.urlopen(url, timeout=timeout) as answer:
                 return answer.read()
@@ -61,25 +64,54 @@ def stamp(ms: int) -> datetime:
     return datetime.fromtimestamp(ms / 1000, tz=UTC)
 
 
+@dataclass
+class Lane(InputPartition):
+    """Pages that one task asks for, one after the other."""
+
+    pages: list[Page]
+
+
+class Pace:
+    """Keeps the attempts of a lane apart by so many seconds."""
+
+    def __init__(self, gap: float):
+        self.gap, self.last = gap, -float("inf")
+
+    def wait(self) -> None:
+        time.sleep(max(0.0, self.last + self.gap - time.monotonic()))
+        self.last = time.monotonic()
+
+
 class Pages(DataSourceReader):
-    """Reads [start, end) in pages of ``limit`` steps; the options are those of the source."""
+    """Reads [start, end) in pages of ``limit`` steps; the options are those of the source.
+
+    With ``per_second`` the pages are dealt to that many lanes at most, each of which asks, retries included, less
+    than once a second: all tasks together stay within the rate, however many run at once and without a word between
+    them.  Without it every page is a task.
+    """
 
     def __init__(self, options: dict, step: int):
         self.options, self.step = dict(options), step
         self.start, self.end, self.limit = int(options["start"]), int(options["end"]), int(options.get("limit", 1000))
 
-    def partitions(self) -> list[Page]:
-        width = self.step * self.limit
-        return [Page(k, min(k + width, self.end)) for k in range(self.start, self.end, width)]
+    def partitions(self) -> list[Lane]:
+        width, rate = self.step * self.limit, int(self.options.get("per_second", 0))
+        pages = [Page(k, min(k + width, self.end)) for k in range(self.start, self.end, width)]
+        lanes = min(rate, len(pages)) if rate else len(pages)
+        return [Lane(pages[k::lanes]) for k in range(lanes)]
+
+    def read(self, lane: Lane) -> Iterator[tuple]:
+        self.pace = Pace(GAP if "per_second" in self.options else float(self.options.get("pause", 0)))
+        for page in lane.pages:
+            yield from self.page(page)
 
     def ask(self, **query) -> object:
-        time.sleep(float(self.options.get("pause", 0)))
-        body = fetch(self.options["url"] + "?" + urllib.parse.urlencode(query), int(self.options.get("retries", 5)), unit=float(self.options.get("unit", 1)))
+        body = fetch(self.options["url"] + "?" + urllib.parse.urlencode(query), int(self.options.get("retries", 5)), unit=float(self.options.get("unit", 1)), before=self.pace.wait)
         return json.loads(body or b"null")
 
 
 class KlineReader(Pages):
-    def read(self, page: Page) -> Iterator[tuple]:
+    def page(self, page: Page) -> Iterator[tuple]:
         found = self.ask(symbol=self.options["symbol"], interval=self.options.get("interval", "1m"), startTime=page.start, endTime=page.end - 1, limit=self.limit)
         for k in found or ():
             if page.start <= k[0] < page.end and k[6] < self.end:  # candles that are still open are left out
@@ -87,7 +119,7 @@ class KlineReader(Pages):
 
 
 class KlinePages(DataSource):
-    """Options: url, symbol, interval, start and end (ms), limit, pause, retries."""
+    """Options: url, symbol, interval, start and end (ms), limit, pause, per_second, retries."""
 
     @classmethod
     def name(cls) -> str:
@@ -101,7 +133,7 @@ class KlinePages(DataSource):
 
 
 class OhlcReader(Pages):
-    def read(self, page: Page) -> Iterator[tuple]:
+    def page(self, page: Page) -> Iterator[tuple]:
         found = self.ask(step=self.step, limit=self.limit, start=page.start)
         rows = {int(k["timestamp"]): k for k in found["data"]["ohlc"]} if found else {}
         for at in sorted(rows):
@@ -110,7 +142,7 @@ class OhlcReader(Pages):
 
 
 class OhlcPages(DataSource):
-    """Options: url, start and end (seconds), step, limit, pause, retries."""
+    """Options: url, start and end (seconds), step, limit, pause, per_second, retries."""
 
     @classmethod
     def name(cls) -> str:

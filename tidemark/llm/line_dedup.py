@@ -3,7 +3,7 @@
 Lines (parted by \\n) are compared by their sets of ``SHINGLE``-character shingles.  Equal lines are
 one from the start, known by a 64-bit hash.  Each different line gets ``BANDS * ROWS`` minima of its
 shingle hashes; lines that agree in all rows of a band share a cell.  A line first meets the cell's
-smallest line and the ``NEIGHBOURS`` before it; then every line of the cell outside its component
+smallest line, then the ``NEIGHBOURS`` before it and at last every line of the cell outside its component
 whose number of shingles allows the similarity, so that no pair of a cell is left out (their number
 grows with the square of the lines that a cell holds of different components).  Pairs are verified by
 the exact Jaccard similarity of the whole sets; verified links are united by distributed union-find,
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.base import WS_WORD, materialise
+from tidemark.llm.base import WS_WORD, discard, materialise
 from tidemark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -116,7 +116,9 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     coded = both.select("a", "b", F.explode(F.array(F.struct(wide(F.col("x")).alias("x"), wide(F.col("y")).alias("y")))).alias("c")).select("a", "b", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
     told = coded.select("a", "b", F.explode(F.array(F.struct(shingle_set(F.col("x")).alias("x"), shingle_set(F.col("y")).alias("y")))).alias("s"))
     told = told.select("a", "b", F.size(F.array_intersect("s.x", "s.y")).alias("same"), (F.size("s.x") + F.size("s.y")).alias("total"))
-    return told.where(F.col("same") >= SIMILARITY * (F.col("total") - F.col("same"))).select("a", "b")
+    links = materialise(told.where(F.col("same") >= SIMILARITY * (F.col("total") - F.col("same"))).select("a", "b"), "line-links")
+    discard(ids, texts)
+    return links
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -128,13 +130,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     def paired(others: list[str]) -> DataFrame:
         return met.select(F.col("id").alias("b"), F.explode(F.array_distinct(F.array(*others))).alias("a")).where("a IS NOT NULL AND a <> b").select("a", "b").distinct()
 
-    # most lines of a cell are united by two pairs each; of the other pairs only those across components are left to verify
+    # most lines of a cell are united by one pair each; of the other pairs only those across components are left to verify
     met = materialise(met.where("m > 1").withColumn("cell", F.when(F.col("m") > NEIGHBOURS + 2, F.col("cell"))), "line-cells")
-    near = materialise(paired(["first", "before1"]), "line-pairs")
-    links = materialise(verified(near, found), "line-links")
+    near = materialise(paired(["first"]), "line-pairs")
+    links = verified(near, found)
     part = components(links)
     ends = [part.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-    rest = paired([f"before{k}" for k in range(2, NEIGHBOURS + 1)]).join(near, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = paired([f"before{k}" for k in range(1, NEIGHBOURS + 1)]).join(near, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
     rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "line-rest")
     links = materialise(links.unionByName(verified(rest, found)), "line-links")
     united = components(links)

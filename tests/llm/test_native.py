@@ -31,10 +31,11 @@ def test_shards_are_minimax_and_slots_gapless(docs, rows, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
-def test_emitted_rows_are_the_mix(spark):
+@pytest.mark.parametrize("extra", ["k", "_row", "_mixed_row", "_Mixed_Row_"])
+def test_emitted_rows_are_the_mix(spark, extra):
     """Null and repeated ids: each row has its own decision, and the words taken are those of the mix."""
     rows = [(None if k < 500 else k % 400, "w " * (1 + k % 37), "a" if k % 3 else "b", k) for k in range(1300)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _row bigint")
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, source string, {extra} bigint")
     taken = {r["source"]: (r["t"], r["g"]) for r in mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("g")).collect()}
     out = mixing.emit(docs)
     assert out.columns == docs.columns

@@ -81,7 +81,7 @@ def emit(docs: DataFrame, seed: int = 17) -> DataFrame:
 
     The rows are written once with a number of their own, so that each has its own decision, whatever its doc_id.
     """
-    row = "_row"
+    row = "_mixed_row"  # no name that the numbering below uses
     while row.lower() in {c.lower() for c in docs.columns}:
         row += "_"
     numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")

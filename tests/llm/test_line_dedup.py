@@ -99,3 +99,22 @@ def test_small_edits_of_ordinary_lines(spark):
     got = {(r["doc_id"], r["line_no"]): r["component"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[(0, k)] == got[(1, k)] for k in range(len(pairs)))
     assert len(set(got.values())) == len(pairs)
+
+
+def test_bit_maps_drop_no_link_and_most_other_pairs(spark):
+    """Of all pairs of different lines the bit maps leave every one at the similarity, and few of the others to be verified."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(4, 60))) for _ in range(40)]
+    kinds = sorted({*base, *(b.replace(b.split()[1], rng.choice(words), 1) for b in base), *(b[: len(b) * 9 // 10] for b in base)})
+    found = spark.createDataFrame([(k, line) for k, line in enumerate(kinds)], "id long, line string")
+    told = line_dedup.sketches(found).drop("cells").cache()
+    one, two = (told.select(*(F.col(c).alias(c + end) for c in told.columns)) for end in "xy")
+    met = one.join(two, F.col("idx") < F.col("idy")).where(line_dedup.possible(lambda c: F.col(c + "x"), lambda c: F.col(c + "y")))
+    left = {(r["idx"], r["idy"]) for r in met.select("idx", "idy").collect()}
+    sets = [shingles(x) for x in kinds]
+    links = {(i, j) for j in range(len(kinds)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert links <= left
+    assert len(left - links) < 0.05 * len(kinds) * len(kinds) / 2

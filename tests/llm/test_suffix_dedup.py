@@ -81,3 +81,22 @@ def test_frequent_anchors(spark, monkeypatch):
     texts += ["z" * 500, "ab" * 400, make(1000), make(250) * 2, passage[:199], passage[5:205]]
     rows = list(enumerate(texts))
     check(suffix_dedup.dedup_digest(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
+def test_leaves_no_shuffle_files_and_no_spent_tables(spark, docs):
+    """Once the cuts are known, neither the shuffles that made them nor any other table is left on disk."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tidemark.llm.base import shared_dir
+
+    folder = Path(urlparse(shared_dir(spark)).path) / "tidemark"
+    local = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    tables = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    shuffles = lambda: {p.name for p in local.rglob("shuffle_*.data")}
+    before, old = tables(), shuffles()
+    cuts = suffix_dedup.repeated_runs(docs)
+    assert {x.rsplit("-", 1)[0] for x in tables() - before} == {"cuts"}
+    assert cuts.count() > 0
+    spent = [p for p in local.rglob("shuffle_*.data") if p.name in shuffles() - old]
+    assert sum(p.stat().st_size for p in spent) < 100_000  # only those of the counts

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.base import materialise
+from tidemark.llm.base import discard, materialise
 from tidemark.llm.counters import counter_of, frequent, hit_table
 from tidemark.llm.shingling import BYTE_CODES, chunks, powers, splitmix
 from tidemark.llm.suffix_blocks import repeated_windows
@@ -197,9 +197,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     """(tid, n_bytes, cuts): for each text with repeats, the removed runs (low, high), sorted; they may overlap."""
     texts = text_ids(docs.select("doc_id", "text"))
     known = materialise(texts.select("doc_id", "tid", "n_bytes").where(F.col("n_bytes") >= LENGTH), "texts")
-    counted = materialise(known.groupBy("tid", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")), "copies")
+    counted = materialise(known.groupBy("tid", "n_bytes").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")), "copies", tidy=True)
     others = known.join(counted.where("copies > 1"), ["tid", "n_bytes"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "tid", "n_bytes").distinct()
-    others = materialise(others, "others")
+    others = materialise(others, "others", tidy=True)
     long_enough = texts.where(F.col("n_bytes") >= LENGTH)
     single = long_enough.join(small(others, F.lit(24)), ["doc_id", "tid", "n_bytes"], "left_anti")
 
@@ -207,11 +207,13 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     apart = F.when(F.col("often"), F.pmod(F.xxhash64("tid", "place"), F.lit(SALTS))).otherwise(F.lit(0))
     met = find_anchors(single).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("anchor", apart))).where("m > 1 OR often")
     often = F.collect_list(F.when(F.col("often"), F.col("place")))
-    spots = materialise(met.groupBy("tid", "n_bytes").agg(F.collect_list("place").alias("places"), often.alias("often")), "spots")
+    spots = materialise(met.groupBy("tid", "n_bytes").agg(F.collect_list("place").alias("places"), often.alias("often")), "spots", tidy=True)
     found = sort_stretches(cut_stretches(single.select("tid", "n_bytes", "text").join(spots, ["tid", "n_bytes"])))
     whole = counted.where("copies > 1").select("tid", "n_bytes", F.lit(0).cast("bigint").alias("low"), F.col("n_bytes").alias("high"))
     cuts = F.array_sort(F.collect_list(F.struct("low", "high"))).alias("cuts")
-    return materialise(found.unionByName(whole).groupBy("tid", "n_bytes").agg(cuts), "cuts")
+    told = materialise(found.unionByName(whole).groupBy("tid", "n_bytes").agg(cuts), "cuts", tidy=True)
+    discard(known, counted, others, spots)
+    return told
 
 
 def dedup(docs: DataFrame) -> DataFrame:

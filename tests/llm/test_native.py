@@ -117,6 +117,12 @@ def test_no_text_rides_with_its_words(spark, docs, monkeypatch):
     assert dealt and not any(re.search(r"\b(all|text)#", columns) for columns in dealt)
 
 
+def test_no_rows_from_python(spark):
+    """A row that is given from the driver comes by an RDD of Python, whose workers start on the executors."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet") for table in ("documents", "benchmark"))
+    assert "ExistingRDD" not in decontamination.occurrences(docs, items)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("broadcast", [200_000, 0])
 def test_contaminated_rows(spark, broadcast, monkeypatch):
     """Null and repeated ids: one result for each row; an item without id counts once and has no place in the list."""

@@ -66,7 +66,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Da
     own = ["doc_id", "hash", "n_words"]
     if small:
         # an empty word ends each list and meets one window without words: every row stays, in the same pass
-        none = keyed.sparkSession.createDataFrame([(None, [], "", 0)], keyed.schema)
+        # (made by Spark itself: rows given from the driver would start Python workers on the executors)
+        made = {"item_id": F.lit(None), "words": F.array(), "token": F.lit(""), "shift": F.lit(0)}
+        none = keyed.sparkSession.range(1).select(*(made[f.name].cast(f.dataType).alias(f.name) for f in keyed.schema))
         placed = told.select(*own, "all", F.posexplode(F.array_append("all", F.lit(""))).alias("at", "token"))
         equal = F.slice("all", F.col("at") - F.col("shift") + 1, F.size("words")) == F.col("words")
         hit = (F.size("words") == 0) | (inside & F.when(inside, equal))

@@ -118,3 +118,38 @@ def test_bit_maps_drop_no_link_and_most_other_pairs(spark):
     links = {(i, j) for j in range(len(kinds)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert links <= left
     assert len(left - links) < 0.05 * len(kinds) * len(kinds) / 2
+
+
+def test_agreeing_minima_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    n, rows = line_dedup.MINIMA, []
+    for k in range(40):
+        one = [rng.choice([0, 1, 0x7FFF, 0x8000, 0xFFFF, rng.randrange(1 << 16)]) for _ in range(n)]
+        other = [x if rng.random() < k / 40 else rng.choice([x ^ 1, x ^ 0x8000, rng.randrange(1 << 16)]) for x in one]
+        words = [[int.from_bytes(b"".join(m.to_bytes(2, "little") for m in side[i : i + 4]), "little", signed=True) for i in range(0, n, 4)] for side in (one, other)]
+        rows.append((sum(x == y for x, y in zip(one, other, strict=True)), *words[0], *words[1]))
+    columns = ["want", *(f"w{k}{end}" for end in "xy" for k in range(line_dedup.WORDS))]
+    got = spark.createDataFrame(rows, columns).select("want", line_dedup.agreed(lambda c: F.col(c + "x"), lambda c: F.col(c + "y"))).collect()
+    assert all(want == found for want, found in got)
+
+
+def test_tables_take_few_bytes_a_line(spark, monkeypatch):
+    """A line without a partner leaves at most 100 bytes in tables, besides its place (its bands were 176 alone)."""
+    import os
+
+    rng = random.Random(13)
+    made, write = {}, line_dedup.materialise
+
+    def told(df, tag, tidy=False):
+        out = write(df, tag, tidy)
+        path = out._written.removeprefix("file:")
+        made[tag] = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialise", told)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrst ") for _ in range(120))) for i in range(4000)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("kept").count() == 4000
+    assert sum(size for tag, size in made.items() if tag != "lines") < 100 * 4000

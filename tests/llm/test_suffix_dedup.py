@@ -56,6 +56,17 @@ def test_planted_repeats(spark, piece, block, broadcast, monkeypatch):
     assert {r["doc_id"]: r["d"] for r in digest} == {d: w[3] for d, w in want.items()}
 
 
+def test_counters_of_anchors_are_spread(spark, monkeypatch):
+    """Anchors are smallest hashes; those of text without repeats must not look frequent by sharing the low counters."""
+    seen, real = [], suffix_dedup.frequent
+    monkeypatch.setattr(suffix_dedup, "frequent", lambda hits: seen.append(hits) or real(hits))
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices("abcdefghijklmnop", k=100_000))) for i in range(10)]
+    texts = suffix_dedup.text_ids(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert suffix_dedup.find_anchors(texts).count() == seen[0].sum() > 10_000
+    assert (seen[0] > 0).sum() > 0.97 * seen[0].sum()
+
+
 def test_parts_of_a_frequent_anchor():
     """The parts hold every window once, and equal windows have equal keys whatever stands around them."""
     one, two = b"x" * 300 + bytes(range(200)) + b"y" * 300, b"q" * 150 + bytes(range(200)) + b"z" * 300

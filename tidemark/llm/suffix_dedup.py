@@ -97,16 +97,21 @@ def text_anchors(hasher: Hasher, data: list[bytes]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(places), np.concatenate(owner)
 
 
+def spread(key: np.ndarray) -> np.ndarray:
+    """Anchors are smallest hashes and so lie close together; their counters must not."""
+    return splitmix(key)
+
+
 def find_anchors(texts: DataFrame) -> DataFrame:
     """(anchor, tid, n_bytes, place, often); ``often``: the anchor's counter has many hits, alike for equal anchors."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent(hit_table(texts, lambda data: text_anchors(Hasher(), data)[0])))
+    sent = texts.sparkSession.sparkContext.broadcast(frequent(hit_table(texts, lambda data: spread(text_anchors(Hasher(), data)[0]))))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), sent.value
         for batch, data in chunks(batches):
             key, place, owner = text_anchors(hasher, data)
             owner = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("tid").take(owner), batch.column("n_bytes").take(owner), pa.array(place), pa.array(table[counter_of(key)])], ["anchor", "tid", "n_bytes", "place", "often"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("tid").take(owner), batch.column("n_bytes").take(owner), pa.array(place), pa.array(table[counter_of(spread(key))])], ["anchor", "tid", "n_bytes", "place", "often"])
 
     return texts.select("tid", "n_bytes", "text").mapInArrow(find, "anchor bigint, tid bigint, n_bytes bigint, place bigint, often boolean")
 
